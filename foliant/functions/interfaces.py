@@ -82,6 +82,15 @@ class HashedVectors:
         vec = self.table.select(F.col("vec_id").alias("_v"), *[F.col("embedding")[i].cast("double").alias(f"_e{i}") for i in range(self.dim)])
         return df.withColumn("_k", F.pmod(tokens.token_hash(F.col(token)), F.lit(n))).join(vec, F.col("_k") == F.col("_v")).drop("_k", "_v")
 
+    def matrix(self):
+        """The number of rows, the sorted ids, and their vectors scaled to length 1. Only for a table that the caller has found small."""
+        import numpy as np
+
+        got = self.table.select("vec_id", "embedding").orderBy("vec_id").toPandas()
+        vec = np.stack([np.asarray(v, np.float64) for v in got["embedding"]]) if len(got) else np.zeros((0, self.dim))
+        size = np.linalg.norm(vec, axis=1, keepdims=True)
+        return self.rows or len(got), got["vec_id"].to_numpy(np.int64), np.divide(vec, size, out=np.zeros_like(vec), where=size > 0)
+
     def encode(self, sentences: DataFrame) -> DataFrame:
         each = sentences.select("sentence").distinct().select("sentence", F.explode(tokens.tokens(F.col("sentence"))).alias("tok"))
         summed = self.token_vectors(each, "tok").groupBy("sentence").agg(*[F.sum(f"_e{i}").alias(f"_s{i}") for i in range(self.dim)])

@@ -10,13 +10,7 @@ KERNEL = (0.3989434693560978, 0.24197144565660072, 0.05399112742070441, 0.004431
 SMOOTH_OVER = 4
 
 
-def dot(a: Column, b: Column, dim: int | None = None) -> Column:
-    """With ``dim`` given the sum is written out, which compiles; otherwise a fold over arrays of any length."""
-    if dim:
-        terms = [F.get(a, F.lit(i)) * F.get(b, F.lit(i)) for i in range(dim)]
-        while len(terms) > 1:
-            terms = [x + y for x, y in zip(terms[::2], terms[1::2], strict=False)] + terms[len(terms) // 2 * 2 :]
-        return terms[0]
+def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 

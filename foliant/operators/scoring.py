@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.similarity import dot, unit
+from ..functions import tokens as K
+from ..functions.similarity import unit
 
 
 def score_tokens(c):
@@ -122,23 +124,54 @@ def corpus_mean(scores: DataFrame, pairs: DataFrame, keys: list[str], by: list[s
     return pairs.select(*by).distinct().join(mean, by, "left").select(*by, F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("precision", "recall", "f")])
 
 
+#: Up to so many vectors the encoder's table is sent to the workers as a matrix; a larger one is joined.
+MATRIX_ROWS = 100_000
+
+
+def match_scores(c: np.ndarray, r: np.ndarray) -> tuple[float, float]:
+    """Mean best cosine of each row of ``c`` with ``r``, and the other way; 0 if a side is empty. Rows have length 1 or 0."""
+    if not len(c) or not len(r):
+        return 0.0, 0.0
+    s = c @ r.T
+    return float(s.max(axis=1).mean()), float(s.max(axis=0).mean())
+
+
 def greedy_match(pairs: DataFrame, encoder, keys: list[str], candidate: str = "candidate", reference: str = "reference") -> DataFrame:
     """``keys, precision, recall, f``: each token's best cosine with the other side's tokens, averaged. Over hashed vectors these are not a model's scores.
 
-    Distinct tokens of a side meet, weighed by how often they occur, so a pair's product is bounded by its two vocabularies.
+    A pair's token vectors meet in one matrix product. They come from the encoder's table as a matrix where that is
+    small (``MATRIX_ROWS``), else by a join on the distinct tokens.
     """
-    vocab = pairs.select(F.explode(F.array_union(score_tokens(F.col(candidate)), score_tokens(F.col(reference)))).alias("tok")).distinct()
-    units = encoder.token_vectors(vocab, "tok").select("tok", unit([F.col(f"_e{i}") for i in range(encoder.dim)]).alias("v"))
-
-    def side(text, as_):
-        words = pairs.select(*keys, F.explode(score_tokens(F.col(text))).alias("tok")).groupBy(*keys, "tok").agg(F.count("*").alias("w"))
-        return words.join(units, "tok").select(*keys, F.col("tok").alias(f"t{as_}"), F.col("w").alias(f"w{as_}"), F.col("v").alias(f"v{as_}"))
-
-    met = side(candidate, "c").join(side(reference, "r"), keys).select(*keys, "tc", "wc", "tr", "wr", dot(F.col("vc"), F.col("vr"), encoder.dim).alias("s"))
-    p = met.groupBy(*keys, "tc").agg(F.max("s").alias("s"), F.first("wc").alias("w")).groupBy(*keys).agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("precision"))
-    r = met.groupBy(*keys, "tr").agg(F.max("s").alias("s"), F.first("wr").alias("w")).groupBy(*keys).agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("recall"))
-    both = pairs.select(*keys).join(p, keys, "left").join(r, keys, "left")
-    both = both.select(*keys, F.coalesce("precision", F.lit(0.0)).alias("precision"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
+    if encoder.table.count() <= MATRIX_ROWS:
+        n, ids, matrix = encoder.matrix()
+        sent = pairs.sparkSession.sparkContext.broadcast((ids, matrix))
+
+        def rows(keys_: np.ndarray) -> np.ndarray:
+            known, vec = sent.value
+            at = np.minimum(np.searchsorted(known, keys_), len(known) - 1) if len(known) else np.zeros(0, int)
+            return vec[at[known[at] == keys_]] if len(known) else np.zeros((0, 1))
+
+        @F.pandas_udf("struct<precision: double, recall: double>")
+        def meet(c: pd.Series, r: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([match_scores(rows(np.asarray(x, np.int64)), rows(np.asarray(y, np.int64))) for x, y in zip(c, r, strict=True)], columns=["precision", "recall"])
+
+        key = lambda c: F.transform(score_tokens(F.col(c)), lambda t: F.pmod(K.token_hash(t), F.lit(n)))
+        both = pairs.select(*keys, meet(key(candidate), key(reference)).alias("m")).select(*keys, "m.*")
+    else:
+        vocab = pairs.select(F.explode(F.array_union(score_tokens(F.col(candidate)), score_tokens(F.col(reference)))).alias("tok")).distinct()
+        units = encoder.token_vectors(vocab, "tok").select("tok", unit([F.col(f"_e{i}") for i in range(encoder.dim)]).alias("v"))
+
+        def side(text, name):
+            each = pairs.select(*keys, F.explode(score_tokens(F.col(text))).alias("tok"))
+            return each.join(units, "tok").groupBy(*keys).agg(F.collect_list("v").alias(name))
+
+        @F.pandas_udf("struct<precision: double, recall: double>")
+        def meet_vectors(c: pd.Series, r: pd.Series) -> pd.DataFrame:
+            stack = lambda x: np.stack(list(x)) if x is not None and len(x) else np.zeros((0, 1))
+            return pd.DataFrame([match_scores(stack(x), stack(y)) for x, y in zip(c, r, strict=True)], columns=["precision", "recall"])
+
+        met = pairs.select(*keys).join(side(candidate, "c"), keys, "left").join(side(reference, "r"), keys, "left")
+        both = met.select(*keys, meet_vectors("c", "r").alias("m")).select(*keys, "m.*")
     return both.withColumn("f", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 

@@ -57,8 +57,8 @@ def greedy(source: str, top: int = 256, least: int = 64) -> str:
 lists as (select doc_id, article, list(s order by k) as ss, list(n order by k) as ns from sent group by all),
 folded as (select *, list_reduce(list_transform(ns, lambda n_, i_: {{'i': i_ - 1, 'n': n_, 'cur': 0::bigint, 'at': []::bigint[]}}), lambda z, x:
   case when z.cur + x.n > {top} and (z.cur >= {least} or len(z.at) = 1) and x.i > z.at[-1] then {{'i': x.i, 'n': x.n, 'cur': x.n::bigint, 'at': list_append(z.at, x.i::bigint)}}
-  else {{'i': x.i, 'n': x.n, 'cur': z.cur + x.n, 'at': z.at}} end, {{'i': 0::bigint, 'n': 0::bigint, 'cur': 0::bigint, 'at': [0]::bigint[]}}).at as at from lists),
-cut as (select doc_id, article, ss, ns, unnest(at) as a, unnest(list_append(list_slice(at, 2, len(at)), len(ss))) as b from folded),
+  else {{'i': x.i, 'n': x.n, 'cur': z.cur + x.n, 'at': z.at}} end, {{'i': 0::bigint, 'n': 0::bigint, 'cur': 0::bigint, 'at': [0]::bigint[]}}).at as cuts from lists),
+cut as (select doc_id, article, ss, ns, unnest(cuts) as a, unnest(list_append(list_slice(cuts, 2, len(cuts)), len(ss))) as b from folded),
 chunk as (select doc_id, row_number() over (partition by doc_id order by article, a) - 1 as chunk_id, article, array_to_string(ss[a + 1:b], ' ') as text, ss[a + 1:b] as ss, list_sum(ns[a + 1:b])::bigint as token_count, b - a as sentence_count,
   sum(list_sum(ns[a + 1:b])) over w - list_sum(ns[a + 1:b]) as start, sum(list_sum(ns[a + 1:b])) over w as "end" from cut window w as (partition by doc_id order by article, a))"""
 
@@ -172,8 +172,8 @@ level0 as (select doc_id, list(summary order by chunk_id) as texts from mapped g
         out += f""",
 s{i} as materialized (select doc_id, texts, array_to_string(texts, ' ') as joined, len({words("array_to_string(texts, ' ')")}) + 1 as tok from level{i}),
 out{i} as (select doc_id, case when tok <= 1000 then {short} else {lead('joined', 512)} end as final_summary, {i} as reduction_layers from s{i} where tok <= 1000 or len(texts) <= 1),
-p{i} as (select *, {_pack(f"list_transform(texts, lambda t_: len({words('t_')}) + 1)")} as at from s{i} where tok > 1000 and len(texts) > 1),
-level{i + 1} as materialized (select doc_id, list_transform(range(1, len(at) + 1), lambda k_: {lead("array_to_string(texts[at[k_] + 1:coalesce(at[k_ + 1], len(texts))], ' ')", 256)}) as texts from p{i})"""
+p{i} as (select *, {_pack(f"list_transform(texts, lambda t_: len({words('t_')}) + 1)")} as cuts from s{i} where tok > 1000 and len(texts) > 1),
+level{i + 1} as materialized (select doc_id, list_transform(range(1, len(cuts) + 1), lambda k_: {lead("array_to_string(texts[cuts[k_] + 1:coalesce(cuts[k_ + 1], len(texts))], ' ')", 256)}) as texts from p{i})"""
         done.append(f"select * from out{i}")
     done.append(f"select doc_id, {lead("array_to_string(texts, ' ')", 512)}, 6 from level6")
     return f"""{out}, fin as ({' union all '.join(done)}),
@@ -239,7 +239,7 @@ hier as (select doc_id, chunk_id, avg(s) as h from adj group by all)
 select doc_id, chunk_id, n, round(case when h is null then whole else 0.6 * whole + 0.4 * h end, 6) as global_coherence, round(h, 6) as hierarchical_coherence from whole left join hier using (doc_id, chunk_id)""",
     "sentence_embeddings": f"with {DOC_SENTS}, {vectors('ds', 'doc_id, pos')} select s as sentence, round(v[1], 6) as first, round(list_sum(v), 6) as total from vecs",
     "map_stage": f"with {MAPPED} select * from mapped",
-    "bin_pack": f"with {MAPPED}, l as (select doc_id, list(len({words('summary')}) + 1 order by chunk_id) as costs from mapped group by 1), p as (select doc_id, {_pack('costs')} as at from l) select doc_id, unnest(at) as first_item, generate_subscripts(at, 1) - 1 as grp from p",
+    "bin_pack": f"with {MAPPED}, l as (select doc_id, list(len({words('summary')}) + 1 order by chunk_id) as costs from mapped group by 1), p as (select doc_id, {_pack('costs')} as cuts from l) select doc_id, unnest(cuts) as first_item, generate_subscripts(cuts, 1) - 1 as grp from p",
     "tree_reduce": _tree(),
     "sample_shuffle": f"with {_ids(sampling.shuffled_ids(ORACLE_ROWS, ORACLE_ROWS // 4))} select ord, doc_id, lang from ids join documents using (doc_id)",
     "sample_random": f"with {_ids(sampling.sampled_ids(ORACLE_ROWS, ORACLE_ROWS // 5))} select ord, doc_id, lang from ids join documents using (doc_id)",
