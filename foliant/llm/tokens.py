@@ -6,13 +6,14 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import pieces
+from .batches import pieces, text_buffer
 from .common import scratch, table
 
 #: The id that ends each document.
@@ -20,13 +21,32 @@ END_ID = 2
 #: A shard is closed after so many ids.
 SHARD_IDS = 16_000_000
 #: Encoded pieces that a worker keeps.
-CACHE = 400_000
+CACHE = 800_000
 #: Fixed values of the file format. Payload: the ids, little-endian, 2 bytes where the vocabulary allows, else 4. Index: header, then the arrays named below.
 MAGIC, VERSION, HEADER = b"FOLT", 1, "<4sHHQQQ"
 ARRAYS = (("displacements", "<i4"), ("fingerprints", "<u4"), ("starts", "<u8"), ("lengths", "<u8"), ("keys", "<i8"), ("repeats", "<u4"), ("nulls", "<u1"))
 
-_BROKEN = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r" (?=\S)")
+#: Letters, which the pre-tokenizer leaves whole, and marks after them, which it cuts off.
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+#: Bytes that are, or may begin, white space other than blank and line break: texts with them take the general way.
+_RARE = np.zeros(256, bool)
+_RARE[[9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0xE1, 0xE2, 0xE3]] = True
+_GAP = np.zeros(256, bool)
+_GAP[[32, 10]] = True
+_ODD = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _power(n: int) -> list[np.ndarray]:
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(20, (n - 1).bit_length())
+        _powers[:] = []
+        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            _powers.append(np.multiply.accumulate(x))
+    return _powers
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -131,44 +151,123 @@ class Shard:
 
 
 class Encoder:
-    """Whole texts to ids, as the library encodes them, with the encodings of pieces kept.
+    """Whole texts to ids, as the library encodes them, each distinct piece once for as long as it is kept.
 
-    The byte-level pre-tokenizer always cuts before a space that a non-space character follows, so the pieces between such
-    cuts can be encoded on their own; each distinct piece goes through the tokenizer once for as long as it is kept.
+    The byte-level pre-tokenizer always cuts before a space that a non-space character follows, around a single line break
+    between such characters, and between letters and marks, so the pieces between such cuts can be encoded on their own. A batch's
+    pieces are found and hashed as arrays; only its distinct ones are looked up. Texts with other white space than single
+    blanks and line breaks inside are cut in the general way.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.byte_level = {c: 256 + i for i, c in enumerate(c for c in range(256) if c not in shown)}
+        self.known: dict[int, bytes] = {}
         self.end = np.array([END_ID], self.kind).tobytes()
-
-    def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
-        if len(known) + len(new) > CACHE:
-            known.clear()
-        todo = sorted(new)
-        for p, e in zip(todo, self.tok.encode_batch([lead + p for p in todo], add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, self.kind).tobytes()
+        self.line = self._one("\n")
+
+    def _one(self, text: str) -> bytes:
+        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, text: str) -> bytes:
+        """A text that the pre-tokenizer leaves whole goes straight to the tokenizer's model, its bytes as byte-level characters."""
+        if not text:
+            return b""
+        shown = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(self.byte_level)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _piece(self, text: str, gap: str) -> bytes:
+        """A piece without white space, after a blank, a line break or nothing."""
+        lead = " " if gap == " " else ""
+        m = _MARKED.fullmatch(text)
+        if not m:
+            ids = self._one(lead + text)
+        elif m[1]:
+            ids = self._word(lead + m[1]) + self._word(m[2])
+        else:
+            ids = self._word(lead + m[2])
+        return self.line + ids if gap == "\n" else ids
+
+    def _text(self, text: str) -> bytes:
+        """Any text, cut at the spaces that a non-space character follows."""
+        parts = _CUT.split(text)
+        return b"".join([self._one(parts[0]) if parts[0] else b"", *(self._one(" " + p) for p in parts[1:])])
+
+    def encode_flat(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts that lie in ``buf`` between ``offsets``, each with its end id, and how many each has."""
+        n, docs = len(buf), len(offsets) - 1
+        full = np.flatnonzero(offsets[1:] > offsets[:-1])
+        first, last = offsets[:-1][full], offsets[1:][full] - 1
+        gap = _GAP[buf]
+        strange = _RARE[buf]
+        strange[1:] |= gap[1:] & gap[:-1]
+        strange[first] |= gap[first]
+        strange[last] |= gap[last]
+        odd = np.add.reduceat(strange, first) > 0 if len(first) else np.zeros(0, bool)
+        gap &= ~np.repeat(odd, last - first + 1) if len(first) else gap
+        begins = np.zeros(n + 1, bool)
+        begins[1:] = gap
+        begins = begins[:n]
+        begins[first] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], n)
+        edge = np.zeros(n + 1, np.uint8)
+        edge[offsets] = 1
+        ends -= edge[ends] == 0
+        kind = np.where(edge[starts], 0, buf[np.maximum(starts - 1, 0)]).astype(np.uint64)
+        edge[first[odd]] = 2
+        kind[edge[starts] == 2] = 3
+        up, down = _power(n + 1)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(0x51)) * up[:n], dtype=np.uint64)])
+            h = mix(mix((total[ends] - total[starts]) * down[starts]) + (ends - starts).astype(np.uint64) * np.uint64(256) + kind)
+        u, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        keys = u.tolist()
+        if len(self.known) > CACHE:
+            self.known.clear()
+        ids = [self.known.get(k) for k in keys]
+        raw = buf.tobytes()
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            j = at[i]
+            text, k = raw[starts[j] : ends[j]].decode(), int(kind[j])
+            if k == 3:
+                ids[i] = self._text(text)
+            else:
+                ids[i] = self.known[keys[i]] = self._piece(text, chr(k) if k else "")
+        ids.append(self.end)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        where = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        # each text's pieces, then its end
+        after = np.searchsorted(starts, offsets[1:])
+        seq = np.insert(inverse, after, len(ids) - 1)
+        each = sizes[seq]
+        done = np.cumsum(each)
+        out = flat[np.repeat(where[seq] - (done - each), each) + np.arange(done[-1] if len(done) else 0)]
+        closes = done[after + np.arange(docs)] if docs else done
+        return out, np.diff(np.concatenate([[0], closes]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t.split(" ") if not _BROKEN.search(t) else _CUT.split(t)) for t in ((x or "") for x in texts)]
-        heads, tails = {c[0] for c in cut}, set()
-        for c in cut:
-            tails.update(c[1:])
-        if new := heads - self.first.keys():
-            self._learn(self.first, new, "")
-            if missing := heads - self.first.keys():
-                self._learn(self.first, missing, "")
-        if new := tails - self.later.keys():
-            self._learn(self.later, new, " ")
-            if missing := tails - self.later.keys():
-                self._learn(self.later, missing, " ")
-        get, first, end = self.later.__getitem__, self.first, self.end
-        return [first[c[0]] + b"".join(map(get, c[1:])) + end for c in cut]
+        raw = [(t or "").encode() for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        out, sizes = self.encode_flat(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        return [x.tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])] if texts else []
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder of the file: its cache serves the next task too."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def write_shards(docs: DataFrame, tokenizer: str, to: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -189,7 +288,7 @@ def write_shards(docs: DataFrame, tokenizer: str, to: str | None = None, shard_i
 
         part, where = TaskContext.get().partitionId(), fs.FileSystem.from_uri(to)
         where[0].create_dir(where[1], recursive=True)
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         body, keys, nulls, lengths, repeats = [], [], [], [], []
         n_ids = n = 0
         last, again = object(), 0
@@ -206,16 +305,19 @@ def write_shards(docs: DataFrame, tokenizer: str, to: str | None = None, shard_i
             body, keys, nulls, lengths, repeats, n_ids, n = [], [], [], [], [], 0, n + 1
             return row
 
-        for batch in pieces(batches, most=1_000_000):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
+        for batch in pieces(batches, most=4_000_000):
+            ids, sizes = enc.encode_flat(*text_buffer(batch))
+            at = 0
+            for doc, size in zip(batch.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
                 again = again + 1 if doc == last else 0
                 last = doc
-                body.append(ids)
+                body.append(ids[at : at + size].tobytes())
+                at += size
                 keys.append(doc or 0)
                 nulls.append(doc is None)
                 repeats.append(again)
-                lengths.append(len(ids) // enc.width)
-                n_ids += lengths[-1]
+                lengths.append(size)
+                n_ids += size
                 if n_ids >= shard_ids:
                     yield close()
         if keys:
