@@ -9,7 +9,7 @@ from .common import NON_WORD, ascii_lower, words
 
 #: Words of a window.
 WINDOW = 13
-#: Up to so many distinct windows the set is broadcast (about 200 bytes each); beyond that it is joined by a shuffle.
+#: So many distinct windows (about 200 bytes each) are broadcast at once; a larger set is dealt by hash over as many passes over the documents.
 BROADCAST_WINDOWS = 100_000
 #: Stands for the document itself in the stream of its words; no word holds this character.
 MARK = "\u0000"
@@ -36,12 +36,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFram
     win = benchmark_windows(benchmark, width)
     n = win.count()
     mark = docs.sparkSession.range(1).select(F.array(F.lit(MARK)).alias("window"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).alias("at"), F.lit(MARK).alias("anchor"))
-    win = win.unionByName(mark)
-    if n <= BROADCAST_WINDOWS:
-        win = F.broadcast(win)
     doc = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.concat(F.array(F.lit(MARK)), words(ascii_lower(F.col("text")), NON_WORD)).alias("w"))
     word = doc.select("doc_id", "text_hash", "w", F.posexplode("w").alias("pos", "word"))
-    hit = word.join(win, F.col("word") == F.col("anchor")).where("pos >= at and slice(w, pos - at + 1, size(window)) = window")
+    passes = max(1, -(-n // BROADCAST_WINDOWS))
+    hit = None
+    for i in range(passes):
+        part = win if passes == 1 else win.where(F.pmod(F.xxhash64("window"), F.lit(passes)) == i)
+        met = word.join(F.broadcast(part if i else part.unionByName(mark)), F.col("word") == F.col("anchor")).where("pos >= at and slice(w, pos - at + 1, size(window)) = window")
+        hit = met if hit is None else hit.unionByName(met)
     return (
         hit.select("doc_id", "text_hash", (F.size("w") - 1).alias("n"), "items", F.expr("if(items is null, null, named_struct('s', pos - at - 1, 'e', pos - at - 1 + size(window)))").alias("span"))
         .groupBy("doc_id", "text_hash")
