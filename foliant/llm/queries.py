@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language, licenses, mixing, sharding, substrings, tokens, topk
-from .common import NON_WORD, SPACES
+from . import chat, decontaminate, jaccard, language, licenses, mixing, oracles, sharding, substrings, tokens, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +50,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_report(_read(spark, sf_dir, "documents"))
+    return licenses.license_report(_read(spark, sf_dir, "documents")).drop("tags_permissive")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +74,4 @@ QUERIES = {
     "op10_top_k": op10_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.SQL
