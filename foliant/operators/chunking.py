@@ -178,23 +178,24 @@ def tail(counts: list[int], vectors: np.ndarray | None, cfg: ChunkConfig) -> int
 
 
 def chunk_document(articles: list[list[dict]], cfg: ChunkConfig) -> list[dict]:
-    """The chunks of a document; sentences have ``s, n, v`` (text, tokens, vector)."""
+    """The chunks of a document; sentences have ``s, n, v`` (text, tokens, vector). A chunk counts to the article of its last sentence."""
     out: list[dict] = []
     offset = 0
     before: list[dict] = []
 
-    def emit(part, overlap, article):
+    def emit(part, overlap):
         v = _vectors(part)
-        out.append({"chunk_id": len(out), "article": article, "text": " ".join(x["s"] for x in part), "token_count": sum(x["n"] for x in part), "sentence_count": len(part), "has_overlap": bool(out), "overlap_tokens": overlap, "coherence": local_coherence(v, len(part))["local"], "start": max(0, offset - sum(x["n"] for x in part)), "end": offset})
+        out.append({"chunk_id": len(out), "article": part[-1]["article"] if part else a, "text": " ".join(x["s"] for x in part), "token_count": sum(x["n"] for x in part), "sentence_count": len(part), "has_overlap": bool(out), "overlap_tokens": overlap, "coherence": local_coherence(v, len(part))["local"], "start": max(0, offset - sum(x["n"] for x in part)), "end": offset})
 
     for a, sents in enumerate(articles):
         k = tail([x["n"] for x in before], _vectors(before), cfg) if before else 0
         buf = before[len(before) - k :] if k else []
         overlap, cur = sum(x["n"] for x in buf), sum(x["n"] for x in buf)
         for x in sents:
+            x = {**x, "article": a}
             if cur + x["n"] > cfg.max_tokens and (buf or cfg.emit_empty_leading):
                 at = split_point([y["n"] for y in buf], _vectors(buf), [{w.lower() for w in y["s"].split()} for y in buf], cfg)
-                emit(buf[:at], overlap, a)
+                emit(buf[:at], overlap)
                 k = tail([y["n"] for y in buf[:at]], _vectors(buf[:at]), cfg)
                 carried = buf[at - k : at]
                 overlap = sum(y["n"] for y in carried)
@@ -203,7 +204,7 @@ def chunk_document(articles: list[list[dict]], cfg: ChunkConfig) -> list[dict]:
             cur = sum(y["n"] for y in buf)
             offset += x["n"]
         if buf:
-            emit(buf, overlap, a)
+            emit(buf, overlap)
             before = buf
     return out
 

@@ -271,3 +271,6 @@ s as (select baseline, count(*) as n, sum(case when d > 0 then rk else 0 end) as
 select baseline, coalesce(n, 0) as n, coalesce(w_plus, 0)::double as w_plus, coalesce(w_minus, 0)::double as w_minus, round((least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48), 6) as z, round(mean_diff, 6) as mean_diff from m left join s using (baseline)""",
     "stream_source_tokens": f"select source, count(*) as n_docs, sum(len({words('text')})) as n_tokens from documents group by 1",
 }
+#: Sums of integers are wider in DuckDB than the queries' type.
+for _name, _cols in {"paragraph_boundaries": "boundary", "greedy_chunks": 'start "end"', "cluster_greedy_chunks": 'start "end"', "chunk_stats": "total_tokens overlap_total net_tokens", "split_candidates": "cum_at", "stream_source_tokens": "n_tokens"}.items():
+    SQL[_name] = f"select * replace ({', '.join(f'{c}::bigint as {c}' for c in _cols.split())}) from ({SQL[_name]})"

@@ -28,7 +28,7 @@ def tokens_by_source(docs: DataFrame) -> DataFrame:
 
 def windowed_counts(events: DataFrame, at: str = "ts", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Events by window, for rows that come at most ``late`` after their time."""
-    return events.withWatermark(at, late).groupBy(F.window(at, width)).agg(F.count("*").alias("n"))
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, width)).agg(F.count("*").alias("n"))
 
 
 def append_new(path: str, cfg: ChunkConfig | None = None, key: str = "doc_id"):
