@@ -3,14 +3,17 @@
 The join is exact. Its steps:
 
 1. ``shingle_sets``: every text becomes its sorted set of 64-bit shingle hashes. Texts with one set are one class, so copies are
-   joined by their digest and only one of them goes on. A class carries its smallest hashes (a prefix longer by ``l`` than what
-   an overlap of ``t`` leaves out, so that linked sets share ``l`` prefix hashes at least) and a parity bitmap.
-2. ``live_keys``: prefix hashes that a second class holds. A class with too few of them can't link with anything and drops out.
-3. ``candidate_edges``: classes with a common key, in tiles of bounded size. Within a tile only sets whose sizes are in band meet,
+   joined by their digest and only one of them goes on. A class carries a parity bitmap; its smallest hashes (a prefix longer by ``l``
+   than what an overlap of ``t`` leaves out, so that linked sets share ``l`` prefix hashes at least) are its keys.
+2. Live keys: prefix hashes that a second class holds. The texts are hashed again for them, which is cheaper than to keep
+   them. A class with too few of them can't link with anything and drops out.
+3. Candidate edges: classes with a common key, in tiles of bounded size. Within a tile only sets whose sizes are in band meet,
    and the bits in which two bitmaps differ bound their overlap from above. What passes is kept as a spanning forest,
    so that a tile gives fewer rows than it has members.
-4. The components of these edges are the groups that can hold links. Their sets are gathered once, in blocks; each block
-   pair counts its exact intersections and gives each class's number of links and a spanning forest.
+4. The components of these edges are the groups that can hold links. Those of more than a block are compared once more by
+   bitmaps as wide as the sets, which parts long texts that narrow bitmaps can't tell apart.
+   The sets of the groups left are gathered once, in blocks; each block pair counts its exact intersections and gives each
+   class's number of links and a spanning forest.
 5. The components of the links.
 """
 
@@ -24,15 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import pieces
+from .batches import pieces, text_buffer
 from .common import components, slots, table
 
 #: Words of a shingle; two sets link when 100 * intersection >= NEAR * union.
 WIDTH, NEAR = 5, 75
-#: Bits of a bitmap: the power of two nearest the set's size, within these.
+#: Bits of a bitmap: the power of two nearest the set's size, at least these; in the tiles of keys at most the latter.
 LEAST_BITS, MOST_BITS = 256, 2048
-#: Members of a tile, and of a block of sets.
-TILE, BLOCK = 4096, 256
+#: The side of all members of a tile that pairs a block with itself.
+SELF = 2
+#: Members of a tile, of a block of full bitmaps, and of a block of sets.
+TILE, WIDE_BLOCK, BLOCK = 4096, 1024, 256
+#: Up to so many classes (about 40 bytes each) are broadcast to pick their texts; beyond that the texts are joined by a shuffle.
+BROADCAST_CLASSES = 500_000
 #: Prefix hashes that one task groups, on average.
 KEYS_PER_TASK = 1_500_000
 
@@ -125,37 +132,25 @@ def prefix(s: np.ndarray) -> np.ndarray:
 
 
 def bits_of(n: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, 1 << round(math.log2(max(n, 1)))))
+    return max(LEAST_BITS, 1 << round(math.log2(max(n, 1))))
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Bit i is the parity of the number of hashes that fall on it."""
-    w = bits_of(len(s))
+def bitmap(s: np.ndarray, w: int) -> bytes:
+    """Bit i of ``w`` is the parity of the number of hashes that fall on it."""
     odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (w - 1), minlength=w) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a batch's texts and their offsets; null is empty."""
-    c = batch.column("text")
-    if c.null_count:
-        c = c.fill_null("")
-    c = c.cast(pa.large_string())
-    offsets = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
-    body = np.frombuffer(c.buffers()[2], np.uint8) if c.buffers()[2] else np.zeros(0, np.uint8)
-    return body[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 def _digest(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _classes(batches):
-    """For each document its class; the prefix and bitmap go with the first document of a class that this task meets."""
+    """For each document its class; the prefix and bitmaps go with the first document of a class that this task meets."""
     met: set[int] = set()
     for batch in pieces(batches):
-        n, ds, keys, maps = [], [], [], []
-        for s in shingle_sets(*_texts(batch)):
+        n, ds, keys, maps, wide = [], [], [], [], []
+        for s in shingle_sets(*text_buffer(batch)):
             d = _digest(s) if len(s) else None
             new = d is not None and d not in met
             if new:
@@ -165,8 +160,9 @@ def _classes(batches):
             n.append(len(s))
             ds.append(d)
             keys.append(prefix(s).view(np.int64) if new else None)
-            maps.append(bitmap(s) if new else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ds, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())], ["doc_id", "n", "d", "keys", "map"])
+            maps.append(bitmap(s, min(MOST_BITS, bits_of(len(s)))) if new else None)
+            wide.append(bitmap(s, bits_of(len(s))) if new and bits_of(len(s)) > MOST_BITS else None)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ds, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.array(wide, pa.binary())], ["doc_id", "n", "d", "keys", "map", "wide"])
 
 
 def _live(batches):
@@ -221,7 +217,7 @@ def _fold(maps: list[bytes], bits: int) -> np.ndarray:
         while x.shape[1] * 64 > bits:
             half = x.shape[1] // 2
             x = x[:, :half] ^ x[:, half:]
-        out[rows] = x if x.shape[1] * 64 == bits else np.nan
+        out[rows] = x
     return out
 
 
@@ -323,7 +319,7 @@ def _tile_edges(batches):
         side = t.column("side").to_numpy()
         o = np.lexsort((d, n))
         d, n, maps = d[o], n[o], [maps[i] for i in o]
-        label = tile_forest(n, maps, side[o] if len(np.unique(side)) > 1 else None)
+        label = tile_forest(n, maps, None if side[0] == SELF else side[o])
         (rest,) = np.nonzero(label != np.arange(len(d)))
         if len(rest):
             yield pa.RecordBatch.from_arrays([pa.array(d[rest]), pa.array(d[label[rest]])], ["a", "b"])
@@ -334,15 +330,12 @@ def _tile_edges(batches):
 def exact_links(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
     """Which of the sets link, as pairs of places (i < j): bitmaps rule out most, the rest is decided by exact intersection.
 
-    side: 0 in a block paired with itself; else 0 and 1, and only pairs across count.
+    side: ``SELF`` in a block paired with itself; else 0 and 1, and only pairs across count.
     """
     n = np.array([len(s) for s in sets])
-    both = side.min() != side.max()
+    both = side[0] != SELF
     w = bits_of(int(n.max()) * 2) if len(n) else LEAST_BITS
-    maps = np.zeros((len(sets), w // 64), np.uint64)
-    for i, s in enumerate(sets):
-        odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (w - 1), minlength=w) & 1
-        maps[i] = np.frombuffer(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes(), np.uint64)
+    maps = np.stack([np.frombuffer(bitmap(s, w), np.uint64) for s in sets]) if sets else np.zeros((0, w // 64), np.uint64)
     left, right = [], []
     for i in range(len(sets)):
         js = np.flatnonzero(side == 1) if both and side[i] == 0 else np.arange(i + 1, len(sets)) if not both else np.zeros(0, int)
@@ -394,7 +387,7 @@ def _block_links(batches):
 def _bodies(batches):
     for batch in pieces(batches):
         want = batch.column("want").to_numpy()
-        sets = shingle_sets(*_texts(batch))
+        sets = shingle_sets(*text_buffer(batch))
         keep = [i for i, s in enumerate(sets) if len(s) and _digest(s) == want[i]]
         if keep:
             part = batch.take(pa.array(keep))
@@ -402,9 +395,9 @@ def _bodies(batches):
 
 
 def _tiles(rows: DataFrame, key: list[str], blocks: str) -> DataFrame:
-    """Rows dealt into tiles: each block of a key meets each other block (and itself) in one tile; ``side`` is the block's place in it."""
+    """Rows dealt into tiles: each block of a key meets each other block (and itself) in one tile; ``side`` is the block's place in it (``SELF``: a block paired with itself)."""
     at = rows.withColumn("_b", F.expr(f"pmod(xxhash64(d), {blocks})")).withColumn("_o", F.explode(F.expr(f"sequence(0L, {blocks} - 1)")))
-    return at.withColumn("tile", F.xxhash64(*key, F.least("_b", "_o"), F.greatest("_b", "_o"))).withColumn("side", F.when(F.col("_b") > F.col("_o"), 1).otherwise(0)).drop("_b", "_o")
+    return at.withColumn("tile", F.xxhash64(*key, F.least("_b", "_o"), F.greatest("_b", "_o"))).withColumn("side", F.when(F.col("_b") > F.col("_o"), 1).when(F.col("_b") == F.col("_o"), SELF).otherwise(0)).drop("_b", "_o")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -418,7 +411,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", "text")
-    made = table(base.mapInArrow(_classes, f"doc_id {kind}, n long, d long, keys array<long>, map binary"), "classes")
+    made = table(base.mapInArrow(_classes, f"doc_id {kind}, n long, d long, keys array<long>, map binary, wide binary"), "classes")
     classes = table(made.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "class")
 
     # keys of two classes at least, and what is left of each class
@@ -434,11 +427,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # tiles
     posted = left.select("d", "n", "map", F.explode("live").alias("k")).select("d", "n", "map", F.col("k.key").alias("key"), F.expr(f"cast(ceil(k.times / {TILE}) as bigint)").alias("blocks"))
     edges = _tiles(posted, ["key"], "blocks").select("tile", "side", "d", "n", "map").repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(_tile_edges, "a long, b long")
-    cluster = table(components(edges), "clusters")
+    rough = table(components(edges), "clusters")
+
+    # groups of more than a block once more, by the full bitmaps
+    size = rough.groupBy("label").agg(F.count("*").alias("c")).select(F.col("label").alias("_l"), "c")
+    rough = rough.join(size, F.col("label") == F.col("_l")).drop("_l")
+    full = first.select(F.col("d").alias("_d"), "n", F.coalesce("wide", "map").alias("map")).dropDuplicates(["_d"])
+    big = rough.where(F.col("c") > BLOCK).withColumn("blocks", F.expr(f"cast(ceil(c / {WIDE_BLOCK}) as bigint)")).join(full, F.col("node") == F.col("_d")).select(F.col("node").alias("d"), "label", "blocks", "n", "map")
+    again = _tiles(big, ["label"], "blocks").select("tile", "side", "d", "n", "map").repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(_tile_edges, "a long, b long")
+    cluster = table(rough.where(F.col("c") <= BLOCK).select("node", "label").unionByName(components(again)), "clusters")
 
     # sets of the clusters' classes, gathered in blocks
     big = cluster.groupBy("label").agg(F.count("*").alias("c")).select(F.col("label").alias("_l"), F.expr(f"cast(ceil(c / {BLOCK}) as bigint)").alias("blocks"))
     member = cluster.join(big, F.col("label") == F.col("_l")).join(classes, F.col("node") == F.col("d")).select(F.col("d").alias("want"), "rep", "copies", F.col("label").alias("cluster"), "blocks")
+    if cluster.count() <= BROADCAST_CLASSES:
+        member = F.broadcast(member)
     sets = base.join(member, F.expr("doc_id <=> rep")).select("text", "want", "copies", "cluster", "blocks").mapInArrow(_bodies, "d long, copies long, cluster long, blocks long, body binary")
     sets = table(sets.dropDuplicates(["d"]), "sets")
     met = _tiles(sets, ["cluster"], "blocks").select("tile", "side", "d", "copies", "body").repartition(tasks, "tile").sortWithinPartitions("tile")
