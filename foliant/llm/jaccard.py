@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import pieces, text_buffer
-from .common import components, slots, table
+from .common import components, drop, release, slots, table
 
 #: Words of a shingle; two sets link when 100 * intersection >= NEAR * union.
 WIDTH, NEAR = 5, 75
@@ -37,7 +37,7 @@ LEAST_BITS, MOST_BITS = 256, 2048
 #: The side of all members of a tile that pairs a block with itself.
 SELF = 2
 #: Members of a tile, of a block of full bitmaps, and of a block of sets.
-TILE, WIDE_BLOCK, BLOCK = 4096, 1024, 256
+TILE, WIDE_BLOCK, BLOCK = 4096, 512, 256
 #: Up to so many classes (about 40 bytes each) are broadcast to pick their texts; beyond that the texts are joined by a shuffle.
 BROADCAST_CLASSES = 500_000
 #: Prefix hashes that one task groups, on average.
@@ -145,24 +145,38 @@ def _digest(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _classes(batches):
-    """For each document its class; the prefix and bitmaps go with the first document of a class that this task meets."""
+def _new_classes(batches):
+    """The batches with their sets, each set's class, and whether this task meets that class for the first time (or has forgotten it)."""
     met: set[int] = set()
     for batch in pieces(batches):
-        n, ds, keys, maps, wide = [], [], [], [], []
-        for s in shingle_sets(*text_buffer(batch)):
-            d = _digest(s) if len(s) else None
-            new = d is not None and d not in met
-            if new:
+        sets = shingle_sets(*text_buffer(batch))
+        ds = [_digest(s) if len(s) else None for s in sets]
+        new = []
+        for d in ds:
+            new.append(d is not None and d not in met)
+            if new[-1]:
                 if len(met) > 2_000_000:
                     met.clear()
                 met.add(d)
-            n.append(len(s))
-            ds.append(d)
-            keys.append(prefix(s).view(np.int64) if new else None)
-            maps.append(bitmap(s, min(MOST_BITS, bits_of(len(s)))) if new else None)
-            wide.append(bitmap(s, bits_of(len(s))) if new and bits_of(len(s)) > MOST_BITS else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ds, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.array(wide, pa.binary())], ["doc_id", "n", "d", "keys", "map", "wide"])
+        yield batch, sets, ds, new
+
+
+def _classes(batches):
+    """For each document its class; the bitmaps go with the first document of a class that this task meets."""
+    for batch, sets, ds, new in _new_classes(batches):
+        bits = [bits_of(len(s)) for s in sets]
+        maps = [bitmap(s, min(MOST_BITS, w)) if x else None for s, w, x in zip(sets, bits, new, strict=True)]
+        wide = [bitmap(s, w) if x and w > MOST_BITS else None for s, w, x in zip(sets, bits, new, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ds, pa.int64()), pa.array(maps, pa.binary()), pa.array(wide, pa.binary())], ["doc_id", "n", "d", "map", "wide"])
+
+
+def _postings(batches):
+    """The prefix hashes of each class that this task meets: ``d, key``."""
+    for _, sets, ds, new in _new_classes(batches):
+        chosen = [(d, prefix(s)) for s, d, x in zip(sets, ds, new, strict=True) if x]
+        if chosen:
+            d = np.repeat(np.array([d for d, _ in chosen], np.int64), [len(k) for _, k in chosen])
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(np.concatenate([k for _, k in chosen]).view(np.int64))], ["d", "key"])
 
 
 def _live(batches):
@@ -411,23 +425,28 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", "text")
-    made = table(base.mapInArrow(_classes, f"doc_id {kind}, n long, d long, keys array<long>, map binary, wide binary"), "classes")
+    made = table(base.mapInArrow(_classes, f"doc_id {kind}, n long, d long, map binary, wide binary"), "classes")
     classes = table(made.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "class")
 
     # keys of two classes at least, and what is left of each class
-    first = made.where("keys is not null")
-    total = first.agg(F.sum(F.size("keys").cast("bigint"))).first()[0] or 0
+    first = made.where("map is not null")
+    total = first.agg(F.sum(F.expr(f"n - ({NEAR} * n + 99) div 100 + 1 + n div 20"))).first()[0] or 0
     tasks = max(slots(spark), math.ceil(total / KEYS_PER_TASK))
-    live = first.select("d", F.explode("keys").alias("key")).repartition(tasks, "key").mapInArrow(_live, "d long, key long, times int")
+    live = base.mapInArrow(_postings, "d long, key long").repartition(tasks, "key").mapInArrow(_live, "d long, key long, times int")
     mine = live.groupBy("d").agg(F.collect_list(F.struct("key", "times")).alias("live"))
     maps = first.groupBy("d").agg(F.first("n").alias("n"), F.first("map").alias("map"))
     shared = F.expr(f"1 + (({NEAR} * n + 99) div 100) div 20")
     left = table(maps.join(mine.select(F.col("d").alias("_d"), "live"), F.expr("d = _d")).where(F.size("live") >= shared).select("d", "n", "map", "live"), "left")
+    del live, mine, maps
+    release(spark)
 
     # tiles
     posted = left.select("d", "n", "map", F.explode("live").alias("k")).select("d", "n", "map", F.col("k.key").alias("key"), F.expr(f"cast(ceil(k.times / {TILE}) as bigint)").alias("blocks"))
     edges = _tiles(posted, ["key"], "blocks").select("tile", "side", "d", "n", "map").repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(_tile_edges, "a long, b long")
     rough = table(components(edges), "clusters")
+    del edges, posted
+    drop(left)
+    release(spark)
 
     # groups of more than a block once more, by the full bitmaps
     size = rough.groupBy("label").agg(F.count("*").alias("c")).select(F.col("label").alias("_l"), "c")
@@ -446,6 +465,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = table(sets.dropDuplicates(["d"]), "sets")
     met = _tiles(sets, ["cluster"], "blocks").select("tile", "side", "d", "copies", "body").repartition(tasks, "tile").sortWithinPartitions("tile")
     found = table(met.mapInArrow(_block_links, "d long, to long, links long"), "links")
+    del met
+    drop(sets)
+    release(spark)
     comp = components(found.select(F.col("d").alias("a"), F.col("to").alias("b")))
 
     # back to documents
