@@ -30,7 +30,7 @@ class Encoder(Protocol):
 
 
 class Generator(Protocol):
-    def generate(self, c: Column, max_len: int, min_len: int = 64) -> Column: ...
+    def generate(self, c: Column, max_len: int | Column, min_len: int = 64) -> Column: ...
 
 
 @dataclass(frozen=True)
@@ -49,11 +49,12 @@ class PunctuationSplitter:
 
 @dataclass(frozen=True)
 class LeadGenerator:
-    """The lead of the input; ``min_len`` has no effect on it."""
+    """The lead of the input; ``min_len`` has no effect on it. ``native``: an expression, which may stand inside others."""
 
     source: int = 1024
+    native: bool = True
 
-    def generate(self, c: Column, max_len: int, min_len: int = 64) -> Column:
+    def generate(self, c: Column, max_len: int | Column, min_len: int = 64) -> Column:
         return tokens.lead(c, max_len, self.source)
 
 
@@ -62,8 +63,9 @@ class UdfGenerator:
     """A model behind an Arrow UDF ``udf(text, max_len, min_len) -> string``; a failure inside it should return an empty string."""
 
     udf: object
+    native: bool = False
 
-    def generate(self, c: Column, max_len: int, min_len: int = 64) -> Column:
+    def generate(self, c: Column, max_len: int | Column, min_len: int = 64) -> Column:
         n = max_len if isinstance(max_len, Column) else F.lit(max_len)
         return self.udf(c, n, F.lit(min_len))
 

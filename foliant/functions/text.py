@@ -33,19 +33,21 @@ def clean_text(c: Column) -> Column:
 
 
 def _parts(c: Column, pattern: str) -> Column:
-    kept = F.filter(F.transform(F.split(c, pattern), strip), lambda x: F.length(x) > 0)
-    return kept
+    return F.filter(F.transform(F.split(c, pattern), strip), lambda x: F.length(x) > 0)
+
+
+def let(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` evaluated once, also inside a lambda, where Spark doesn't share common expressions."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
 def split_articles(c: Column, separator: str = ARTICLE_SEPARATOR) -> Column:
     """The articles of a cluster; if none is left, the stripped text alone."""
-    kept = _parts(c, separator)
-    return F.when(F.size(kept) == 0, F.array(strip(c))).otherwise(kept)
+    return let(_parts(c, separator), lambda kept: F.when(F.size(kept) == 0, F.array(strip(c))).otherwise(kept))
 
 
 def split_paragraphs(c: Column) -> Column:
-    kept = _parts(c, "\n\n")
-    return F.when(F.size(kept) == 0, F.array(strip(c))).otherwise(kept)
+    return let(_parts(c, "\n\n"), lambda kept: F.when(F.size(kept) == 0, F.array(strip(c))).otherwise(kept))
 
 
 def split_sentences(c: Column) -> Column:

@@ -21,9 +21,9 @@ def decode(ids: Column) -> Column:
     return F.array_join(ids, " ")
 
 
-def lead(c: Column, n: int, source: int = 1024) -> Column:
+def lead(c: Column, n: int | Column, source: int = 1024) -> Column:
     """The first ``n`` of the first ``source`` tokens: the default generator."""
-    return decode(F.slice(F.slice(tokens(c), 1, source), 1, n))
+    return decode(F.slice(F.slice(tokens(c), F.lit(1), F.lit(source)), F.lit(1), n if isinstance(n, Column) else F.lit(n)))
 
 
 def truncate_tokens(c: Column, max_tokens: int = 200, max_chars: int = 800) -> Column:

@@ -27,7 +27,7 @@ def flat_windows(tok: Column, size: int, overlap: int = 0) -> Column:
 def flat_chunks(docs: DataFrame, size: int = 1024, overlap: int = 0, tokenizer: Tokenizer | None = None) -> DataFrame:
     """``doc_id, chunk_id, text, token_count`` from cleaned text."""
     tok = (tokenizer or WhitespaceTokenizer()).tokens(T.clean_text(F.col("text")))
-    wide = docs.select("doc_id", flat_windows(tok, size, overlap).alias("w"))
+    wide = docs.select("doc_id", T.let(tok, lambda t: flat_windows(t, size, overlap)).alias("w"))
     return wide.select("doc_id", F.posexplode("w").alias("chunk_id", "_t")).select("doc_id", "chunk_id", K.decode(F.col("_t")).alias("text"), F.size("_t").alias("token_count"))
 
 

@@ -28,7 +28,8 @@ def map_stage(chunks: DataFrame, gen: Generator | None = None, cfg: ReduceConfig
     gen, cfg = gen or LeadGenerator(), cfg or ReduceConfig()
     n = F.expr("count(*) over (partition by doc_id)")
     many = chunks.select("doc_id", "chunk_id", "text", n.alias("n"))
-    return many.select("doc_id", "chunk_id", F.when(F.col("n") > cfg.many_chunks, gen.generate(F.col("text"), cfg.map_short)).otherwise(gen.generate(F.col("text"), cfg.map_long)).alias("summary"))
+    most = F.when(F.col("n") > cfg.many_chunks, F.lit(cfg.map_short)).otherwise(F.lit(cfg.map_long))
+    return many.select("doc_id", "chunk_id", gen.generate(F.col("text"), most).alias("summary"))
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -41,28 +42,50 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_MERGED = "transform(starts, (s, k) -> array_join(slice(texts, s + 1, coalesce(get(starts, k + 1), size(texts)) - s), ' '))"
+
+
 def reduce_stage(level: DataFrame, gen: Generator | None = None, cfg: ReduceConfig | None = None) -> DataFrame:
     """``doc_id, final_summary, reduction_layers`` from ``doc_id, texts`` (an array of summaries in order).
 
     Each level: what fits the budget as one text is finished (returned as it is if it is short and was merged before, else
     generated once more); a single text over it is generated; the rest is packed, and each group generated. After ``max_layers``
-    packings whatever is there is generated. A document's summaries stay one row, so a level needs no shuffle, and the levels, at
-    most ``max_layers + 1``, are one plan.
+    packings whatever is there is generated. With a generator of expressions all levels are one chain of projections over a
+    document's row, without a shuffle; a generator behind a UDF sees only the rows that a level has left.
     """
     gen, cfg = gen or LeadGenerator(), cfg or ReduceConfig()
-    joined = F.array_join("texts", " ")
-    done = None
-    state = level.select("doc_id", "texts")
+    return _reduce_rows(level, gen, cfg) if getattr(gen, "native", False) else _reduce_levels(level, gen, cfg)
+
+
+def _reduce_rows(level: DataFrame, gen: Generator, cfg: ReduceConfig) -> DataFrame:
+    open_, joined, none = F.col("final").isNull(), F.col("joined"), F.array().cast("array<string>")
+    s = level.select("doc_id", "texts", F.lit(None).cast("string").alias("final"), F.lit(None).cast("int").alias("layers"))
+    for layer in range(cfg.max_layers + 1):
+        s = s.withColumn("joined", F.when(open_, F.array_join("texts", " "))).withColumn("tok", K.token_count(joined, cfg.specials))
+        s = s.withColumn("over", open_ & (F.col("tok") > cfg.budget) & (F.size("texts") > 1))
+        made = gen.generate(joined, cfg.final_len, 128)
+        end = F.when(F.col("tok") < cfg.enough, joined).otherwise(made) if layer else made
+        s = s.withColumn("layers", F.when(open_ & ~F.col("over"), F.lit(layer)).otherwise(F.col("layers"))).withColumn("final", F.when(open_ & ~F.col("over"), end).otherwise(F.col("final")))
+        s = s.withColumn("texts", F.when(F.col("over"), F.col("texts")).otherwise(none)).withColumn("costs", F.transform("texts", lambda t: K.token_count(t, cfg.specials)))
+        s = bin_pack(s, "costs", cfg.budget).withColumn("merged", F.expr(_MERGED)).withColumn("texts", F.transform("merged", lambda t: gen.generate(t, cfg.group_len))).select("doc_id", "texts", "final", "layers")
+    last = F.when(open_, gen.generate(F.array_join("texts", " "), cfg.final_len)).otherwise(F.col("final"))
+    return s.select("doc_id", last.alias("final_summary"), F.coalesce("layers", F.lit(cfg.max_layers + 1)).alias("reduction_layers"))
+
+
+def _reduce_levels(level: DataFrame, gen: Generator, cfg: ReduceConfig) -> DataFrame:
+    joined, done = F.array_join("texts", " "), None
+    state = _cut(level.select("doc_id", "texts"))
     for layer in range(cfg.max_layers + 1):
         s = state.withColumn("joined", joined).withColumn("tok", K.token_count(F.col("joined"), cfg.specials))
         fits = F.col("tok") <= cfg.budget
-        keep = fits & (F.col("tok") < cfg.enough) if layer else F.lit(False)
-        out = s.where(fits | (F.size("texts") <= 1)).select("doc_id", F.when(keep, F.col("joined")).otherwise(gen.generate(F.col("joined"), cfg.final_len, 128)).alias("final_summary"), F.lit(layer).alias("reduction_layers"))
-        done = out if done is None else done.unionByName(out)
-        rest = s.where(~fits & (F.size("texts") > 1))
-        rest = bin_pack(rest.withColumn("costs", F.transform("texts", lambda t: K.token_count(t, cfg.specials))), "costs", cfg.budget)
-        merged = F.expr("transform(starts, (s, k) -> array_join(slice(texts, s + 1, coalesce(get(starts, k + 1), size(texts)) - s), ' '))")
-        state = _cut(rest.select("doc_id", F.transform(merged, lambda t: gen.generate(t, cfg.group_len)).alias("texts")))
+        keep = (fits & (F.col("tok") < cfg.enough)) if layer else F.lit(False)
+        full = s.where(fits | (F.size("texts") <= 1))
+        for part in ([full.where(~keep).select("doc_id", gen.generate(F.col("joined"), cfg.final_len, 128).alias("final_summary"))] + ([full.where(keep).select("doc_id", F.col("joined").alias("final_summary"))] if layer else [])):
+            part = part.withColumn("reduction_layers", F.lit(layer))
+            done = part if done is None else done.unionByName(part)
+        rest = s.where(~fits & (F.size("texts") > 1)).withColumn("costs", F.transform("texts", lambda t: K.token_count(t, cfg.specials)))
+        each = bin_pack(rest, "costs", cfg.budget).select("doc_id", F.posexplode(F.expr(_MERGED)).alias("pos", "t")).select("doc_id", "pos", gen.generate(F.col("t"), cfg.group_len).alias("t"))
+        state = _cut(each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("m")).select("doc_id", F.transform("m", lambda x: x["t"]).alias("texts")))
     last = state.select("doc_id", gen.generate(joined, cfg.final_len).alias("final_summary"), F.lit(cfg.max_layers + 1).alias("reduction_layers"))
     return done.unionByName(last)
 

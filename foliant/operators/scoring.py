@@ -30,7 +30,7 @@ def rouge_n(pairs: DataFrame, n: int, keys: list[str], candidate: str = "candida
 
     Both sides' n-grams are counted together, so the pairs go through one shuffle, on (keys, gram).
     """
-    rows = pairs.select(*keys, grams(score_tokens(F.col(candidate)), n).alias("c"), grams(score_tokens(F.col(reference)), n).alias("r"))
+    rows = pairs.select(*keys, T.let(score_tokens(F.col(candidate)), lambda t: grams(t, n)).alias("c"), T.let(score_tokens(F.col(reference)), lambda t: grams(t, n)).alias("r"))
     each = rows.select(*keys, F.explode(F.concat(F.transform("c", lambda g: F.struct(g.alias("g"), F.lit(1).alias("c"), F.lit(0).alias("r"))), F.transform("r", lambda g: F.struct(g.alias("g"), F.lit(0).alias("c"), F.lit(1).alias("r"))))).alias("x"))
     per = each.groupBy(*keys, "x.g").agg(F.sum("x.c").alias("c"), F.sum("x.r").alias("r"))
     hit = per.groupBy(*keys).agg(F.sum(F.least("c", "r")).alias("hit"), F.sum("c").alias("nc"), F.sum("r").alias("nr"))

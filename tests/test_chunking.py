@@ -131,6 +131,23 @@ def test_reduction_layers(spark):
     assert got[2]["final_summary"] == "Just one. Two." and got[2]["reduction_layers"] == 0
 
 
+def test_reduction_by_a_udf_is_the_same(spark, data):
+    import pandas as pd
+
+    from foliant.functions.interfaces import UdfGenerator
+    from foliant.plans.experiments import clusters
+
+    @F.pandas_udf("string")
+    def lead(t: pd.Series, n: pd.Series, least: pd.Series) -> pd.Series:
+        return pd.Series([" ".join((x or "").split()[:1024][:k]) for x, k in zip(t, n, strict=True)])
+
+    c = clusters(spark.read.parquet(f"{data}/documents.parquet"))
+    cfg = ReduceConfig(chunk=ChunkConfig(max_tokens=64, min_tokens=16, overlap_tokens=8, mode="greedy_sentence"), budget=300)
+    want = sorted(tuple(r) for r in reduce.summarize(c, cfg=cfg).collect())
+    assert sorted(tuple(r) for r in reduce.summarize(c, UdfGenerator(lead), cfg).collect()) == want
+    assert max(r[2] for r in want) >= 2
+
+
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(1, 1500), min_size=1, max_size=20))
 def test_bin_pack(spark, costs):
