@@ -20,7 +20,7 @@ MODES = {"fixed_overlap": OVERLAP, "no_overlap": NO_OVERLAP, "large_tail": Chunk
 
 
 def _docs(spark, d):
-    return files.dataset(spark, d, "documents")
+    return files.spread(files.dataset(spark, d, "documents"))
 
 
 def _round(df: DataFrame, *cols: str, to: int = 6) -> DataFrame:
