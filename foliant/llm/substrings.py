@@ -1,4 +1,14 @@
-"""Substring dedup by hashing lines' sentences: repeated passages go, their earliest occurrence stays."""
+"""Substring dedup: repeated passages go, their earliest occurrence stays.
+
+Three kinds of pieces are compared, each by its digest over all texts: windows of ``least_words`` words at every word, which find what
+stands inside other text; sentences of lines, whose runs go from ``least_words`` words on; and whole lines (so far unused). The steps:
+
+1. ``_chunks``: chunks of words cut by their content. The windows of a chunk that stood earlier repeat, and the earliest chunk has them too.
+2. ``_keys``: the 64-bit hashes of each text's sentences and lines, and of the least fragments of its other windows. Equal windows
+   have equal least fragments, so a window whose fragment comes once can't repeat; this leaves out most windows and no repeated one.
+3. ``_candidates``: the 128-bit digests of the pieces whose hash comes twice. All but the earliest place of each are repeated.
+4. ``cut``: the words that repeated pieces cover, in maximal runs, mapped back to offsets.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +17,27 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import pieces
+from .batches import pieces, text_buffer
+from .common import drop, release, table
+from .jaccard import _EACH, _mix, _power
 
-#: A run of repeated units in a document goes if it holds so many words.
+#: A run of repeated units in a document goes if it holds so many words; so does any repeated run of words of that length.
 LEAST_WORDS = 12
+#: Kinds of pieces, the lowest bits of a place.
+UNIT, LINE, WINDOW, CHUNKED = range(4)
+#: Words of a chunk, on average; the bits of a place that tell the word (above them stands the length of a chunk).
+CHUNK, PLACE = 32, (1 << 31) - 1
 
 _UNIT = re.compile(r"[^\n]*?[.!?]+(?=\s|$)|[^\n]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+_FOLDED = np.frombuffer(_FOLD, np.uint8)
+_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+_MARKS = re.compile(r"[^\s0-9A-Za-z\x80-\U0010ffff]*")
+_STEPS = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_LANE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def units(text: str) -> list[tuple[int, int, int, bytes]]:
@@ -33,59 +54,268 @@ def units(text: str) -> list[tuple[int, int, int, bytes]]:
     return out
 
 
-def _digests(batches):
-    for batch in pieces(batches):
-        docs, hashes, texts = [], [], batch.column("text").to_pylist()
-        ids, th = batch.column("doc_id"), batch.column("text_hash")
-        rows, at, ds = [], [], []
-        for i, t in enumerate(texts):
-            for u, x in enumerate(units(t or "")):
-                rows.append(i)
-                at.append(u)
-                ds.append(x[3])
-        if rows:
-            d = np.frombuffer(b"".join(ds), "<i8").reshape(-1, 2)
-            take = pa.array(rows)
-            docs, hashes = ids.take(take), th.take(take)
-            yield pa.RecordBatch.from_arrays([docs, hashes, pa.array(at, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["doc_id", "text_hash", "u", "d1", "d2"])
+def parts(text: str) -> list[tuple[int, int, int, int, int, bool]]:
+    """The units and the lines of several units: kind, first word, words, start, end, whether it is a whole line."""
+    out, line, at, word = [], [], 0, 0
 
+    def close():
+        if len(line) == 1:
+            out[line[0]] = (*out[line[0]][:5], True)
+        elif line:
+            a, b = out[line[0]], out[line[-1]]
+            out.append((LINE, a[1], b[1] + b[2] - a[1], a[3], b[4], True))
 
-def cut(text: str, repeated: set[int], least_words: int) -> tuple[int, list[tuple[int, int]], str]:
-    """The number of units, the spans that go, and what is left: runs of repeated units that hold ``least_words`` words."""
-    all_ = units(text)
-    spans, i = [], 0
-    while i < len(all_):
-        if i not in repeated:
-            i += 1
+    for m in _UNIT.finditer(text):
+        n = len(_WORD.findall(m[0]))
+        if not n:
             continue
+        if line and text.find("\n", at, m.start()) >= 0:
+            close()
+            line = []
+        line.append(len(out))
+        a, b = m.span()
+        out.append((UNIT, word, n, a + len(m[0]) - len(m[0].lstrip()), b - len(m[0]) + len(m[0].rstrip()), False))
+        at, word = b, word + n
+    close()
+    return out
+
+
+def _word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the normalised words of the texts in ``buf``, where each begins, and where each text's words begin among them."""
+    n, low = len(buf), _FOLDED[buf]
+    solid = low != 32
+    full = offsets[:-1] < offsets[1:]
+    joined = np.zeros(n + 1, bool)  # whether a byte and the one before it are of one word
+    joined[1:n] = solid[1:] & solid[:-1]
+    joined[offsets[:-1][full]] = False
+    starts = np.flatnonzero(solid & ~joined[:n])
+    ends = np.flatnonzero(solid & ~np.append(joined[1:n], np.zeros(min(n, 1), bool))) + 1
+    up, down = _power(n + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_EACH[low] * up[:n], dtype=np.uint64)])
+        h = _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return h, starts, np.searchsorted(starts, offsets)
+
+
+def _spaced(buf: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Whether white space (as in ``_UNIT``) begins at these bytes."""
+    x, y, z = (np.append(buf, np.zeros(3, np.uint8))[i + k] for k in range(3))
+    wide = (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE2) & (y == 0x80) & ((z >= 0x80) & (z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF)) | (x == 0xE2) & (y == 0x81) & (z == 0x9F) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
+    return (x >= 9) & (x <= 13) | (x >= 28) & (x <= 32) | (x == 0xC2) & ((y == 0x85) | (y == 0xA0)) | wide
+
+
+def _ranges(buf: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``parts`` of all texts in ``buf``: kind, first word and end among the batch's words."""
+    marks = np.flatnonzero((buf == 46) | (buf == 33) | (buf == 63)) + 1
+    marks = marks[_spaced(buf, marks) | np.isin(marks, offsets)]
+    lines = np.union1d(np.flatnonzero(buf == 10) + 1, offsets)
+
+    def runs(cuts):
+        at = np.searchsorted(cuts, starts, "right")
+        first = np.flatnonzero(np.append(np.ones(min(len(at), 1), bool), at[1:] != at[:-1]))
+        return first, np.append(first[1:], len(at))[: len(first)]
+
+    (ua, ub), (la, lb) = runs(np.union1d(marks, lines)), runs(lines)
+    several = np.searchsorted(ua, lb) - np.searchsorted(ua, la) > 1
+    return np.repeat([UNIT, LINE], [len(ua), several.sum()]), np.concatenate([ua, la[several]]), np.concatenate([ub, lb[several]])
+
+
+def _digests(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of the words from ``a`` to ``b``."""
+    up, down = _power(len(h) + 1)
+    out = []
+    with np.errstate(over="ignore"):
+        for x in (h, _mix(h ^ _LANE)):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[: len(x)], dtype=np.uint64)])
+            out.append(_mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+def _rolled(h: np.ndarray, width: int, step: np.uint64) -> np.ndarray:
+    """A hash of the ``width`` words from each word on."""
+    n = max(len(h) - width + 1, 0)
+    s = h[:n].copy()
+    with np.errstate(over="ignore"):
+        for k in range(1, width):
+            s = (s ^ (s >> np.uint64(29))) * step + h[k : n + k]
+        return _mix(s)
+
+
+def _least(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows that lie in one text: their text and first word; the least fragment hash of each; the hashes of all fragments."""
+    each = _rolled(h, (width + 1) // 2, _STEPS[0])
+    n = max(len(h) - width + 1, 0)
+    least = each[:n].copy()
+    for k in range(1, width - (width + 1) // 2 + 1):
+        np.minimum(least, each[k : n + k], out=least)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    p = np.flatnonzero(np.arange(n) + width <= at[1:][row[:n]])
+    return row, p, least[p], each
+
+
+def _in_text(x: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One key for a hash and its text within a batch."""
+    with np.errstate(over="ignore"):
+        return _mix(x + row.astype(np.uint64) * _LANE)
+
+
+def _chunks(width: int):
+    """Chunks that begin where the hash of the next words says so, each with the ``width - 1`` words after it: all windows that begin in it."""
+
+    def run(batches):
+        for batch in pieces(batches):
+            h, _, at = _word_hashes(*text_buffer(batch))
+            each = _rolled(h, (width + 1) // 2, _STEPS[0])
+            a = np.union1d(np.flatnonzero(each % np.uint64(CHUNK) == 0), at[:-1][np.diff(at) > 0])
+            row = np.searchsorted(at, a, "right") - 1
+            b = np.minimum(np.append(a[1:], len(h))[: len(a)] + width - 1, at[row + 1])
+            keep = b - a >= width
+            a, b, row = a[keep], b[keep], row[keep]
+            d1, d2 = _digests(h, a, b)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array(a - at[row]), pa.array(b - a), pa.array(d1), pa.array(d2)], ["doc_id", "text_hash", "at", "len", "d1", "d2"])
+
+    return run
+
+
+def _keys(width: int):
+    def run(batches):
+        for batch in pieces(batches):
+            buf, offsets = text_buffer(batch)
+            h, starts, at = _word_hashes(buf, offsets)
+            row, p, least, each = _least(h, at, width)
+            # windows of chunks that repeat are known to repeat
+            known = batch.column("us")
+            us = known.flatten().to_numpy()
+            a = at[np.repeat(np.arange(batch.num_rows), known.fill_null([]).value_lengths().to_numpy())] + (us >> 2 & PLACE)
+            edges = np.zeros(len(h) + 1, np.int64)
+            np.add.at(edges, a, 1)
+            np.add.at(edges, a + (us >> 33) - width + 1, -1)
+            keep = np.cumsum(edges)[p] == 0
+            p, least = p[keep], least[keep]
+            _, one = np.unique(_in_text(least, row[p]), return_index=True)
+            every = np.sort(_in_text(each, row[: len(each)]))
+            mine = _in_text(least[one], row[p[one]])
+            twice = one[np.searchsorted(every, mine, "right") - np.searchsorted(every, mine, "left") > 1]
+            one = np.concatenate([one, twice])  # twice if it repeats within the text
+            _, a, b = _ranges(buf, offsets, starts)
+            d, _ = _digests(h, a, b)
+            take = pa.array(np.concatenate([row[a], row[p[one]]]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array(np.concatenate([d, least[one].view(np.int64)]))], ["doc_id", "text_hash", "key"])
+
+    return run
+
+
+def _candidates(width: int):
+    def run(batches):
+        for batch in pieces(batches):
+            buf, offsets = text_buffer(batch)
+            h, starts, at = _word_hashes(buf, offsets)
+            row, p, least, _ = _least(h, at, width)
+            keys = batch.column("keys")
+            held = _in_text(keys.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(batch.num_rows), keys.value_lengths().to_numpy()))
+            p = p[np.isin(_in_text(least, row[p]), held)]
+            one, two = _rolled(h, width, _STEPS[0])[p], _rolled(_mix(h ^ _LANE), width, _STEPS[1])[p]
+            kind, a, b = _ranges(buf, offsets, starts)
+            d1, d2 = _digests(h, a, b)
+            keep = np.isin(_in_text(d1.view(np.uint64), row[a]), held)
+            kind, a, d1, d2 = kind[keep], a[keep], d1[keep], d2[keep]
+            first = np.concatenate([a, p])
+            take = pa.array(row[first])
+            place = (first - at[row[first]]) * 4 + np.concatenate([kind, np.full(len(p), WINDOW)])
+            arrays = [batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array(place), pa.array(np.concatenate([d1, one.view(np.int64)])), pa.array(np.concatenate([d2, two.view(np.int64)]))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "at", "d1", "d2"])
+
+    return run
+
+
+def cut(text: str, repeated: set[int], least_words: int) -> tuple[int, list[tuple[int, int]], str]:
+    """The number of units, the spans that go, and what is left: maximal runs of the words that repeated pieces (by place) cover."""
+    if not repeated:
+        return sum(1 for m in _UNIT.finditer(text) if _WORD.search(m[0])), [], text
+    all_ = parts(text)
+    own = [x for x in all_ if x[0] == UNIT]
+    gone = []
+    i = 0
+    while i < len(own):
         j = i
-        while j < len(all_) and j in repeated:
+        while j < len(own) and own[j][1] * 4 + UNIT in repeated:
             j += 1
-        if sum(x[2] for x in all_[i:j]) >= least_words:
-            spans.append((all_[i][0], all_[j - 1][1]))
-        i = j
+        if sum(x[2] for x in own[i:j]) >= least_words:
+            gone += own[i:j]
+        i = max(j, i + 1)
+    n = own[-1][1] + own[-1][2]
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, [x[1] for x in gone], 1)
+    np.add.at(edges, [x[1] + x[2] for x in gone], -1)
+    p = np.array([x >> 2 for x in repeated if x & 3 == WINDOW], np.int64)
+    np.add.at(edges, p, 1)
+    np.add.at(edges, p + least_words, -1)
+    c = np.array([x for x in repeated if x & 3 == CHUNKED], np.int64)
+    np.add.at(edges, c >> 2 & PLACE, 1)
+    np.add.at(edges, (c >> 2 & PLACE) + (c >> 33), -1)
+    covered = np.concatenate([[0], np.cumsum(edges[:-1]) > 0, [0]]).astype(np.int8)
+    begins, stops = np.flatnonzero(np.diff(covered) == 1).tolist(), np.flatnonzero(np.diff(covered) == -1).tolist()
+    first, last = {x[1]: x[3] for x in gone}, {x[1] + x[2]: x[4] for x in gone}
+    words = [m.span() for m in _WORD.finditer(text)] if begins else []
+    spans = []
+    for a, b in zip(begins, stops, strict=True):
+        s, e = words[a][0], _MARKS.match(text, words[b - 1][1]).end()
+        k = s
+        while k and _MARKS.fullmatch(text[k - 1]):
+            k -= 1
+        if k == 0 or text[k - 1].isspace():  # marks after a word go with that word
+            s = k
+        spans.append((min(s, first.get(a, s)), max(e, last.get(b, e))))
     left, at = [], 0
     for a, b in spans:
         left.append(text[at:a])
         at = b
-    return len(all_), spans, "".join([*left, text[at:]])
+    return len(own), spans, "".join([*left, text[at:]])
+
+
+def _table(df: DataFrame, name: str) -> DataFrame:
+    """``table``, whose shuffle files go as soon as it is written; Spark's cleaner may come to them a step later."""
+    conf, flag = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(flag, None)
+    conf.set(flag, "true")
+    try:
+        return table(df, name)
+    finally:
+        conf.unset(flag) if before is None else conf.set(flag, before)
 
 
 def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """A row for each row of ``docs``: ``doc_id, n_units, n_removed, removed_chars, removed (start, end), text``.
 
-    Units with equal digests are one passage; the occurrence with the smallest (doc_id, place) stays, null ids last. Offsets are code points
+    A run of ``least_words`` or more words that stands elsewhere goes wherever it starts and ends; so does a run of repeated units (sentences
+    of lines) with as many words, . Pieces with equal digests are one passage; the
+    occurrence with the smallest (doc_id, place) stays, null ids last. Offsets are code points
     of the original text, ``text`` is what is left. Null text stays null with no units; rows equal in id and text are
     one document and get the same result; other columns are ignored.
     """
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    unit = base.where("text is not null").mapInArrow(_digests, f"doc_id {kind}, text_hash long, u int, d1 long, d2 long")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash", "u")
-    first = unit.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(place).alias("f")).where("c > 1").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "f")
-    later = unit.join(first, F.expr("d1 = e1 and d2 = e2")).where("not (doc_id <=> f.doc_id and text_hash = f.text_hash and u = f.u)")
-    gone = later.groupBy("doc_id", "text_hash").agg(F.collect_set("u").alias("us")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "us")
-    held = base.join(gone, F.expr("doc_id <=> _d and text_hash = _h"), "left").select("doc_id", "text", "us")
+    some = base.where("text is not null")
+    own = F.expr("doc_id <=> _d and text_hash = _h")
+    names = F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")
+    place = Window.partitionBy("d1", "d2").orderBy(F.col("doc_id").isNull(), "doc_id", "text_hash", "at")
+    later = F.rank().over(place)  # rows equal in id and text are one document
+
+    chunk = some.mapInArrow(_chunks(least_words), f"doc_id {kind}, text_hash long, at long, len long, d1 long, d2 long").withColumn("r", later).where("r > 1")
+    chunk = _table(chunk.groupBy(*names).agg(F.collect_set(F.expr(f"shiftleft(shiftleft(len, 31) + at, 2) + {CHUNKED}")).alias("us")), "chunks")
+    release(spark)
+    key = some.join(chunk, own, "left").select("doc_id", "text_hash", "text", "us").mapInArrow(_keys(least_words), f"doc_id {kind}, text_hash long, key long")
+    shared = key.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
+    shared = _table(shared.groupBy(*names).agg(F.collect_set("key").alias("keys")), "shared")
+    release(spark)
+    found = some.join(shared, own).select("doc_id", "text_hash", "text", "keys").mapInArrow(_candidates(least_words), f"doc_id {kind}, text_hash long, at long, d1 long, d2 long")
+    gone = _table(found.withColumn("r", later).where("r > 1").groupBy(*names).agg(F.collect_set("at").alias("us")), "gone")
+    drop(shared)
+    del key, shared, found
+    release(spark)
+    gone = gone.unionByName(chunk).groupBy("_d", "_h").agg(F.flatten(F.collect_list("us")).alias("us"))
+    held = base.join(gone, own, "left").select("doc_id", "text", "us")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):

@@ -321,6 +321,80 @@ def test_substrings_odd_rows(spark):
     assert substrings.dedup_substrings(H.empty(spark)).count() == 0
 
 
+def plain_words(t):
+    return [(m[0].translate({c: c + 32 for c in range(65, 91)}), *m.span()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", t)]
+
+
+def brute_cover(docs, least=substrings.LEAST_WORDS):
+    """Of each text the words that repeated windows, runs of repeated units and repeated short lines cover, without hashes."""
+    order, met = sorted({d for d in docs if d[1] is not None}, key=lambda d: (d[0] is None, d[0] or 0)), set()
+    out = {}
+    for d, t in order:
+        w, own, own_units = [x[0] for x in plain_words(t)], [False] * len(plain_words(t)), []
+        at = 0
+        for line in t.split("\n"):
+            n = len(plain_words(line))
+            ends = [u[2] for u in substrings.units(line)]
+            places = [(at + sum(ends[:i]), at + sum(ends[: i + 1])) for i in range(len(ends))]
+            keys = []
+            for a, b in places + [(at, at + n)] * (len(ends) > 1):
+                key = ("piece", *w[a:b])
+                keys.append(key in met)
+                met.add(key)
+            own_units += [(a, b, k) for (a, b), k in zip(places, keys)]
+            at += n
+        for a in range(len(w) - least + 1):
+            key = ("window", *w[a : a + least])
+            if key in met:
+                own[a : a + least] = [True] * least
+            met.add(key)
+        run = []
+        for a, b, k in [*own_units, (0, 0, False)]:
+            if k:
+                run.append((a, b))
+            else:
+                if run and run[-1][1] - run[0][0] >= least:
+                    own[run[0][0] : run[-1][1]] = [True] * (run[-1][1] - run[0][0])
+                run = []
+        out[d, t] = own
+    return out
+
+
+def covered_words(r, t):
+    return [any(s["start"] <= a and b <= s["end"] for s in r["removed"]) for _, a, b in plain_words(t)]
+
+
+def test_substrings_are_whole(spark, data):
+    docs = {r["doc_id"]: r["text"] for r in H.table(data, "documents")}
+    want = brute_cover(list(docs.items()))
+    for r in rows(QUERIES["op2_substring_dedup"](spark, data)):
+        t = docs[r["doc_id"]]
+        assert covered_words(r, t) == want[r["doc_id"], t], r["doc_id"]
+        left = "".join(c for i, c in enumerate(t) if not any(s["start"] <= i < s["end"] for s in r["removed"]))
+        assert r["text"] == left and r["n_removed"] == len(r["removed"]) and r["removed_chars"] == len(t) - len(left)
+
+
+def test_passages_inside_units(spark):
+    p = [f"w{k}" for k in range(40)]
+    docs = [
+        (1, "At the start " + " ".join(p) + " and more of it"),
+        (2, "Mid Sentence é, " + " ".join(p).upper() + " goes on. End"),
+        (3, "no marks " + " ".join(p[5:30]) + " here"),
+        (4, "symbols " + " ".join(x + ("***" if k % 2 else ".%%%") for k, x in enumerate(p)) + " after"),
+        (5, "split " + " ".join(p[:7]) + "\n" + " ".join(p[7:14]) + " over lines"),
+        (6, "too short " + " ".join(p[:11]) + " of it"),
+        (7, "changed " + " ".join(p[:18] + ["other"] + p[19:]) + " word"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in rows(substrings.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert got == {1: docs[0][1], 2: "Mid Sentence é,  goes on. End", 3: "no marks  here", 4: "symbols  after", 5: "split  over lines", 6: docs[5][1], 7: "changed  other  word"}
+
+
+def test_passage_repeats_within_a_text(spark):
+    p = " ".join(f"w{k}" for k in range(15))
+    got = rows(substrings.dedup_substrings(spark.createDataFrame([(1, f"a {p} b {p} c")], "doc_id long, text string")))
+    assert got[0]["text"] == f"a {p} b  c"
+
+
 # --- top-k
 
 
