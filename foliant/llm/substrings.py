@@ -1,7 +1,7 @@
 """Substring dedup: repeated passages go, their earliest occurrence stays.
 
 Three kinds of pieces are compared, each by its digest over all texts: windows of ``least_words`` words at every word, which find what
-stands inside other text; sentences of lines, whose runs go from ``least_words`` words on; and whole lines (so far unused). The steps:
+stands inside other text; sentences of lines, whose runs go from ``least_words`` words on; and short whole lines. The steps:
 
 1. ``_chunks``: chunks of words cut by their content. The windows of a chunk that stood earlier repeat, and the earliest chunk has them too.
 2. ``_keys``: the 64-bit hashes of each text's sentences and lines, and of the least fragments of its other windows. Equal windows
@@ -26,6 +26,8 @@ from .jaccard import _EACH, _mix, _power
 
 #: A run of repeated units in a document goes if it holds so many words; so does any repeated run of words of that length.
 LEAST_WORDS = 12
+#: A repeated whole line goes if it holds so many words: more than a bare word or two.
+LEAST_LINE = 3
 #: Kinds of pieces, the lowest bits of a place.
 UNIT, LINE, WINDOW, CHUNKED = range(4)
 #: Words of a chunk, on average; the bits of a place that tell the word (above them stands the length of a chunk).
@@ -234,7 +236,7 @@ def cut(text: str, repeated: set[int], least_words: int) -> tuple[int, list[tupl
         return sum(1 for m in _UNIT.finditer(text) if _WORD.search(m[0])), [], text
     all_ = parts(text)
     own = [x for x in all_ if x[0] == UNIT]
-    gone = []
+    gone = [x for x in all_ if x[5] and x[2] >= LEAST_LINE and x[1] * 4 + x[0] in repeated]
     i = 0
     while i < len(own):
         j = i
@@ -288,7 +290,7 @@ def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
     """A row for each row of ``docs``: ``doc_id, n_units, n_removed, removed_chars, removed (start, end), text``.
 
     A run of ``least_words`` or more words that stands elsewhere goes wherever it starts and ends; so does a run of repeated units (sentences
-    of lines) with as many words, . Pieces with equal digests are one passage; the
+    of lines) with as many words, and a repeated whole line of ``LEAST_LINE`` words or more. Pieces with equal digests are one passage; the
     occurrence with the smallest (doc_id, place) stays, null ids last. Offsets are code points
     of the original text, ``text`` is what is left. Null text stays null with no units; rows equal in id and text are
     one document and get the same result; other columns are ignored.

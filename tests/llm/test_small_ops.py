@@ -342,6 +342,8 @@ def brute_cover(docs, least=substrings.LEAST_WORDS):
                 keys.append(key in met)
                 met.add(key)
             own_units += [(a, b, k) for (a, b), k in zip(places, keys)]
+            if n >= 3 and keys[-1]:
+                own[at : at + n] = [True] * n
             at += n
         for a in range(len(w) - least + 1):
             key = ("window", *w[a : a + least])
@@ -395,6 +397,13 @@ def test_passage_repeats_within_a_text(spark):
     assert got[0]["text"] == f"a {p} b  c"
 
 
+def test_short_lines_go(spark):
+    line = "The and attion. Eriner thanea."
+    docs = [(d, f"Own text {d} of document\n{line}\nlast {d} x\nOk then") for d in range(50)]
+    got = {r["doc_id"]: r["text"] for r in rows(substrings.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert got == {d: t if d == 0 else t.replace(line, "") for d, t in docs}
+
+
 # --- top-k
 
 
