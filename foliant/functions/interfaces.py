@@ -8,11 +8,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text, tokens
 
+#: Up to so many vectors the encoder's table is sent to the workers as a matrix; a larger one is joined.
+MATRIX_ROWS = 100_000
+
 
 class Tokenizer(Protocol):
     specials: int
@@ -72,28 +78,95 @@ class UdfGenerator:
 
 @dataclass
 class HashedVectors:
-    """A sentence's vector is the sum of its tokens' vectors; a token's vector is the row of ``table(vec_id, embedding)`` that its md5 picks."""
+    """A sentence's vector is the sum of its tokens' vectors; a token's vector is the row of ``table(vec_id, embedding)`` that its md5 picks.
+
+    A table of ``MATRIX_ROWS`` rows or fewer goes to the workers as a matrix, and a sentence is encoded where it stands; a larger one is joined on
+    the distinct tokens. A sentence without a known token has no vector.
+    """
 
     table: DataFrame
     dim: int = 64
     rows: int | None = None
 
+    def __post_init__(self):
+        self._count = self._sent = None
+
+    @property
+    def count(self) -> int:
+        if self._count is None:
+            self._count = self.table.count()
+        return self._count
+
+    @property
+    def small(self) -> bool:
+        return self.count <= MATRIX_ROWS
+
+    def keys(self, tok: Column) -> Column:
+        """The rows of the table that an array of tokens picks."""
+        return F.transform(tok, lambda t: F.pmod(tokens.token_hash(t), F.lit(self.rows or self.count)))
+
+    def matrix(self):
+        """The sorted ids and their vectors. Only for a small table."""
+        got = self.table.select("vec_id", "embedding").where("vec_id is not null and embedding is not null").orderBy("vec_id").toPandas()
+        vec = np.stack([np.asarray(v, np.float64) for v in got["embedding"]]) if len(got) else np.zeros((0, self.dim))
+        return got["vec_id"].to_numpy(np.int64), vec
+
+    def sent(self):
+        """``matrix`` as a broadcast, made once."""
+        if self._sent is None:
+            self._sent = self.table.sparkSession.sparkContext.broadcast(self.matrix())
+        return self._sent
+
     def token_vectors(self, df: DataFrame, token: str) -> DataFrame:
         """``df`` with the columns ``_e0 ...`` of each token's vector in double."""
-        n = self.rows or self.table.count()
         vec = self.table.select(F.col("vec_id").alias("_v"), *[F.col("embedding")[i].cast("double").alias(f"_e{i}") for i in range(self.dim)])
-        return df.withColumn("_k", F.pmod(tokens.token_hash(F.col(token)), F.lit(n))).join(vec, F.col("_k") == F.col("_v")).drop("_k", "_v")
+        return df.withColumn("_k", F.pmod(tokens.token_hash(F.col(token)), F.lit(self.rows or self.count))).join(vec, F.col("_k") == F.col("_v")).drop("_k", "_v")
 
-    def matrix(self):
-        """The number of rows, the sorted ids, and their vectors scaled to length 1. Only for a table that the caller has found small."""
-        import numpy as np
+    def attach(self, df: DataFrame, text: str, out: str = "vector") -> DataFrame:
+        """``df`` with the vector of each text; null where there is none."""
+        if self.small:
+            sent = self.sent()
 
-        got = self.table.select("vec_id", "embedding").orderBy("vec_id").toPandas()
-        vec = np.stack([np.asarray(v, np.float64) for v in got["embedding"]]) if len(got) else np.zeros((0, self.dim))
-        size = np.linalg.norm(vec, axis=1, keepdims=True)
-        return self.rows or len(got), got["vec_id"].to_numpy(np.int64), np.divide(vec, size, out=np.zeros_like(vec), where=size > 0)
+            @F.arrow_udf("array<double>")
+            def look(keys: pa.Array) -> pa.Array:
+                return vector_arrays(*sums(keys, *sent.value))
+
+            return df.withColumn(out, look(self.keys(tokens.tokens(F.col(text)))))
+        key = F.md5(F.coalesce(F.col(text), F.lit("")))
+        once = df.select(key.alias("_key"), F.col(text).alias("_text")).dropDuplicates(["_key"])
+        each = once.select("_key", F.explode(tokens.tokens(F.col("_text"))).alias("_tok"))
+        summed = self.token_vectors(each, "_tok").groupBy("_key").agg(*[F.sum(f"_e{i}").alias(f"_s{i}") for i in range(self.dim)])
+        vec = summed.select("_key", F.array(*[F.col(f"_s{i}") for i in range(self.dim)]).alias(out))
+        return df.withColumn("_own", key).join(vec, F.col("_own") == F.col("_key"), "left").drop("_own", "_key")
 
     def encode(self, sentences: DataFrame) -> DataFrame:
-        each = sentences.select("sentence").distinct().select("sentence", F.explode(tokens.tokens(F.col("sentence"))).alias("tok"))
-        summed = self.token_vectors(each, "tok").groupBy("sentence").agg(*[F.sum(f"_e{i}").alias(f"_s{i}") for i in range(self.dim)])
-        return summed.select("sentence", F.array(*[F.col(f"_s{i}") for i in range(self.dim)]).alias("vector"))
+        return self.attach(sentences.select("sentence").distinct(), "sentence").where("vector is not null").select("sentence", "vector")
+
+
+def sums(keys: pa.Array, ids: np.ndarray, vectors: np.ndarray, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """For each list of keys the sum of their vectors, and whether a key is known; ``most`` token vectors are held at once."""
+    sizes = pc.fill_null(pc.list_value_length(keys), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(keys).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.minimum(np.searchsorted(ids, flat), max(len(ids) - 1, 0))
+    known = ids[at] == flat if len(ids) else np.zeros(len(flat), bool)
+    row = np.repeat(np.arange(len(sizes)), sizes)[known]
+    at = at[known]
+    out = np.zeros((len(sizes), vectors.shape[1]))
+    for low in range(0, len(row), most):
+        r = row[low : low + most]
+        first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+        out[r[first]] += np.add.reduceat(vectors[at[low : low + most]], first, axis=0)
+    return out, np.bincount(row, minlength=len(sizes)) > 0
+
+
+def vector_arrays(vectors: np.ndarray, known: np.ndarray) -> pa.Array:
+    n, dim = vectors.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(vectors.ravel()), mask=pa.array(~known))
+
+
+def attach(encoder, df: DataFrame, text: str, out: str = "vector") -> DataFrame:
+    """``df`` with each text's vector by any encoder: by its own ``attach`` if it has one, else each distinct text once, joined back by digest."""
+    if hasattr(encoder, "attach"):
+        return encoder.attach(df, text, out)
+    vec = encoder.encode(df.select(F.col(text).alias("sentence")).distinct()).select(F.md5("sentence").alias("_key"), F.col("vector").alias(out))
+    return df.withColumn("_own", F.md5(F.coalesce(F.col(text), F.lit("")))).join(vec, F.col("_own") == F.col("_key"), "left").drop("_own", "_key")

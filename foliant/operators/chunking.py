@@ -6,15 +6,20 @@ A document stays one row until it is cut, so chunking needs no shuffle; document
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ChunkConfig
 from ..functions import text as T
 from ..functions import tokens as K
-from ..functions.interfaces import PunctuationSplitter, SentenceSplitter, Tokenizer, WhitespaceTokenizer
+from ..functions.interfaces import PunctuationSplitter, SentenceSplitter, Tokenizer, WhitespaceTokenizer, attach, sums
 from ..functions.similarity import KERNEL, SMOOTH_OVER
+from .coherence import MOST_SEGMENTS, SEGMENTS_OVER
+
+#: Sentences over which a chunk's coherence is measured with the centroid too; the weight of a late split; the shares of the overlap target
+#: at which the walk back looks at coherence, stops, and may not pass.
+GLOBAL_SENTENCES, LATE, LOOK, ENOUGH, MOST = 5, 0.3, 0.75, 0.8, 1.5
 
 
 def flat_windows(tok: Column, size: int, overlap: int = 0) -> Column:
@@ -79,15 +84,15 @@ def greedy_chunks(docs: DataFrame, cfg: ChunkConfig | None = None, text: str = "
 
 
 # The walk back from the end of a chunk: the first sentence always counts, none that would pass 1.5 targets, none after 0.8 targets.
-_BACK = """
-aggregate(reverse(sequence({s}, {e} - 1)), named_struct('k', {e}, 'cur', 0, 'go', true), (w, j) -> case
-  when not w.go or (w.k < {e} and w.cur + ss[j].n > 1.5D * {t}) then named_struct('k', w.k, 'cur', w.cur, 'go', false)
-  else named_struct('k', j, 'cur', w.cur + ss[j].n, 'go', w.cur + ss[j].n < 0.8D * {t}) end)
+_BACK = f"""
+aggregate(reverse(sequence({{s}}, {{e}} - 1)), named_struct('k', {{e}}, 'cur', 0, 'go', true), (w, j) -> case
+  when not w.go or (w.k < {{e}} and w.cur + ss[j].n > {MOST}D * {{t}}) then named_struct('k', w.k, 'cur', w.cur, 'go', false)
+  else named_struct('k', j, 'cur', w.cur + ss[j].n, 'go', w.cur + ss[j].n < {ENOUGH}D * {{t}}) end)
 """
 
 
 def overlap_chunks(docs: DataFrame, cfg: ChunkConfig | None = None, text: str = "text", **how) -> DataFrame:
-    """Packing with a carried-over tail, without a model: ``doc_id, chunk_id, article, text, token_count, sentence_count, has_overlap, overlap_tokens``.
+    """Packing with a carried-over tail, without a model: ``doc_id, chunk_id, article, text, sentences, token_count, sentence_count, has_overlap, overlap_tokens``.
 
     A chunk closes when the next sentence would pass the budget, and at the end of an article; the next one begins with the last
     sentences of the closed one (``overlap_tokens`` of them in tokens).
@@ -104,11 +109,12 @@ def overlap_chunks(docs: DataFrame, cfg: ChunkConfig | None = None, text: str =
               'out', concat(z.out, array(named_struct('s', z.s, 'e', i, 'o', z.tail), named_struct('s', w.k, 'e', i, 'o', i - w.k))))),
             named_struct('s', w.k, 'cur', w.cur + ss[i].n, 'tail', i - w.k, 'out', concat(z.out, array(named_struct('s', z.s, 'e', i, 'o', z.tail)))))),
           named_struct('s', z.s, 'cur', z.cur + ss[i].n, 'tail', z.tail, 'out', z.out)))"""))
-    parts = rows.select("doc_id", "ss", F.posexplode(F.expr("concat(f.out, array(named_struct('s', f.s, 'e', size(ss), 'o', f.tail)))")).alias("chunk_id", "r"))
-    part = parts.withColumn("p", F.expr("slice(ss, r.s + 1, r.e - r.s)"))
+    # a chunk's row gets its own sentences only, not the document's
+    cut = F.expr("transform(concat(f.out, array(named_struct('s', f.s, 'e', size(ss), 'o', f.tail))), r -> named_struct('p', slice(ss, r.s + 1, r.e - r.s), 'o', r.o))")
+    part = rows.select("doc_id", F.posexplode(cut).alias("chunk_id", "r")).select("doc_id", "chunk_id", F.col("r.p").alias("p"), F.col("r.o").alias("o"), F.expr("transform(r.p, x -> x.s)").alias("sentences"))
     return part.select(
-        "doc_id", "chunk_id", F.expr("p[size(p) - 1].a").alias("article"), F.expr("array_join(transform(p, x -> x.s), ' ')").alias("text"), F.expr("aggregate(p, 0, (z, x) -> z + x.n)").alias("token_count"),
-        F.size("p").alias("sentence_count"), (F.col("chunk_id") > 0).alias("has_overlap"), F.expr("aggregate(slice(p, 1, r.o), 0, (z, x) -> z + x.n)").alias("overlap_tokens"),
+        "doc_id", "chunk_id", F.expr("p[size(p) - 1].a").alias("article"), F.array_join("sentences", " ").alias("text"), "sentences", F.expr("aggregate(p, 0, (z, x) -> z + x.n)").alias("token_count"),
+        F.size("p").alias("sentence_count"), (F.col("chunk_id") > 0).alias("has_overlap"), F.expr("aggregate(slice(p, 1, o), 0, (z, x) -> z + x.n)").alias("overlap_tokens"),
     )
 
 
@@ -149,63 +155,93 @@ def split_point(counts: list[int], vectors: np.ndarray | None, words: list[set[s
     if not dips:
         return valid[int(np.argmin(v))] + 1
     total = cum[-1]
-    return valid[min(dips, key=lambda k: v[k] + 0.3 * (total - cum[valid[k]]) / total)] + 1
+    return valid[min(dips, key=lambda k: v[k] + LATE * (total - cum[valid[k]]) / total)] + 1
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rescaled cosine row by row; 0.5 where a vector has no length."""
+    both = np.linalg.norm(a, axis=-1) * np.linalg.norm(b, axis=-1)
+    dot = (a * b).sum(axis=-1)
+    return (np.divide(dot, both, out=np.zeros(dot.shape), where=both > 0) + 1) / 2
 
 
 def local_coherence(vectors: np.ndarray | None, n: int) -> dict[str, float]:
     if n < 2 or vectors is None:
-        return {"local": 1.0, "var": 0.0, "min": 1.0, "max": 1.0}
-    norm = np.linalg.norm(vectors, axis=1)
-    both = norm[:-1] * norm[1:]
-    s = (np.divide((vectors[:-1] * vectors[1:]).sum(axis=1), both, out=np.zeros(len(both)), where=both > 0) + 1) / 2
-    return {"local": float(s.mean()), "var": float(s.var()), "min": float(s.min()), "max": float(s.max())}
+        return {"local": 1.0, "variance": 0.0, "min": 1.0, "max": 1.0}
+    s = _cosines(vectors[:-1], vectors[1:])
+    return {"local": float(s.mean()), "variance": float(s.var()), "min": float(s.min()), "max": float(s.max())}
+
+
+def coherence_record(vectors: np.ndarray, n: int) -> dict[str, float | None]:
+    """A chunk's coherence: between neighbours, and over ``GLOBAL_SENTENCES`` with the centroid too, mixed 6 to 4 with that of neighbouring segments where there are over ``SEGMENTS_OVER``."""
+    out: dict[str, float | None] = {**local_coherence(vectors, n), "hierarchical": None}
+    out["global"] = out["local"]
+    if n > GLOBAL_SENTENCES:
+        out["global"] = float(_cosines(vectors, vectors.mean(axis=0)).mean())
+        if n > SEGMENTS_OVER:
+            k = min(MOST_SEGMENTS, n // 3)
+            mids = np.array([vectors[i * (n // k) : (i + 1) * (n // k) if i < k - 1 else n].mean(axis=0) for i in range(k)])
+            out["hierarchical"] = float(_cosines(mids[:-1], mids[1:]).mean())
+            out["global"] = 0.6 * out["global"] + 0.4 * out["hierarchical"]
+    return out
 
 
 def tail(counts: list[int], vectors: np.ndarray | None, cfg: ChunkConfig) -> int:
     """How many last sentences the next chunk begins with. The adaptive rule also stops, past 0.75 targets, where they no longer cohere."""
     cur = k = 0
     for i in range(len(counts) - 1, -1, -1):
-        if k and cur + counts[i] > 1.5 * cfg.target:
+        if k and cur + counts[i] > MOST * cfg.target:
             break
         cur, k = cur + counts[i], k + 1
-        if cur >= 0.75 * cfg.target:
+        if cur >= LOOK * cfg.target:
             if cfg.semantic and vectors is not None:
                 if cur >= cfg.target or (k > 1 and local_coherence(vectors[i:], k)["local"] < cfg.coherence_threshold):
                     break
-            elif cur >= 0.8 * cfg.target:
+            elif cur >= ENOUGH * cfg.target:
                 break
     return k
 
 
 def chunk_document(articles: list[list[dict]], cfg: ChunkConfig) -> list[dict]:
-    """The chunks of a document; sentences have ``s, n, v`` (text, tokens, vector). A chunk counts to the article of its last sentence."""
+    """The chunks of a document; sentences have ``s, n, v`` (text, tokens, vector) and, where known, ``p`` (paragraph).
+
+    A chunk counts to the article of its last sentence. ``start`` and ``end`` are token offsets in the document, the overlap included;
+    ``paragraph_boundaries`` are the running sentence counts of that article's paragraphs. Modes without a signal have no coherence.
+    """
     out: list[dict] = []
     offset = 0
     before: list[dict] = []
+    edges = [[i + 1 for i, x in enumerate(sents) if i + 1 == len(sents) or sents[i + 1].get("p") != x.get("p")] for sents in articles]
 
     def emit(part, overlap):
+        n = sum(x["n"] for x in part)
+        at = part[-1]["article"] if part else a
         v = _vectors(part)
-        out.append({"chunk_id": len(out), "article": part[-1]["article"] if part else a, "text": " ".join(x["s"] for x in part), "token_count": sum(x["n"] for x in part), "sentence_count": len(part), "has_overlap": bool(out), "overlap_tokens": overlap, "coherence": local_coherence(v, len(part))["local"], "start": max(0, offset - sum(x["n"] for x in part)), "end": offset})
+        start = part[0]["at"] if part else offset
+        out.append(
+            {"chunk_id": len(out), "article": at, "text": " ".join(x["s"] for x in part), "sentences": [x["s"] for x in part], "token_count": n, "sentence_count": len(part), "has_overlap": bool(out), "overlap_tokens": overlap,
+             "coherence": coherence_record(v, len(part)) if cfg.semantic and v is not None else None, "start": start, "end": start + n, "paragraph_boundaries": edges[at] if cfg.preserve_paragraphs else []}
+        )
 
     for a, sents in enumerate(articles):
         k = tail([x["n"] for x in before], _vectors(before), cfg) if before else 0
         buf = before[len(before) - k :] if k else []
-        overlap, cur = sum(x["n"] for x in buf), sum(x["n"] for x in buf)
+        cur = overlap = sum(x["n"] for x in buf)
         for x in sents:
-            x = {**x, "article": a}
+            x = {**x, "article": a, "at": offset}
             if cur + x["n"] > cfg.max_tokens and (buf or cfg.emit_empty_leading):
-                at = split_point([y["n"] for y in buf], _vectors(buf), [{w.lower() for w in y["s"].split()} for y in buf], cfg)
+                at = split_point([y["n"] for y in buf], _vectors(buf), [y["w"] for y in buf] if buf and "w" in buf[0] else [{w.lower() for w in y["s"].split()} for y in buf], cfg)
                 emit(buf[:at], overlap)
                 k = tail([y["n"] for y in buf[:at]], _vectors(buf[:at]), cfg)
-                carried = buf[at - k : at]
-                overlap = sum(y["n"] for y in carried)
-                buf = carried + buf[at:]
-            buf = [*buf, x]
-            cur = sum(y["n"] for y in buf)
+                overlap = sum(y["n"] for y in buf[at - k : at])
+                buf = buf[at - k :]
+                cur = sum(y["n"] for y in buf)
+            buf.append(x)
+            cur += x["n"]
             offset += x["n"]
         if buf:
             emit(buf, overlap)
-            before = buf
+            before = list(buf)
     return out
 
 
@@ -215,32 +251,56 @@ def _vectors(part: list[dict]) -> np.ndarray | None:
     return np.array([x["v"] for x in part], np.float64)
 
 
-_CHUNK = "array<struct<chunk_id: int, article: int, text: string, token_count: int, sentence_count: int, has_overlap: boolean, overlap_tokens: int, coherence: double, start: int, end: int>>"
+_CHUNK = """array<struct<chunk_id: int, article: int, text: string, sentences: array<string>, token_count: int, sentence_count: int, has_overlap: boolean, overlap_tokens: int,
+  coherence: struct<local: double, global: double, variance: double, min: double, max: double, hierarchical: double>, start: int, end: int, paragraph_boundaries: array<int>>>"""
+_CHUNK_TYPE = pa.list_(pa.struct([
+    ("chunk_id", pa.int32()), ("article", pa.int32()), ("text", pa.string()), ("sentences", pa.list_(pa.string())), ("token_count", pa.int32()), ("sentence_count", pa.int32()), ("has_overlap", pa.bool_()), ("overlap_tokens", pa.int32()),
+    ("coherence", pa.struct([(x, pa.float64()) for x in ("local", "global", "variance", "min", "max", "hierarchical")])), ("start", pa.int32()), ("end", pa.int32()), ("paragraph_boundaries", pa.list_(pa.int32())),
+]))
 
 
 def semantic_chunks(docs: DataFrame, encoder, cfg: ChunkConfig | None = None, text: str = "text", **how) -> DataFrame:
     """Chunks cut at dips of the hybrid signal, with adaptive overlap: the columns of ``chunk_document`` and ``doc_id``.
 
-    Each distinct sentence is encoded once; the vectors come back to the document as an array. Modes without a semantic signal skip the encoder.
+    With an encoder whose table is small a document's sentences are encoded where it is cut, so nothing is shuffled. Others encode each distinct sentence
+    once, and the vectors come back to the document as an array. Modes without a semantic signal skip the encoder.
     """
     cfg = cfg or ChunkConfig()
     rows = sentence_rows(docs, cfg, text=text, **how)
-    flat = rows.select("doc_id", F.posexplode("arts").alias("article", "a")).select("doc_id", "article", F.posexplode("a").alias("pos", "x")).select("doc_id", "article", "pos", F.col("x.s").alias("s"), F.col("x.n").alias("n"))
-    if cfg.semantic:
-        vec = encoder.encode(flat.select(F.col("s").alias("sentence")))
-        flat = flat.join(vec.select(F.col("sentence").alias("_s"), F.col("vector").alias("v")), F.col("s") == F.col("_s"), "left").drop("_s")
+    here = cfg.semantic and getattr(encoder, "small", False)
+    if here:
+        keyed = F.transform("arts", lambda a, i: F.transform(a, lambda x: F.struct(i.alias("article"), x["s"].alias("s"), x["n"].alias("n"), x["p"].alias("p"), encoder.keys(K.tokens(x["s"])).alias("k"))))
+        packed, sent = rows.select("doc_id", F.flatten(keyed).alias("ss")), encoder.sent()
+    elif cfg.semantic:
+        flat = rows.select("doc_id", F.posexplode("arts").alias("article", "a")).select("doc_id", "article", F.posexplode("a").alias("pos", "x")).select("doc_id", "article", "pos", "x.s", "x.n", "x.p")
+        flat = attach(encoder, flat, "s", "v")
+        packed = flat.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("article", "pos", "s", "n", "p", "v"))).alias("ss"))
     else:
-        flat = flat.withColumn("v", F.lit(None).cast("array<double>"))
-    packed = flat.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("article", "pos", "s", "n", "v"))).alias("ss"))
-
-    @F.pandas_udf(_CHUNK)
-    def cut(ss: pd.Series) -> pd.Series:
-        def one(rows):
-            arts: dict[int, list[dict]] = {}
-            for x in rows:
-                arts.setdefault(x["article"], []).append(x)
-            return chunk_document([arts[k] for k in sorted(arts)], cfg)
-
-        return ss.map(one)
-
-    return packed.select("doc_id", F.explode(cut("ss")).alias("c")).select("doc_id", "c.*")
+        packed = rows.select("doc_id", F.flatten(F.transform("arts", lambda a, i: F.transform(a, lambda x: F.struct(i.alias("article"), x["s"].alias("s"), x["n"].alias("n"), x["p"].alias("p"))))).alias("ss"))
+
+    @F.arrow_udf(_CHUNK)
+    def cut(ss: pa.Array) -> pa.Array:
+        out = []
+        for i in range(len(ss)):  # one document at a time, so that memory follows the longest one
+            one = ss[i : i + 1].flatten()
+            cols = {c: one.field(c).to_pylist() for c in ("article", "s", "n", "p")}
+            if here:
+                vec, known = sums(one.field("k"), *sent.value)
+            arts: list[list[dict]] = []
+            for j, at in enumerate(cols["article"]):
+                while len(arts) <= at:
+                    arts.append([])
+                x = {"s": cols["s"][j], "n": cols["n"][j], "p": cols["p"][j]}
+                if here:
+                    x["v"] = vec[j]
+                arts[at].append(x)
+            if cfg.semantic and not here:
+                flat = [x for a in arts for x in a]
+                got = one.field("v").to_pylist()
+                size = next((len(v) for v in got if v is not None), 1)
+                for x, v in zip(flat, got, strict=True):
+                    x["v"] = v if v is not None else [0.0] * size
+            out.append(chunk_document(arts, cfg))
+        return pa.array(out, _CHUNK_TYPE)
+
+    return packed.where(F.size("ss") > 0).select("doc_id", F.explode(cut("ss")).alias("c")).select("doc_id", "c.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import cosine, rescaled
+from ..functions.similarity import cosine, dot, rescaled
 
 SEGMENTS_OVER, MOST_SEGMENTS, GLOBAL_OVER = 10, 5, 2
 
@@ -16,16 +16,22 @@ def _keys(keys: list[str]) -> str:
 
 def adjacent(vectors: DataFrame, keys: list[str], pos: str = "pos", vector: str = "vector") -> DataFrame:
     """``keys, pos, cosine`` between each sentence and the next of its group."""
-    nxt = F.expr(f"lead({vector}) over (partition by {_keys(keys)} order by {pos})")
-    return vectors.withColumn("_next", nxt).where("_next is not null").select(*keys, pos, cosine(F.col(vector), F.col("_next")).alias("cosine"))
+    return _neighbours(vectors, keys, pos, vector).where("_next is not null").select(*keys, pos, "cosine")
+
+
+def _neighbours(vectors: DataFrame, keys: list[str], pos: str = "pos", vector: str = "vector") -> DataFrame:
+    """Every row with ``_next``, the next vector of its group, and their ``cosine``; lengths are taken once."""
+    w = f"over (partition by {_keys(keys)} order by {pos})"
+    x = vectors.withColumn("_l", F.sqrt(dot(F.col(vector), F.col(vector)))).withColumns({"_next": F.expr(f"lead({vector}) {w}"), "_m": F.expr(f"lead(_l) {w}")})
+    return x.withColumn("cosine", F.try_divide(dot(F.col(vector), F.col("_next")), F.col("_l") * F.col("_m")))
 
 
 def local_coherence(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, population variance, least and largest rescaled cosine of neighbours; groups of one count as 1 with variance 0."""
-    s = rescaled(F.coalesce("cosine", F.lit(0.0)))
-    agg = adjacent(vectors, keys).groupBy(*keys).agg(F.avg(s).alias("l"), F.var_pop(s).alias("v"), F.min(s).alias("a"), F.max(s).alias("b"))
-    n = vectors.groupBy(*keys).agg(F.count("*").alias("n"))
-    return n.join(agg, keys, "left").select(*keys, "n", F.coalesce("l", F.lit(1.0)).alias("local_coherence"), F.coalesce("v", F.lit(0.0)).alias("coherence_variance"), F.coalesce("a", F.lit(1.0)).alias("min_coherence"), F.coalesce("b", F.lit(1.0)).alias("max_coherence"))
+    """Mean, population variance, least and largest rescaled cosine of neighbours; groups of one count as 1 with variance 0. One window, one aggregate."""
+    s = F.when(F.col("_next").isNotNull(), rescaled(F.coalesce("cosine", F.lit(0.0))))
+    x = _neighbours(vectors, keys).select(*keys, s.alias("_s"))
+    named = {"local_coherence": (F.avg, 1.0), "coherence_variance": (F.var_pop, 0.0), "min_coherence": (F.min, 1.0), "max_coherence": (F.max, 1.0)}
+    return x.groupBy(*keys).agg(F.count("*").alias("n"), *[F.coalesce(f("_s"), F.lit(d)).alias(c) for c, (f, d) in named.items()])
 
 
 def centroid(vectors: DataFrame, keys: list[str], dim: int = 64, vector: str = "vector") -> DataFrame:
@@ -34,16 +40,28 @@ def centroid(vectors: DataFrame, keys: list[str], dim: int = 64, vector: str = "
 
 def global_coherence(vectors: DataFrame, keys: list[str], dim: int = 64) -> DataFrame:
     """For groups over ``GLOBAL_OVER``: mean rescaled cosine with the centroid; over ``SEGMENTS_OVER`` mixed 6 to 4 with the mean
-    rescaled cosine of neighbouring segments' centroids. Segments are equal, the last takes what is over."""
-    c = centroid(vectors, keys, dim).where(F.col("n") > GLOBAL_OVER)
-    whole = vectors.join(c, keys).groupBy(*keys, "n").agg(F.avg(rescaled(F.coalesce(cosine(F.col("vector"), F.col("centroid")), F.lit(0.0)))).alias("whole"))
-    big = vectors.join(c.where(F.col("n") > SEGMENTS_OVER).select(*keys, "n"), keys).withColumn("k", F.least(F.lit(MOST_SEGMENTS), F.expr("n div 3")))
-    order = f"row_number() over (partition by {_keys(keys)} order by pos) - 1"
-    seg = big.withColumn("seg", F.expr(f"least(({order}) div (n div k), k - 1)"))
-    mids = centroid(seg, [*keys, "seg"], dim).select(*keys, F.col("seg").alias("pos"), F.col("centroid").alias("vector"))
-    parts = adjacent(mids, keys).groupBy(*keys).agg(F.avg(rescaled(F.coalesce("cosine", F.lit(0.0)))).alias("hierarchical_coherence"))
-    both = whole.join(parts, keys, "left")
-    return both.select(*keys, "n", F.when(F.col("hierarchical_coherence").isNull(), F.col("whole")).otherwise(0.6 * F.col("whole") + 0.4 * F.col("hierarchical_coherence")).alias("global_coherence"), "hierarchical_coherence")
+    rescaled cosine of neighbouring segments' centroids. Segments are equal, the last takes what is over.
+
+    The sum of the cosines with a centroid is that of the unit vectors with the centroid's direction, so each segment's two sums are all that is
+    kept: one window and one aggregate over a single pass of the vectors, on the groups' partitioning.
+    """
+    own = f"partition by {_keys(keys)}"
+    x = vectors.withColumns({"n": F.expr(f"count(*) over ({own})"), "_r": F.expr(f"row_number() over ({own} order by pos) - 1")}).where(F.col("n") > GLOBAL_OVER)
+    k = F.least(F.lit(MOST_SEGMENTS), F.expr("cast(n div 3 as int)"))
+    x = x.withColumn("_k", F.when(F.col("n") > SEGMENTS_OVER, k).otherwise(1)).withColumn("_seg", F.expr("least(_r div (n div _k), _k - 1)"))
+    x = x.withColumn("_l", F.sqrt(dot(F.col("vector"), F.col("vector"))))
+    unit_ = F.transform("vector", lambda e: F.coalesce(F.try_divide(e.cast("double"), F.col("_l")), F.lit(0.0)))
+    x = x.select(*keys, "n", "_seg", "vector", unit_.alias("_u"))
+    per = x.groupBy(*keys, "n", "_seg").agg(*[F.sum(F.col(c)[i].cast("double")).alias(f"{c}{i}") for c in ("vector", "_u") for i in range(dim)])
+    seg = per.select(*keys, "n", F.struct("_seg", F.array(*[F.col(f"vector{i}") for i in range(dim)]).alias("v"), F.array(*[F.col(f"_u{i}") for i in range(dim)]).alias("u")).alias("_s"))
+    one = seg.groupBy(*keys, "n").agg(F.array_sort(F.collect_list("_s")).alias("_s"))  # MOST_SEGMENTS at most
+    add = lambda f: F.aggregate(F.expr(f"transform(slice(_s, 2, size(_s)), x -> x.{f})"), F.expr(f"_s[0].{f}"), lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
+    one = one.withColumn("_v", add("v")).withColumn("_u", add("u"))
+    whole = rescaled(F.coalesce(F.try_divide(dot(F.col("_u"), F.col("_v")), F.sqrt(dot(F.col("_v"), F.col("_v"))) * F.col("n")), F.lit(0.0)))
+    steps = F.zip_with(F.expr("slice(_s, 1, size(_s) - 1)"), F.expr("slice(_s, 2, size(_s))"), lambda a, b: rescaled(F.coalesce(cosine(a["v"], b["v"]), F.lit(0.0))))
+    parts = F.when(F.size("_s") > 1, F.aggregate(steps, F.lit(0.0), lambda a, b: a + b) / (F.size("_s") - 1))
+    both = one.select(*keys, "n", whole.alias("_w"), parts.alias("hierarchical_coherence"))
+    return both.select(*keys, "n", F.when(F.col("hierarchical_coherence").isNull(), F.col("_w")).otherwise(0.6 * F.col("_w") + 0.4 * F.col("hierarchical_coherence")).alias("global_coherence"), "hierarchical_coherence")
 
 
 def similarity_matrix(vectors: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:

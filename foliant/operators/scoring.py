@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,42 +27,72 @@ def grams(tok, n: int):
     return F.when(F.size(tok) >= n, F.transform(F.sequence(F.lit(0), F.size(tok) - n), lambda i: F.array_join(F.slice(tok, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def rouge_n(pairs: DataFrame, n: int, keys: list[str], candidate: str = "candidate", reference: str = "reference") -> DataFrame:
-    """``keys, precision, recall, f`` of n-gram overlap with clipped counts; 0 where a side has no n-grams.
+#: How often both sides hold each gram, summed: in the sorted run of (gram, side) a gram's candidates come first and are used up by its references.
+_HITS = """
+aggregate(array_sort(concat(transform({c}, g -> named_struct('g', g, 's', 0)), transform({r}, g -> named_struct('g', g, 's', 1)))),
+  named_struct('g', cast(null as string), 'own', 0, 'hit', 0),
+  (z, x) -> case when x.s = 0 then named_struct('g', x.g, 'own', if(x.g <=> z.g, z.own + 1, 1), 'hit', z.hit)
+    when x.g <=> z.g and z.own > 0 then named_struct('g', z.g, 'own', z.own - 1, 'hit', z.hit + 1)
+    else z end).hit
+"""
 
-    Both sides' n-grams are counted together, so the pairs go through one shuffle, on (keys, gram).
+
+def rouge_n(pairs: DataFrame, n: int, keys: list[str], candidate: str = "candidate", reference: str = "reference", stem=None) -> DataFrame:
+    """``keys, precision, recall, f`` of n-gram overlap with clipped counts; 0 where a side has no n-grams. ``stem``: a word's stem, such as ``stemming.stem``.
+
+    Both sides stand in one row and are counted there, by one sorted run, so nothing is shuffled.
     """
-    rows = pairs.select(*keys, T.let(score_tokens(F.col(candidate)), lambda t: grams(t, n)).alias("c"), T.let(score_tokens(F.col(reference)), lambda t: grams(t, n)).alias("r"))
-    each = rows.select(*keys, F.explode(F.concat(F.transform("c", lambda g: F.struct(g.alias("g"), F.lit(1).alias("c"), F.lit(0).alias("r"))), F.transform("r", lambda g: F.struct(g.alias("g"), F.lit(0).alias("c"), F.lit(1).alias("r"))))).alias("x"))
-    per = each.groupBy(*keys, "x.g").agg(F.sum("x.c").alias("c"), F.sum("x.r").alias("r"))
-    hit = per.groupBy(*keys).agg(F.sum(F.least("c", "r")).alias("hit"), F.sum("c").alias("nc"), F.sum("r").alias("nr"))
-    p, r = F.coalesce(F.try_divide("hit", "nc"), F.lit(0.0)), F.coalesce(F.try_divide("hit", "nr"), F.lit(0.0))
-    scored = hit.select(*keys, p.alias("precision"), r.alias("recall")).withColumn("f", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
-    zero = F.lit(0.0)
-    return pairs.select(*keys).join(scored, keys, "left").select(*keys, *[F.coalesce(c, zero).alias(c) for c in ("precision", "recall", "f")])
+    tok = _tokens(stem)
+    rows = pairs.select(*keys, T.let(tok(candidate), lambda t: grams(t, n)).alias("_c"), T.let(tok(reference), lambda t: grams(t, n)).alias("_r"))
+    hit = rows.select(*keys, F.size("_c").alias("_nc"), F.size("_r").alias("_nr"), F.expr(_HITS.format(c="_c", r="_r")).alias("_hit"))
+    p, r = (F.coalesce(F.try_divide("_hit", n_), F.lit(0.0)) for n_ in ("_nc", "_nr"))
+    scored = hit.select(*keys, p.alias("precision"), r.alias("recall"))
+    return scored.withColumn("f", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+
+
+def _tokens(stem):
+    """Scored words of a text column; stemmed word by word in an Arrow UDF where a stem is asked for."""
+    if stem is None:
+        return lambda c: score_tokens(F.col(c))
+
+    @F.arrow_udf("array<string>")
+    def stemmed(words: pa.Array) -> pa.Array:
+        coded = pc.list_flatten(words).dictionary_encode()
+        stems = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string())
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), stems.take(coded.indices))
+
+    return lambda c: stemmed(score_tokens(F.col(c)))
+
+
+def _rows(a: list[str], b: list[str]) -> list[int]:
+    """Row by row of the table of common subsequences of ``a`` and ``b``, as bits: bit j is 0 where the length grows from j to j + 1."""
+    full, at = (1 << len(b)) - 1, {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    v, out = full, [full]
+    for x in a:
+        m = v & at.get(x, 0)
+        v = (v + m | v - m) & full
+        out.append(v)
+    return out
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        prev = 0
-        for j, y in enumerate(b):
-            prev, row[j + 1] = row[j + 1], prev + 1 if x == y else max(row[j], row[j + 1])
-    return row[-1]
+    """The length of the longest common subsequence, a machine word of ``b`` at a time."""
+    return len(b) - _rows(a, b)[-1].bit_count() if a and b else 0
 
 
 def lcs_places(a: list[str], b: list[str]) -> set[int]:
     """The places in ``a`` of one longest common subsequence."""
-    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    rows = _rows(a, b)
+    length = lambda i, j: j - (rows[i] & (1 << j) - 1).bit_count()
     out, i, j = set(), len(a), len(b)
     while i and j:
         if a[i - 1] == b[j - 1]:
             out.add(i - 1)
             i, j = i - 1, j - 1
-        elif t[i - 1][j] >= t[i][j - 1]:
+        elif length(i - 1, j) >= length(i, j - 1):
             i -= 1
         else:
             j -= 1
@@ -106,13 +138,13 @@ def rouge_lsum_score(candidate: str | None, reference: str | None, stem=None) ->
     return _prf(hit, sum(map(len, cs)), sum(map(len, rs)))
 
 
-def rouge_l(pairs: DataFrame, keys: list[str], summary_level: bool = False, candidate: str = "candidate", reference: str = "reference") -> DataFrame:
-    """``keys, precision, recall, f`` of the longest common subsequence (of lines: ``summary_level``), in an Arrow UDF: quadratic in the lengths."""
+def rouge_l(pairs: DataFrame, keys: list[str], summary_level: bool = False, candidate: str = "candidate", reference: str = "reference", stem=None) -> DataFrame:
+    """``keys, precision, recall, f`` of the longest common subsequence (of lines: ``summary_level``), in an Arrow UDF; a row of the table is one sum of long integers."""
     score = rouge_lsum_score if summary_level else rouge_l_score
 
     @F.pandas_udf("struct<precision: double, recall: double, f: double>")
     def run(c: pd.Series, r: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([score(x, y) for x, y in zip(c, r, strict=True)], columns=["precision", "recall", "f"])
+        return pd.DataFrame([score(x, y, stem) for x, y in zip(c, r, strict=True)], columns=["precision", "recall", "f"])
 
     return pairs.select(*keys, run(F.col(candidate), F.col(reference)).alias("s")).select(*keys, "s.*")
 
@@ -124,10 +156,6 @@ def corpus_mean(scores: DataFrame, pairs: DataFrame, keys: list[str], by: list[s
     return pairs.select(*by).distinct().join(mean, by, "left").select(*by, F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("precision", "recall", "f")])
 
 
-#: Up to so many vectors the encoder's table is sent to the workers as a matrix; a larger one is joined.
-MATRIX_ROWS = 100_000
-
-
 def match_scores(c: np.ndarray, r: np.ndarray) -> tuple[float, float]:
     """Mean best cosine of each row of ``c`` with ``r``, and the other way; 0 if a side is empty. Rows have length 1 or 0."""
     if not len(c) or not len(r):
@@ -139,23 +167,24 @@ def match_scores(c: np.ndarray, r: np.ndarray) -> tuple[float, float]:
 def greedy_match(pairs: DataFrame, encoder, keys: list[str], candidate: str = "candidate", reference: str = "reference") -> DataFrame:
     """``keys, precision, recall, f``: each token's best cosine with the other side's tokens, averaged. Over hashed vectors these are not a model's scores.
 
-    A pair's token vectors meet in one matrix product. They come from the encoder's table as a matrix where that is
-    small (``MATRIX_ROWS``), else by a join on the distinct tokens.
+    A pair's token vectors meet in one matrix product. They come from the encoder's table as a matrix where that is small, else by a join on the
+    distinct tokens.
     """
-    if encoder.table.count() <= MATRIX_ROWS:
-        n, ids, matrix = encoder.matrix()
-        sent = pairs.sparkSession.sparkContext.broadcast((ids, matrix))
+    if encoder.small:
+        sent = encoder.sent()
 
         def rows(keys_: np.ndarray) -> np.ndarray:
             known, vec = sent.value
             at = np.minimum(np.searchsorted(known, keys_), len(known) - 1) if len(known) else np.zeros(0, int)
-            return vec[at[known[at] == keys_]] if len(known) else np.zeros((0, 1))
+            got = vec[at[known[at] == keys_]] if len(known) else np.zeros((0, 1))
+            size = np.linalg.norm(got, axis=1, keepdims=True)
+            return np.divide(got, size, out=np.zeros_like(got), where=size > 0)
 
         @F.pandas_udf("struct<precision: double, recall: double>")
         def meet(c: pd.Series, r: pd.Series) -> pd.DataFrame:
             return pd.DataFrame([match_scores(rows(np.asarray(x, np.int64)), rows(np.asarray(y, np.int64))) for x, y in zip(c, r, strict=True)], columns=["precision", "recall"])
 
-        key = lambda c: F.transform(score_tokens(F.col(c)), lambda t: F.pmod(K.token_hash(t), F.lit(n)))
+        key = lambda c: encoder.keys(score_tokens(F.col(c)))
         both = pairs.select(*keys, meet(key(candidate), key(reference)).alias("m")).select(*keys, "m.*")
     else:
         vocab = pairs.select(F.explode(F.array_union(score_tokens(F.col(candidate)), score_tokens(F.col(reference)))).alias("tok")).distinct()

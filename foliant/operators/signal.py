@@ -22,17 +22,16 @@ def smoothed_rows(rows: DataFrame, value: str = "hybrid", key: str = "doc_id") -
     """Adds ``smoothed``: the Gaussian with mirrored edges; groups of ``SMOOTH_OVER`` or fewer keep their values."""
     w = f"over (partition by {key} order by pos)"
     x = rows.withColumn("_i", F.expr(f"row_number() {w}")).withColumn("_n", F.expr(f"count(*) over (partition by {key})"))
+    # the nine neighbours once; each term of the kernel picks among them
+    x = x.withColumns({f"_v{d + 4}": F.expr(f"lag({value}, {-d}) {w}") for d in range(-4, 5)})
     total = None
     for off in range(-4, 5):
         # past an edge the place is mirrored: i + off below 1 is the value at 1 - (i + off), above n that at 2n + 1 - (i + off)
         at = f"case when _i + {off} < 1 then 1 - 2 * _i - {off} when _i + {off} > _n then 2 * _n + 1 - 2 * _i - {off} else {off} end"
-        picked = None
-        for d in range(-4, 5):
-            got = F.expr(f"lag({value}, {-d}) {w}")
-            picked = F.when(F.expr(f"({at}) = {d}"), got) if picked is None else picked.when(F.expr(f"({at}) = {d}"), got)
+        picked = F.expr(f"element_at(array({', '.join(f'_v{k}' for k in range(9))}), cast({at} + 5 as int))")
         term = F.lit(KERNEL[abs(off)]) * picked
         total = term if total is None else total + term
-    return x.withColumn("smoothed", F.when(F.col("_n") > SMOOTH_OVER, total).otherwise(F.col(value))).drop("_i", "_n")
+    return x.withColumn("smoothed", F.when(F.col("_n") > SMOOTH_OVER, total).otherwise(F.col(value))).drop("_i", "_n", *[f"_v{k}" for k in range(9)])
 
 
 def split_candidates(rows: DataFrame, min_tokens: int = 64, value: str = "smoothed", key: str = "doc_id") -> DataFrame:

@@ -36,9 +36,8 @@ def _encoder(spark, d):
 
 
 def _vectors(spark, d, sents: DataFrame) -> DataFrame:
-    """Sentences with the vector of each; a distinct sentence is encoded once."""
-    vec = _encoder(spark, d).encode(sents.select("sentence"))
-    return sents.join(vec.withColumnRenamed("sentence", "_s"), F.col("sentence") == F.col("_s")).drop("_s")
+    """Sentences with the vector of each, those without one left out."""
+    return _encoder(spark, d).attach(sents, "sentence").where("vector is not null")
 
 
 def _sentences(spark, d):
@@ -104,11 +103,11 @@ def cluster_greedy_chunks(spark, d):
 
 
 def overlap_chunks(spark, d):
-    return chunking.overlap_chunks(_clusters(spark, d), OVERLAP)
+    return chunking.overlap_chunks(_clusters(spark, d), OVERLAP).drop("sentences")
 
 
 def no_overlap_chunks(spark, d):
-    return chunking.overlap_chunks(_clusters(spark, d), NO_OVERLAP)
+    return chunking.overlap_chunks(_clusters(spark, d), NO_OVERLAP).drop("sentences")
 
 
 def semantic_chunks(spark, d):

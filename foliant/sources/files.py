@@ -16,10 +16,13 @@ def dataset(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A table in fewer parts than there are cores, dealt out by key; larger tables stay as they are read."""
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer parts than there are cores, dealt out evenly; larger tables stay as they are read.
+
+    The deal names no key: unions of tables that claim one hash partitioning are aggregated without an exchange, which leaves their halves unmerged.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _path(spark: SparkSession, path: str):

@@ -111,7 +111,11 @@ def test_semantic_chunks_keep_order(spark, data):
     cfg = ChunkConfig(max_tokens=128, min_tokens=32, overlap_tokens=16)
     got = chunking.semantic_chunks(d, enc, cfg).collect()
     assert {r["doc_id"] for r in got} == {r["doc_id"] for r in d.select("doc_id").collect()}
-    assert all(-1e-9 <= r["coherence"] <= 1 + 1e-9 for r in got)
+    assert all(-1e-9 <= r["coherence"]["local"] <= 1 + 1e-9 and (r["coherence"]["hierarchical"] is None) == (r["sentence_count"] <= 10) for r in got)
+    words = {r["doc_id"]: " ".join(r["w"]) for r in d.select("doc_id", K.tokens(T.clean_text(F.col("text"))).alias("w")).collect()}
+    for r in got:
+        own = words[r["doc_id"]].split()
+        assert own[r["start"] : r["end"]] == r["text"].split() and " ".join(r["sentences"]) == r["text"]
 
 
 def test_config_round_trip():

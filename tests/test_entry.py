@@ -21,7 +21,7 @@ def test_entry_has_rows(spark):
 def test_names():
     q = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(q) and set(oracles.SQL) <= set(queries.QUERIES)
-    if importlib.util.find_spec("foliant.llm.queries"):
+    if importlib.util.find_spec("foliant.llm"):
         assert "pipeline" in q and all(any(x.startswith(f"op{n}_") for x in q) for n in range(1, 11))
 
 

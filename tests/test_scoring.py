@@ -3,7 +3,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from foliant.functions import interfaces
 from foliant.functions.interfaces import HashedVectors
 from foliant.operators import coherence, matching, sampling, scoring, signal, summary
 
@@ -39,6 +41,27 @@ def test_rouge_l(spark):
     assert got == {0: 1.0, 1: 0.0}
 
 
+def test_lcs_equals_the_plain_table():
+    rng = random.Random(4)
+    for _ in range(60):
+        a, b = (rng.choices("abcd", k=rng.randint(0, 90)) for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        at = sorted(scoring.lcs_places(a, b))
+        rest = iter(b)
+        assert scoring.lcs(a, b) == t[-1][-1] == len(at) and all(a[i] in rest for i in at)
+
+
+def test_unions_of_spread_tables_are_merged(spark, data):
+    from foliant.sources import files
+
+    d = files.spread(spark.read.parquet(f"{data}/documents.parquet").select("doc_id"))
+    twice = d.withColumn("ord", F.col("doc_id") * 2).unionByName(d.withColumn("ord", F.col("doc_id") * 2 + 1))
+    assert len(matching.last_of(twice).collect()) == len(d.collect())
+
+
 def test_corpus_mean(spark):
     p = pairs(spark, ("a", "a"), ("", "a"), ("b", "c")).selectExpr("'m' as model", "*")
     r = scoring.corpus_mean(scoring.rouge_n(p, 1, ["model", "k"]), p, ["model", "k"], ["model"]).first()
@@ -49,7 +72,7 @@ def test_corpus_mean(spark):
 
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_greedy_match(spark, data, monkeypatch, limit):
-    monkeypatch.setattr(scoring, "MATRIX_ROWS", limit)
+    monkeypatch.setattr(interfaces, "MATRIX_ROWS", limit)
     enc = HashedVectors(spark.read.parquet(f"{data}/embeddings.parquet"))
     got = {r["k"]: (round(r["precision"], 6), round(r["recall"], 6)) for r in scoring.greedy_match(pairs(spark, ("a b c", "a b c"), ("", "x"), ("a b", "a")), enc, ["k"]).collect()}
     assert got[0] == (1.0, 1.0) and got[1] == (0.0, 0.0) and got[2][1] == 1.0 and got[2][0] < 1
