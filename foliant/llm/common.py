@@ -7,7 +7,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
@@ -19,9 +19,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests, local mode)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master, whose executors are the driver's process, may leave it unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -84,28 +86,70 @@ def words(c, separators: str):
     return F.coalesce(F.array_remove(F.split(c, separators), ""), F.array().cast("array<string>"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Nodes with more neighbours than this are hubs; their few rows of least neighbours are broadcast, so that no task holds a hub's edges. Of so
+#: many edges that more than ``MOST_HUBS`` nodes could pass, only nodes with a larger share of the edges count.
+HUB, MOST_HUBS = 1_000, 200_000
+
+
+def _beside(rows: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """``rows(a, b)`` with ``m`` of ``least(c, m, k)``, joined on ``a = c``: hubs (large ``k``) by broadcast, the others by shuffle."""
+    over, own = max(HUB, 2 * n_edges // MOST_HUBS), F.col("a") == F.col("c")
+    if n_edges <= over:
+        return rows.join(least.select("c", "m"), own)
+    hubs = F.broadcast(least.where(F.col("k") > over).select("c", "m"))
+    rest = rows.join(hubs, own, "left_anti").join(least.where(F.col("k") <= over).select("c", "m"), own)
+    return rows.join(hubs, own).unionByName(rest)
+
+
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, label)``, label the smallest node reached.
 
     Alternating large-star and small-star rounds over min aggregates, each round written to the shared folder; the number
-    of rounds grows with the logarithm of the component size. No neighbour list is ever collected.
+    of rounds grows with the logarithm of the component size. No neighbour list is ever collected, and a hub's edges stay where they are.
     """
     e = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = None
     for _ in range(max_rounds):
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state["n"] == 0 or state == last:
-            break
+            return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
         last = state
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("m"))
+        least = table(both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"), F.count("*").alias("k")).select("c", F.least("c", "m").alias("m"), "k"), "least")
         # large star: every larger neighbour b of a hangs from the least of a's neighbourhood
-        large = both.where("b > a").join(least, F.col("a") == F.col("c")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _beside(both.where("b > a"), least, state["n"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = table(large, "large")
         # small star: the smaller neighbours of a, and a itself, hang from the least of them
-        low = large.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"))
-        small = large.join(low, F.col("a") == F.col("c")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = table(large.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"), F.count("*").alias("k")), "low")
+        small = _beside(large, low, state["n"]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         new = table(small, "small")
-        drop(e), drop(large)
+        drop(e), drop(large), drop(least), drop(low)
         e = new
-    return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
+    raise RuntimeError(f"the components have not settled in {max_rounds} rounds")
+
+
+#: Copies of one row that one task writes.
+UNFOLD = 10_000
+
+
+def unfold(df: DataFrame, times: str, number: str) -> DataFrame:
+    """Each row ``times`` times, numbered from 0 in ``number``; a row with very many copies is dealt over tasks in runs of ``UNFOLD``."""
+    few = df.where(F.col(times) <= UNFOLD).withColumn(number, F.explode(F.expr(f"sequence(0L, {times} - 1)")))
+    many = df.where(F.col(times) > UNFOLD).withColumn("_run", F.explode(F.expr(f"sequence(0L, ({times} - 1) div {UNFOLD})"))).repartition(slots(df.sparkSession))
+    return few.unionByName(many.withColumn(number, F.explode(F.expr(f"sequence(_run * {UNFOLD}, least({times}, (_run + 1) * {UNFOLD}) - 1)"))).drop("_run"))
+
+
+def wrapped(docs: DataFrame, **keys) -> DataFrame:
+    """The rows of ``docs`` whole in the one column ``row``, beside these keys: no column of theirs can clash with a name used here."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *[e.alias(k) for k, e in keys.items()])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_hash(docs: DataFrame, first: str = "text") -> Column:
+    """A hash of ``first`` and all other columns; maps and the like, which can't be hashed, go through JSON."""
+    plain = lambda f: not any(k in f.dataType.simpleString() for k in ("map<", "variant", "void"))
+    fields = [F.col(quoted(f.name)) if plain(f) else F.to_json(F.struct(F.col(quoted(f.name)))) for f in docs.schema.fields if f.name != first]
+    return F.xxhash64(F.col(first), *fields)

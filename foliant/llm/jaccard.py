@@ -2,12 +2,13 @@
 
 The join is exact. Its steps:
 
-1. ``shingle_sets``: every text becomes its sorted set of 64-bit shingle hashes. Texts with one set are one class, so copies are
-   joined by their digest and only one of them goes on. A class carries a parity bitmap; its smallest hashes (a prefix longer by ``l``
-   than what an overlap of ``t`` leaves out, so that linked sets share ``l`` prefix hashes at least) are its keys.
+1. ``shingle_sets``: every text becomes its sorted set of 64-bit shingle hashes. Texts with one set (by 128-bit digest) are one class, so
+   copies are joined by their digest and only one of them goes on. A class carries a parity bitmap; its first hashes in a common order (a
+   prefix longer by ``l`` than what an overlap of ``t`` leaves out, so that linked sets share ``l`` prefix hashes at least) are its keys. Hashes
+   that very many classes hold, such as those of a common passage, come last in that order, so only near copies of each other have them as keys.
 2. Live keys: prefix hashes that a second class holds. The texts are hashed again for them, which is cheaper than to keep
    them. A class with too few of them can't link with anything and drops out.
-3. Candidate edges: classes with a common key, in tiles of bounded size. Within a tile only sets whose sizes are in band meet,
+3. Candidate edges: classes with a common key, in tiles of bounded size, larger groups by bands of sizes. Within a tile only sets whose sizes are in band meet,
    and the bits in which two bitmaps differ bound their overlap from above. What passes is kept as a spanning forest,
    so that a tile gives fewer rows than it has members.
 4. The components of these edges are the groups that can hold links. Those of more than a block are compared once more by
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import pieces, text_buffer
-from .common import components, drop, release, slots, table
+from .common import components, drop, release, slots, table, wrapped
+from .hashing import mix, range_hashes
 
 #: Words of a shingle; two sets link when 100 * intersection >= NEAR * union.
 WIDTH, NEAR = 5, 75
@@ -42,33 +44,20 @@ TILE, WIDE_BLOCK, BLOCK = 4096, 512, 256
 BROADCAST_CLASSES = 500_000
 #: Prefix hashes that one task groups, on average.
 KEYS_PER_TASK = 1_500_000
+#: Of so many classes the set of one is looked at for hashes that at least ``HOT`` of them hold; ``MOST_HOT`` such hashes at most are broadcast. Which they are
+#: settles the order of prefixes and who counts them, never whether a pair is found.
+SAMPLE, HOT, MOST_HOT = 64, 64, 200_000
+#: Tasks among which a hot hash's classes are dealt.
+SALTS = 64
+#: Classes whose digests agree in the first half; about n * n / 2**65 of n classes do.
+MOST_TWINS = 10_000
+#: Sizes of linked sets differ by less than this factor, so that their bands are neighbours whatever the rounding.
+BAND = 0.74
 
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
-_EACH = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(21, (n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _ODD), ("down", _BACK)):
-                p = np.full(size, base, np.uint64)
-                p[0] = 1
-                _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
-
-
+_NONE = np.zeros(0, np.uint64)
 def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of the texts that lie in ``buf`` between ``offsets``, and where each text's words begin among them."""
     n = len(buf)
@@ -82,11 +71,7 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after[:-1] = solid[1:]
     after[offsets[1:][offsets[:-1] < offsets[1:]] - 1] = False
     ends = np.flatnonzero(solid & ~after) + 1
-    up, down = _power(n + 1)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_EACH[_FOLD[buf]] * up[:n], dtype=np.uint64)])
-        h = _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return h, np.searchsorted(starts, offsets)
+    return range_hashes(_FOLD[buf], starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -97,7 +82,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> li
             s = h[: len(h) - width + 1].copy()
             for k in range(1, width):
                 s = (s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[k : len(h) - width + 1 + k]
-            s = _mix(s)
+            s = mix(s)
         out = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if b - a >= width:
@@ -110,7 +95,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> li
                 x = h[a : a + 1].copy()
                 for k in range(a + 1, b):
                     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[k]
-                out.append(_mix(x ^ np.uint64(b - a)))
+                out.append(mix(x ^ np.uint64(b - a)))
             else:
                 out.append(h[:0])
     return out
@@ -126,8 +111,13 @@ def least_shared(n: int) -> int:
     return 1 + spare(-(-NEAR * n // 100))
 
 
-def prefix(s: np.ndarray) -> np.ndarray:
+def prefix(s: np.ndarray, hot: np.ndarray = _NONE) -> np.ndarray:
+    """The first hashes of a set in the common order: those that few sets hold before the ``hot`` ones, by value within either."""
     n = len(s)
+    if len(hot) and n:
+        held = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+        if held.any():
+            s = np.concatenate([s[~held], s[held]])
     return s[: n - (-(-NEAR * n // 100)) + 1 + spare(n)]
 
 
@@ -141,65 +131,101 @@ def bitmap(s: np.ndarray, w: int) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _digest(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits for a set, as two numbers."""
+    raw = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
 
+def _name(digest: tuple[int, int], shared: frozenset[int]) -> int:
+    """A class's 64-bit name: the first half of its digest, or the second where two classes have that first half."""
+    return digest[1] if digest[0] in shared else digest[0]
 
-def _new_classes(batches):
-    """The batches with their sets, each set's class, and whether this task meets that class for the first time (or has forgotten it)."""
-    met: set[int] = set()
+
+def _new_classes(batches, digest):
+    """The batches with their sets, each set's digest, and whether this task meets that class for the first time (or has forgotten it)."""
+    met: set[tuple[int, int]] = set()
     for batch in pieces(batches):
         sets = shingle_sets(*text_buffer(batch))
-        ds = [_digest(s) if len(s) else None for s in sets]
+        ds = [digest(s) if len(s) else None for s in sets]
         new = []
         for d in ds:
             new.append(d is not None and d not in met)
             if new[-1]:
-                if len(met) > 2_000_000:
+                if len(met) > 1_000_000:
                     met.clear()
                 met.add(d)
         yield batch, sets, ds, new
 
 
-def _classes(batches):
-    """For each document its class; the bitmaps go with the first document of a class that this task meets."""
-    for batch, sets, ds, new in _new_classes(batches):
-        bits = [bits_of(len(s)) for s in sets]
-        maps = [bitmap(s, min(MOST_BITS, w)) if x else None for s, w, x in zip(sets, bits, new, strict=True)]
-        wide = [bitmap(s, w) if x and w > MOST_BITS else None for s, w, x in zip(sets, bits, new, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ds, pa.int64()), pa.array(maps, pa.binary()), pa.array(wide, pa.binary())], ["doc_id", "n", "d", "map", "wide"])
+def _classes(digest):
+    """For each document its class; the bitmaps, and of each ``SAMPLE``-th class the set, go with the first document of a class that this task meets."""
+    def run(batches):
+        for batch, sets, ds, new in _new_classes(batches, digest):
+            bits = [bits_of(len(s)) for s in sets]
+            maps = [bitmap(s, min(MOST_BITS, w)) if x else None for s, w, x in zip(sets, bits, new, strict=True)]
+            wide = [bitmap(s, w) if x and w > MOST_BITS else None for s, w, x in zip(sets, bits, new, strict=True)]
+            some = [s.tobytes() if x and d[1] % SAMPLE == 0 else None for s, d, x in zip(sets, ds, new, strict=True)]
+            half = lambda i: pa.array([d and d[i] for d in ds], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), half(0), half(1), pa.array(maps, pa.binary()), pa.array(wide, pa.binary()), pa.array(some, pa.binary())],
+                ["doc_id", "text_hash", "n", "d", "e", "map", "wide", "some"],
+            )
+
+    return run
 
 
-def _postings(batches):
-    """The prefix hashes of each class that this task meets: ``d, key``."""
-    for _, sets, ds, new in _new_classes(batches):
-        chosen = [(d, prefix(s)) for s, d, x in zip(sets, ds, new, strict=True) if x]
-        if chosen:
-            d = np.repeat(np.array([d for d, _ in chosen], np.int64), [len(k) for _, k in chosen])
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(np.concatenate([k for _, k in chosen]).view(np.int64))], ["d", "key"])
+def _sampled(batches):
+    """The sets of sampled classes, hash by hash: ``d, key``."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("some").to_pylist()]
+        if sets:
+            d = np.repeat(batch.column("d").to_numpy() ^ batch.column("e").to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(np.concatenate(sets))], ["d", "key"])
+
+
+def _postings(digest, shared: frozenset[int], sent):
+    """The prefix hashes of each class that this task meets: ``d, key, salt``; a hot key's rows are dealt by the class."""
+
+    def run(batches):
+        hot = sent.value
+        for _, sets, ds, new in _new_classes(batches, digest):
+            chosen = [(_name(d, shared), prefix(s, hot)) for s, d, x in zip(sets, ds, new, strict=True) if x]
+            if chosen:
+                d = np.repeat(np.array([d for d, _ in chosen], np.int64), [len(k) for _, k in chosen])
+                key = np.concatenate([k for _, k in chosen])
+                salt = np.zeros(len(key), np.int16)
+                if len(hot):
+                    held = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                    salt[held] = (d[held] & (SALTS - 1)) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(key.view(np.int64)), pa.array(salt)], ["d", "key", "salt"])
+
+    return run
 
 
 def _live(batches):
-    """Keys that two classes hold, of one task's share of the keys: ``d, key, times``."""
-    ks, ds = [], []
+    """Keys that two classes hold, of one task's share of the keys: ``d, key, times``. Hot keys are known to be held often; their ``times`` is null."""
+    ks, ds, ss = [], [], []
     for b in batches:
         ks.append(b.column("key").to_numpy())
         ds.append(b.column("d").to_numpy())
+        ss.append(b.column("salt").to_numpy())
     if not ks:
         return
-    k, d = np.concatenate(ks), np.concatenate(ds)
-    del ks, ds
+    k, d, s = np.concatenate(ks), np.concatenate(ds), np.concatenate(ss)
+    del ks, ds, ss
     o = np.lexsort((d, k))
-    k, d = k[o], d[o]
+    k, d, s = k[o], d[o], s[o]
     same = np.zeros(len(k), bool)
     same[1:] = (k[1:] == k[:-1]) & (d[1:] == d[:-1])
-    k, d = k[~same], d[~same]
+    k, d, s = k[~same], d[~same], s[~same]
     start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     times = np.repeat(np.diff(np.append(start, len(k))), np.diff(np.append(start, len(k))))
-    keep = times > 1
-    k, d, times = k[keep], d[keep], times[keep]
+    keep = (times > 1) | (s > 0)
+    k, d, s, times = k[keep], d[keep], s[keep], times[keep]
     for i in range(0, len(k), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(d[i : i + 100_000]), pa.array(k[i : i + 100_000]), pa.array(times[i : i + 100_000].astype(np.int32))], ["d", "key", "times"])
+        part = slice(i, i + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(d[part]), pa.array(k[part]), pa.array(times[part].astype(np.int32), mask=s[part] > 0)], ["d", "key", "times"])
 
 
 def _runs(batches, key: str):
@@ -398,88 +424,160 @@ def _block_links(batches):
         yield pa.RecordBatch.from_arrays([pa.array(d[own]), pa.array(d[label[own]]), pa.array(links[own])], ["d", "to", "links"])
 
 
-def _bodies(batches):
-    for batch in pieces(batches):
-        want = batch.column("want").to_numpy()
-        sets = shingle_sets(*text_buffer(batch))
-        keep = [i for i, s in enumerate(sets) if len(s) and _digest(s) == want[i]]
-        if keep:
-            part = batch.take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([part.column("want"), part.column("copies"), part.column("cluster"), part.column("blocks"), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["d", "copies", "cluster", "blocks", "body"])
-
+def _bodies(digest, shared: frozenset[int]):
+    def run(batches):
+        for batch in pieces(batches):
+            want = batch.column("want").to_numpy()
+            sets = shingle_sets(*text_buffer(batch))
+            keep = [i for i, s in enumerate(sets) if len(s) and _name(digest(s), shared) == want[i]]
+            if keep:
+                part = batch.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("want", "copies", "cluster", "members")), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["d", "copies", "cluster", "members", "n", "body"])
 
-def _tiles(rows: DataFrame, key: list[str], blocks: str) -> DataFrame:
-    """Rows dealt into tiles: each block of a key meets each other block (and itself) in one tile; ``side`` is the block's place in it (``SELF``: a block paired with itself)."""
-    at = rows.withColumn("_b", F.expr(f"pmod(xxhash64(d), {blocks})")).withColumn("_o", F.explode(F.expr(f"sequence(0L, {blocks} - 1)")))
-    return at.withColumn("tile", F.xxhash64(*key, F.least("_b", "_o"), F.greatest("_b", "_o"))).withColumn("side", F.when(F.col("_b") > F.col("_o"), 1).when(F.col("_b") == F.col("_o"), SELF).otherwise(0)).drop("_b", "_o")
+    return run
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links``, a row for each row of ``docs``.
+def _tiles(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows dealt into tiles. ``rows`` have ``d``, ``n`` (the set's size) and ``members`` (of the row's group ``key``).
 
-    Documents link when their shingle sets have a Jaccard similarity of 0.75 or more; ``component_id`` is the smallest ``doc_id`` that links
-    reach, the document itself included, and ``n_links`` the number of documents it links with, copies counted. Null and
-    empty texts have no shingles and link with nothing. Rows with a null ``doc_id`` link like others but name no component
-    (null where no row of theirs has an id); rows that share a ``doc_id`` are documents of their own. Other columns are ignored.
+    A group of one ``block`` is a tile. A larger one is cut into bands of sizes, so wide that sets which link are in one band or in neighbouring ones,
+    and each band into blocks: each block meets each other block of its band and of the next, and itself, in a tile of two. ``side``
+    is the block's place in it (``SELF``: a block paired with itself).
     """
+    one = rows.where(F.col("members") <= block).withColumn("tile", F.col(key)).withColumn("side", F.lit(SELF)).drop("members")
+    big = rows.where(F.col("members") > block).drop("members").withColumn("_band", F.floor(F.log(F.col("n").cast("double")) / -math.log(BAND)))
+    per = table(big.groupBy(F.col(key).alias("_g"), F.col("_band").alias("_h")).agg(F.ceil(F.count("*") / F.lit(float(block))).cast("long").alias("_own")), "bands")
+    side = lambda by, name: per.select(F.col("_g").alias(f"_g{name}"), (F.col("_h") + by).alias(f"_h{name}"), F.col("_own").alias(f"_{name}"))
+    meets = per.join(side(-1, "up"), F.expr("_g = _gup and _h = _hup"), "left").join(side(1, "low"), F.expr("_g = _glow and _h = _hlow"), "left").select("_g", "_h", "_own", F.coalesce("_up", F.lit(0)).alias("_up"), F.coalesce("_low", F.lit(0)).alias("_low"))
+    if per.count() <= BROADCAST_CLASSES:
+        meets = F.broadcast(meets)
+    at = big.join(meets, (F.col(key) == F.col("_g")) & (F.col("_band") == F.col("_h"))).withColumn("_b", F.expr("pmod(xxhash64(d), _own)"))
+    # (the lower band, the upper, the place in the lower, the place in the upper, the side)
+    run = lambda n, row: f"if({n} > 0, transform(sequence(0L, {n} - 1), o -> {row}), array())"
+    row = "named_struct('a', _band + {a}, 'b', _band + {b}, 'i', {i}, 'j', {j}, 's', {s})".format
+    own = row(a=0, b=0, i="least(o, _b)", j="greatest(o, _b)", s=f"case when _b > o then 1 when _b = o then {SELF} else 0 end")
+    met = F.expr(f"concat({run('_own', own)}, {run('_up', row(a=0, b=1, i='_b', j='o', s=0))}, {run('_low', row(a=-1, b=0, i='o', j='_b', s=1))})")
+    at = at.withColumn("_m", F.explode(met)).withColumn("tile", F.xxhash64(key, "_m.a", "_m.b", "_m.i", "_m.j")).withColumn("side", F.col("_m.s"))
+    return one.unionByName(at.select(*one.columns))
+
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``rows(doc_id, text_hash, n, d)`` of all documents, ``classes(d, rep, n, copies)``, and ``found(d, to, links)``: the links of classes, a spanning forest of them."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    base = docs.select("doc_id", "text")
-    made = table(base.mapInArrow(_classes, f"doc_id {kind}, n long, d long, map binary, wide binary"), "classes")
-    classes = table(made.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "class")
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    made = table(base.mapInArrow(_classes(_digest), f"doc_id {kind}, text_hash long, n long, d long, e long, map binary, wide binary, some binary"), "classes")
+
+    def grouped(rows):
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("i"), "doc_id")).alias("rep")
+        return table(rows.where("n > 0").groupBy("d").agg(least, F.max("n").alias("n"), F.count("*").alias("copies"), F.min("e").alias("_e"), F.max("e").alias("_f")), "class")
+
+    # digests that agree in their first halves only are told apart by the second
+    classes = grouped(made)
+    twin = classes.where("_e <> _f").select("d").limit(MOST_TWINS + 1).collect()
+    shared = frozenset(r["d"] for r in twin)
+    if shared:
+        if len(shared) > MOST_TWINS:
+            raise RuntimeError(f"over {MOST_TWINS} sets agree in half a digest")
+        drop(classes)
+        made = made.withColumn("d", F.when(F.col("d").isin(*shared), F.col("e")).otherwise(F.col("d")))
+        classes = grouped(made)
+        if not classes.where("_e <> _f").isEmpty():
+            raise RuntimeError("two sets agree in a half of their digests and a third one in the other")
+    classes = classes.select("d", F.col("rep.doc_id").alias("rep"), "n", "copies")
+
+    # hashes that many sampled classes hold come last in the common order
+    often = made.where("some is not null").mapInArrow(_sampled, "d long, key long").distinct().groupBy("key").count().where(F.col("count") >= HOT).orderBy(F.desc("count"), "key").limit(MOST_HOT)
+    hot = np.sort(often.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+    sent = spark.sparkContext.broadcast(hot)
 
     # keys of two classes at least, and what is left of each class
     first = made.where("map is not null")
     total = first.agg(F.sum(F.expr(f"n - ({NEAR} * n + 99) div 100 + 1 + n div 20"))).first()[0] or 0
     tasks = max(slots(spark), math.ceil(total / KEYS_PER_TASK))
-    live = base.mapInArrow(_postings, "d long, key long").repartition(tasks, "key").mapInArrow(_live, "d long, key long, times int")
+    live = base.mapInArrow(_postings(_digest, shared, sent), "d long, key long, salt short").repartition(tasks, "key", "salt").mapInArrow(_live, "d long, key long, times int")
     mine = live.groupBy("d").agg(F.collect_list(F.struct("key", "times")).alias("live"))
     maps = first.groupBy("d").agg(F.first("n").alias("n"), F.first("map").alias("map"))
-    shared = F.expr(f"1 + (({NEAR} * n + 99) div 100) div 20")
-    left = table(maps.join(mine.select(F.col("d").alias("_d"), "live"), F.expr("d = _d")).where(F.size("live") >= shared).select("d", "n", "map", "live"), "left")
+    least = F.expr(f"1 + (({NEAR} * n + 99) div 100) div 20")
+    left = table(maps.join(mine.select(F.col("d").alias("_d"), "live"), F.expr("d = _d")).where(F.size("live") >= least).select("d", "n", "map", "live"), "left")
     del live, mine, maps
     release(spark)
 
-    # tiles
-    posted = left.select("d", "n", "map", F.explode("live").alias("k")).select("d", "n", "map", F.col("k.key").alias("key"), F.expr(f"cast(ceil(k.times / {TILE}) as bigint)").alias("blocks"))
-    edges = _tiles(posted, ["key"], "blocks").select("tile", "side", "d", "n", "map").repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(_tile_edges, "a long, b long")
+    # tiles of keys
+    posted = left.select("d", "n", "map", F.explode("live").alias("k")).select("d", "n", "map", F.col("k.key").alias("key"), F.col("k.times").cast("long").alias("members"))
+    if len(hot):
+        often = F.broadcast(posted.where("members is null").groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("_c")))  # MOST_HOT rows at most
+        posted = posted.join(often, F.col("key") == F.col("_k"), "left").withColumn("members", F.coalesce("members", "_c")).drop("_k", "_c")
+    edges = _tiles(posted, "key", TILE).select("tile", "side", "d", "n", "map").repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(_tile_edges, "a long, b long")
     rough = table(components(edges), "clusters")
     del edges, posted
     drop(left)
     release(spark)
 
     # groups of more than a block once more, by the full bitmaps
-    size = rough.groupBy("label").agg(F.count("*").alias("c")).select(F.col("label").alias("_l"), "c")
-    rough = rough.join(size, F.col("label") == F.col("_l")).drop("_l")
-    full = first.select(F.col("d").alias("_d"), "n", F.coalesce("wide", "map").alias("map")).dropDuplicates(["_d"])
-    big = rough.where(F.col("c") > BLOCK).withColumn("blocks", F.expr(f"cast(ceil(c / {WIDE_BLOCK}) as bigint)")).join(full, F.col("node") == F.col("_d")).select(F.col("node").alias("d"), "label", "blocks", "n", "map")
-    again = _tiles(big, ["label"], "blocks").select("tile", "side", "d", "n", "map").repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(_tile_edges, "a long, b long")
-    cluster = table(rough.where(F.col("c") <= BLOCK).select("node", "label").unionByName(components(again)), "clusters")
+    cluster, over = rough, _large(rough)
+    if over is not None:
+        full = first.select(F.col("d").alias("_d"), "n", F.coalesce("wide", "map").alias("map")).dropDuplicates(["_d"])
+        big = rough.join(over, F.col("label") == F.col("_l")).join(full, F.col("node") == F.col("_d")).select(F.col("node").alias("d"), "label", "members", "n", "map")
+        again = _tiles(big, "label", WIDE_BLOCK).select("tile", "side", "d", "n", "map").repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(_tile_edges, "a long, b long")
+        small = rough.join(over.select("_l"), F.col("label") == F.col("_l"), "left_anti")
+        cluster = table(small.select("node", "label").unionByName(components(again)), "clusters")
 
     # sets of the clusters' classes, gathered in blocks
-    big = cluster.groupBy("label").agg(F.count("*").alias("c")).select(F.col("label").alias("_l"), F.expr(f"cast(ceil(c / {BLOCK}) as bigint)").alias("blocks"))
-    member = cluster.join(big, F.col("label") == F.col("_l")).join(classes, F.col("node") == F.col("d")).select(F.col("d").alias("want"), "rep", "copies", F.col("label").alias("cluster"), "blocks")
+    over = _large(cluster)
+    member = cluster.withColumn("members", F.lit(1).cast("long")) if over is None else cluster.join(over, F.col("label") == F.col("_l"), "left").select("node", "label", F.coalesce("members", F.lit(1)).alias("members"))
+    member = member.join(classes, F.col("node") == F.col("d")).select(F.col("d").alias("want"), "rep", "copies", F.col("label").alias("cluster"), "members")
     if cluster.count() <= BROADCAST_CLASSES:
         member = F.broadcast(member)
-    sets = base.join(member, F.expr("doc_id <=> rep")).select("text", "want", "copies", "cluster", "blocks").mapInArrow(_bodies, "d long, copies long, cluster long, blocks long, body binary")
+    sets = base.join(member, F.expr("doc_id <=> rep")).select("text", "want", "copies", "cluster", "members").mapInArrow(_bodies(_digest, shared), "d long, copies long, cluster long, members long, n long, body binary")
     sets = table(sets.dropDuplicates(["d"]), "sets")
-    met = _tiles(sets, ["cluster"], "blocks").select("tile", "side", "d", "copies", "body").repartition(tasks, "tile").sortWithinPartitions("tile")
+    met = _tiles(sets, "cluster", BLOCK).select("tile", "side", "d", "copies", "body").repartition(tasks, "tile").sortWithinPartitions("tile")
     found = table(met.mapInArrow(_block_links, "d long, to long, links long"), "links")
     del met
     drop(sets)
     release(spark)
-    comp = components(found.select(F.col("d").alias("a"), F.col("to").alias("b")))
+    return made.select("doc_id", "text_hash", "n", "d"), classes, found
+
+
+def _large(cluster: DataFrame) -> DataFrame | None:
+    """``_l, members`` of the clusters over a block, to be joined (by broadcast while they are few); None if there is none."""
+    out = table(cluster.groupBy(F.col("label").alias("_l")).agg(F.count("*").alias("members")).where(F.col("members") > BLOCK), "large")
+    n = out.count()
+    return None if not n else F.broadcast(out) if n <= BROADCAST_CLASSES else out
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links``, a row for each row of ``docs``.
 
-    # back to documents
+    Documents link when their shingle sets have a Jaccard similarity of 0.75 or more; ``component_id`` is the smallest ``doc_id`` that links
+    reach, the document itself included, and ``n_links`` the number of documents it links with, copies counted. Null and
+    empty texts have no shingles and link with nothing. Rows with a null ``doc_id`` link like others but name no component
+    (null where no row of theirs has an id); rows that share a ``doc_id`` are documents of their own. Other columns are ignored.
+    """
+    rows, classes, found = _linked(docs)
+    comp = components(found.select(F.col("d").alias("a"), F.col("to").alias("b")))
     named = classes.join(comp, F.col("d") == F.col("node"), "left").select("d", "rep", "copies", F.coalesce("label", "d").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id")).select(F.col("label").alias("_l"), "component_id")
     count = found.groupBy("d").agg(F.sum("links").alias("links")).select(F.col("d").alias("_k"), "links")
     done = named.join(least, F.col("label") == F.col("_l")).join(count, F.col("d") == F.col("_k"), "left").select(F.col("d").alias("_d"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"))
-    out = made.select("doc_id", F.col("n").alias("n_shingles"), "d").join(done, F.col("d") == F.col("_d"), "left")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "d").join(done, F.col("d") == F.col("_d"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of the smallest ``doc_id`` of each component; rows without shingles stay, and so do those with a null id."""
-    gone = jaccard_components(docs).where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_d"), "left_anti")
+    """``docs`` with one row of each component: that of the smallest ``doc_id`` (null last), among rows that share it that of the least text hash.
+
+    Of rows equal in both one stays. Rows without shingles (null, empty or blank text) link with nothing and all stay. Long texts are read whole;
+    an empty table stays empty; other columns, whatever their names, come along.
+    """
+    rows, classes, found = _linked(docs)
+    comp = components(found.select(F.col("d").alias("a"), F.col("to").alias("b")))
+    each = rows.where("n > 0").groupBy("d", "doc_id", "text_hash").agg(F.count("*").alias("m")).join(comp, F.col("d") == F.col("node"), "left")
+    first = each.groupBy(F.coalesce("label", "d").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("i"), "doc_id", "text_hash", "m")).alias("f"))
+    blank = rows.where("n = 0").select("doc_id", "text_hash", F.lit(0).cast("long").alias("m")).distinct()
+    kept = table(first.select("f.doc_id", "f.text_hash", "f.m").unionByName(blank).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "m"), "kept")
+    got = wrapped(docs, id=F.col("doc_id"), hash=F.xxhash64("text"))
+    same = F.expr("id <=> k_id and hash = k_hash")
+    once = got.join(kept.where("m <= 1"), same, "left_semi")
+    many = got.join(kept.where("m > 1"), same, "left_semi").dropDuplicates(["id", "hash"])
+    return once.unionByName(many).select("row.*")

@@ -6,7 +6,7 @@ stands inside other text; sentences of lines, whose runs go from ``least_words``
 1. ``_chunks``: chunks of words cut by their content. The windows of a chunk that stood earlier repeat, and the earliest chunk has them too.
 2. ``_keys``: the 64-bit hashes of each text's sentences and lines, and of the least fragments of its other windows. Equal windows
    have equal least fragments, so a window whose fragment comes once can't repeat; this leaves out most windows and no repeated one.
-3. ``_candidates``: the 128-bit digests of the pieces whose hash comes twice. All but the earliest place of each are repeated.
+3. ``_candidates``: the 128-bit digests of the pieces whose hash comes twice. All but the earliest place of each are repeated (``_later``).
 4. ``cut``: the words that repeated pieces cover, in maximal runs, mapped back to offsets.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .batches import pieces, text_buffer
 from .common import drop, release, table
-from .jaccard import _EACH, _mix, _power
+from .hashing import mix, range_hashes, run_digests
 
 #: A run of repeated units in a document goes if it holds so many words; so does any repeated run of words of that length.
 LEAST_WORDS = 12
@@ -33,7 +33,12 @@ UNIT, LINE, WINDOW, CHUNKED = range(4)
 #: Words of a chunk, on average; the bits of a place that tell the word (above them stands the length of a chunk).
 CHUNK, PLACE = 32, (1 << 31) - 1
 
-_UNIT = re.compile(r"[^\n]*?[.!?]+(?=\s|$)|[^\n]+")
+#: Of so many texts one is looked at for digests that ``HOT`` of them hold; ``MOST_HOT`` such digests at most are broadcast, and their rows are dealt over ``SALTS``
+#: tasks by text. That settles where rows are compared, never whether a piece repeats.
+SAMPLE, HOT, MOST_HOT, SALTS = 64, 64, 200_000, 128
+
+#: Where a unit ends: marks before white space, taken from the first one of their run so that a long run is read once, and line breaks.
+_END = re.compile(r"(?<![.!?])[.!?]++(?=\s|\Z)|\n")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _FOLDED = np.frombuffer(_FOLD, np.uint8)
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
@@ -42,17 +47,29 @@ _STEPS = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LANE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _pieces(text: str):
+    """Start and end of the sentences of each line; a line without an end mark is one."""
+    at = 0
+    for m in _END.finditer(text):
+        end = m.start() if m[0] == "\n" else m.end()
+        if end > at:
+            yield at, end
+        at = m.end()
+    if at < len(text):
+        yield at, len(text)
+
+
 def units(text: str) -> list[tuple[int, int, int, bytes]]:
     """Units of a text: the sentences of each line (a line without an end mark is one): start, end, words, 16-byte digest of the normalised words.
 
     Words are lower-cased runs of ASCII letters, digits and non-ASCII characters; a piece without words is no unit.
     """
     out = []
-    for m in _UNIT.finditer(text):
-        w = m[0].encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    for a, b in _pieces(text):
+        t = text[a:b]
+        w = t.encode("utf-8", "surrogatepass").translate(_FOLD).split()
         if w:
-            a, b = m.span()
-            out.append((a + len(m[0]) - len(m[0].lstrip()), b - len(m[0]) + len(m[0].rstrip()), len(w), hashlib.blake2b(b" ".join(w), digest_size=16).digest()))
+            out.append((a + len(t) - len(t.lstrip()), b - len(t) + len(t.rstrip()), len(w), hashlib.blake2b(b" ".join(w), digest_size=16).digest()))
     return out
 
 
@@ -67,16 +84,16 @@ def parts(text: str) -> list[tuple[int, int, int, int, int, bool]]:
             a, b = out[line[0]], out[line[-1]]
             out.append((LINE, a[1], b[1] + b[2] - a[1], a[3], b[4], True))
 
-    for m in _UNIT.finditer(text):
-        n = len(_WORD.findall(m[0]))
+    for a, b in _pieces(text):
+        t = text[a:b]
+        n = len(_WORD.findall(t))
         if not n:
             continue
-        if line and text.find("\n", at, m.start()) >= 0:
+        if line and text.find("\n", at, a) >= 0:
             close()
             line = []
         line.append(len(out))
-        a, b = m.span()
-        out.append((UNIT, word, n, a + len(m[0]) - len(m[0].lstrip()), b - len(m[0]) + len(m[0].rstrip()), False))
+        out.append((UNIT, word, n, a + len(t) - len(t.lstrip()), b - len(t) + len(t.rstrip()), False))
         at, word = b, word + n
     close()
     return out
@@ -92,15 +109,11 @@ def _word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     joined[offsets[:-1][full]] = False
     starts = np.flatnonzero(solid & ~joined[:n])
     ends = np.flatnonzero(solid & ~np.append(joined[1:n], np.zeros(min(n, 1), bool))) + 1
-    up, down = _power(n + 1)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_EACH[low] * up[:n], dtype=np.uint64)])
-        h = _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return h, starts, np.searchsorted(starts, offsets)
+    return range_hashes(low, starts, ends), starts, np.searchsorted(starts, offsets)
 
 
 def _spaced(buf: np.ndarray, i: np.ndarray) -> np.ndarray:
-    """Whether white space (as in ``_UNIT``) begins at these bytes."""
+    """Whether white space (as in ``_END``) begins at these bytes."""
     x, y, z = (np.append(buf, np.zeros(3, np.uint8))[i + k] for k in range(3))
     wide = (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE2) & (y == 0x80) & ((z >= 0x80) & (z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF)) | (x == 0xE2) & (y == 0x81) & (z == 0x9F) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
     return (x >= 9) & (x <= 13) | (x >= 28) & (x <= 32) | (x == 0xC2) & ((y == 0x85) | (y == 0xA0)) | wide
@@ -122,16 +135,6 @@ def _ranges(buf: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[n
     return np.repeat([UNIT, LINE], [len(ua), several.sum()]), np.concatenate([ua, la[several]]), np.concatenate([ub, lb[several]])
 
 
-def _digests(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit digests of the words from ``a`` to ``b``."""
-    up, down = _power(len(h) + 1)
-    out = []
-    with np.errstate(over="ignore"):
-        for x in (h, _mix(h ^ _LANE)):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[: len(x)], dtype=np.uint64)])
-            out.append(_mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
-
 def _rolled(h: np.ndarray, width: int, step: np.uint64) -> np.ndarray:
     """A hash of the ``width`` words from each word on."""
     n = max(len(h) - width + 1, 0)
@@ -139,7 +142,7 @@ def _rolled(h: np.ndarray, width: int, step: np.uint64) -> np.ndarray:
     with np.errstate(over="ignore"):
         for k in range(1, width):
             s = (s ^ (s >> np.uint64(29))) * step + h[k : n + k]
-        return _mix(s)
+        return mix(s)
 
 
 def _least(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +160,7 @@ def _least(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.nd
 def _in_text(x: np.ndarray, row: np.ndarray) -> np.ndarray:
     """One key for a hash and its text within a batch."""
     with np.errstate(over="ignore"):
-        return _mix(x + row.astype(np.uint64) * _LANE)
+        return mix(x + row.astype(np.uint64) * _LANE)
 
 
 def _chunks(width: int):
@@ -172,7 +175,7 @@ def _chunks(width: int):
             b = np.minimum(np.append(a[1:], len(h))[: len(a)] + width - 1, at[row + 1])
             keep = b - a >= width
             a, b, row = a[keep], b[keep], row[keep]
-            d1, d2 = _digests(h, a, b)
+            d1, d2 = run_digests(h, a, b)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array(a - at[row]), pa.array(b - a), pa.array(d1), pa.array(d2)], ["doc_id", "text_hash", "at", "len", "d1", "d2"])
 
@@ -200,7 +203,7 @@ def _keys(width: int):
             twice = one[np.searchsorted(every, mine, "right") - np.searchsorted(every, mine, "left") > 1]
             one = np.concatenate([one, twice])  # twice if it repeats within the text
             _, a, b = _ranges(buf, offsets, starts)
-            d, _ = _digests(h, a, b)
+            d, _ = run_digests(h, a, b)
             take = pa.array(np.concatenate([row[a], row[p[one]]]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array(np.concatenate([d, least[one].view(np.int64)]))], ["doc_id", "text_hash", "key"])
 
@@ -216,9 +219,9 @@ def _candidates(width: int):
             keys = batch.column("keys")
             held = _in_text(keys.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(batch.num_rows), keys.value_lengths().to_numpy()))
             p = p[np.isin(_in_text(least, row[p]), held)]
-            one, two = _rolled(h, width, _STEPS[0])[p], _rolled(_mix(h ^ _LANE), width, _STEPS[1])[p]
+            one, two = _rolled(h, width, _STEPS[0])[p], _rolled(mix(h ^ _LANE), width, _STEPS[1])[p]
             kind, a, b = _ranges(buf, offsets, starts)
-            d1, d2 = _digests(h, a, b)
+            d1, d2 = run_digests(h, a, b)
             keep = np.isin(_in_text(d1.view(np.uint64), row[a]), held)
             kind, a, d1, d2 = kind[keep], a[keep], d1[keep], d2[keep]
             first = np.concatenate([a, p])
@@ -233,7 +236,7 @@ def _candidates(width: int):
 def cut(text: str, repeated: set[int], least_words: int) -> tuple[int, list[tuple[int, int]], str]:
     """The number of units, the spans that go, and what is left: maximal runs of the words that repeated pieces (by place) cover."""
     if not repeated:
-        return sum(1 for m in _UNIT.finditer(text) if _WORD.search(m[0])), [], text
+        return sum(1 for a, b in _pieces(text) if _WORD.search(text, a, b)), [], text
     all_ = parts(text)
     own = [x for x in all_ if x[0] == UNIT]
     gone = [x for x in all_ if x[5] and x[2] >= LEAST_LINE and x[1] * 4 + x[0] in repeated]
@@ -286,35 +289,66 @@ def _table(df: DataFrame, name: str) -> DataFrame:
         conf.unset(flag) if before is None else conf.set(flag, before)
 
 
+def _hot(rows: DataFrame, *key: str) -> DataFrame:
+    """``h0 ...``: the keys that many of a sample's rows hold, a table of bounded size."""
+    often = rows.groupBy(*key).agg(F.count("*").alias("c")).where(F.col("c") >= HOT).orderBy(F.desc("c"), *key).limit(MOST_HOT)
+    return _table(often.select(*[F.col(k).alias(f"h{i}") for i, k in enumerate(key)]), "hot")
+
+
+def _salt(held: str):
+    return F.when(F.col(held).isNotNull(), F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS))).otherwise(F.lit(-1))
+
+
+def _later(rows: DataFrame, hot: DataFrame, name: str) -> DataFrame:
+    """All rows but those at the earliest place of their digest. A hot digest's rows are ranked in parts, then the first of each part among themselves."""
+    order = F.col("doc_id").isNull(), "doc_id", "text_hash", "at"
+    at = rows.join(F.broadcast(hot), F.expr("d1 = h0 and d2 = h1"), "left").withColumn("salt", _salt("h0"))
+    ranked = at.withColumn("r", F.rank().over(Window.partitionBy("d1", "d2", "salt").orderBy(*order)))  # rows equal in id and text are one document
+    part = _table(ranked.where("r > 1 or h0 is not null").drop("h0", "h1"), name)
+    heads = part.where("r = 1").withColumn("r", F.rank().over(Window.partitionBy("d1", "d2").orderBy(*order))).where("r > 1")
+    return part.where("r > 1").unionByName(heads).drop("salt", "r")
+
+
 def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """A row for each row of ``docs``: ``doc_id, n_units, n_removed, removed_chars, removed (start, end), text``.
 
     A run of ``least_words`` or more words that stands elsewhere goes wherever it starts and ends; so does a run of repeated units (sentences
     of lines) with as many words, and a repeated whole line of ``LEAST_LINE`` words or more. Pieces with equal digests are one passage; the
     occurrence with the smallest (doc_id, place) stays, null ids last. Offsets are code points
-    of the original text, ``text`` is what is left. Null text stays null with no units; rows equal in id and text are
-    one document and get the same result; other columns are ignored.
+    of the original text, ``text`` is what is left. Null text stays null with no units, empty text stays empty; texts of any length are read whole, in time in
+    proportion to it; rows equal in id and text are one document and get the same result; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     some = base.where("text is not null")
+    few = some.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SAMPLE)) == 0)
     own = F.expr("doc_id <=> _d and text_hash = _h")
     names = F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")
-    place = Window.partitionBy("d1", "d2").orderBy(F.col("doc_id").isNull(), "doc_id", "text_hash", "at")
-    later = F.rank().over(place)  # rows equal in id and text are one document
 
-    chunk = some.mapInArrow(_chunks(least_words), f"doc_id {kind}, text_hash long, at long, len long, d1 long, d2 long").withColumn("r", later).where("r > 1")
+    def chunks(rows):
+        return rows.mapInArrow(_chunks(least_words), f"doc_id {kind}, text_hash long, at long, len long, d1 long, d2 long")
+
+    chunk = _later(chunks(some), _hot(chunks(few), "d1", "d2"), "chunk")
     chunk = _table(chunk.groupBy(*names).agg(F.collect_set(F.expr(f"shiftleft(shiftleft(len, 31) + at, 2) + {CHUNKED}")).alias("us")), "chunks")
     release(spark)
-    key = some.join(chunk, own, "left").select("doc_id", "text_hash", "text", "us").mapInArrow(_keys(least_words), f"doc_id {kind}, text_hash long, key long")
-    shared = key.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
+
+    def keys(rows):
+        return rows.join(chunk, own, "left").select("doc_id", "text_hash", "text", "us").mapInArrow(_keys(least_words), f"doc_id {kind}, text_hash long, key long")
+
+    hot = _hot(keys(few), "key")
+    key = keys(some).join(F.broadcast(hot), F.col("key") == F.col("h0"), "left").withColumn("salt", _salt("h0"))
+    shared = key.withColumn("c", F.count("*").over(Window.partitionBy("key", "salt"))).where("c > 1 or h0 is not null")
     shared = _table(shared.groupBy(*names).agg(F.collect_set("key").alias("keys")), "shared")
     release(spark)
-    found = some.join(shared, own).select("doc_id", "text_hash", "text", "keys").mapInArrow(_candidates(least_words), f"doc_id {kind}, text_hash long, at long, d1 long, d2 long")
-    gone = _table(found.withColumn("r", later).where("r > 1").groupBy(*names).agg(F.collect_set("at").alias("us")), "gone")
+
+    def found(rows):
+        return rows.join(shared, own).select("doc_id", "text_hash", "text", "keys").mapInArrow(_candidates(least_words), f"doc_id {kind}, text_hash long, at long, d1 long, d2 long")
+
+    gone = _later(found(some), _hot(found(few), "d1", "d2"), "found")
+    gone = _table(gone.groupBy(*names).agg(F.collect_set("at").alias("us")), "gone")
     drop(shared)
-    del key, shared, found
+    del key, shared
     release(spark)
     gone = gone.unionByName(chunk).groupBy("_d", "_h").agg(F.flatten(F.collect_list("us")).alias("us"))
     held = base.join(gone, own, "left").select("doc_id", "text", "us")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -15,13 +16,14 @@ from pyspark.sql import functions as F
 
 from .batches import pieces, text_buffer
 from .common import scratch, table
+from .hashing import range_hashes, same_ranges
 
 #: The id that ends each document.
 END_ID = 2
 #: A shard is closed after so many ids.
 SHARD_IDS = 16_000_000
 #: Encoded pieces that a worker keeps.
-CACHE = 800_000
+CACHE = 400_000
 #: Fixed values of the file format. Payload: the ids, little-endian, 2 bytes where the vocabulary allows, else 4. Index: header, then the arrays named below.
 MAGIC, VERSION, HEADER = b"FOLT", 1, "<4sHHQQQ"
 ARRAYS = (("displacements", "<i4"), ("fingerprints", "<u4"), ("starts", "<u8"), ("lengths", "<u8"), ("keys", "<i8"), ("repeats", "<u4"), ("nulls", "<u1"))
@@ -34,22 +36,8 @@ _RARE = np.zeros(256, bool)
 _RARE[[9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0xE1, 0xE2, 0xE3]] = True
 _GAP = np.zeros(256, bool)
 _GAP[[32, 10]] = True
-_ODD = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
-
-
-def _power(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        _powers[:] = []
-        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers.append(np.multiply.accumulate(x))
-    return _powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
+    """Part of the file format, so it stays as it is."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -150,13 +138,24 @@ class Shard:
         return self.payload[int(self.starts[at]) : int(self.starts[at] + self.lengths[at])] if ok else None
 
 
+def cuts_hold(config: dict) -> bool:
+    """Whether a tokenizer's file is of the kind whose texts may be cut as ``Encoder`` does: byte-level pieces by the usual pattern, no normalizer, and no added token that a cut or the model alone would miss."""
+    cutter = config.get("pre_tokenizer") or {}
+    while cutter.get("type") == "Sequence" and len(cutter["pretokenizers"]) == 1:
+        cutter = cutter["pretokenizers"][0]
+    model = config.get("model") or {}
+    plain = not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    whole = lambda t: _MARKED.fullmatch(t["content"]) or re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word")
+    return config.get("normalizer") is None and cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True) and model.get("type") == "BPE" and plain and not any(whole(t) for t in config.get("added_tokens") or [])
+
+
 class Encoder:
     """Whole texts to ids, as the library encodes them, each distinct piece once for as long as it is kept.
 
     The byte-level pre-tokenizer always cuts before a space that a non-space character follows, around a single line break
     between such characters, and between letters and marks, so the pieces between such cuts can be encoded on their own. A batch's
-    pieces are found and hashed as arrays; only its distinct ones are looked up. Texts with other white space than single
-    blanks and line breaks inside are cut in the general way.
+    pieces are found and hashed as arrays, and bytes decide which are equal; only its distinct ones are looked up. Texts with other white space than
+    single blanks and line breaks inside are cut in the general way. A tokenizer of another kind (``cuts_hold``) gets its texts whole.
     """
 
     def __init__(self, path: str):
@@ -168,8 +167,9 @@ class Encoder:
         self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte_level = {c: 256 + i for i, c in enumerate(c for c in range(256) if c not in shown)}
-        self.known: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.end = np.array([END_ID], self.kind).tobytes()
+        self.cuts = cuts_hold(json.loads(self.tok.to_str()))
         self.line = self._one("\n")
 
     def _one(self, text: str) -> bytes:
@@ -202,6 +202,10 @@ class Encoder:
     def encode_flat(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts that lie in ``buf`` between ``offsets``, each with its end id, and how many each has."""
         n, docs = len(buf), len(offsets) - 1
+        if not self.cuts:
+            raw = buf.tobytes()
+            each = [self._one(raw[a:b].decode()) + self.end for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return np.frombuffer(b"".join(each), self.kind), np.array([len(x) // self.width for x in each], np.int64)
         full = np.flatnonzero(offsets[1:] > offsets[:-1])
         first, last = offsets[:-1][full], offsets[1:][full] - 1
         gap = _GAP[buf]
@@ -222,24 +226,26 @@ class Encoder:
         ends -= edge[ends] == 0
         kind = np.where(edge[starts], 0, buf[np.maximum(starts - 1, 0)]).astype(np.uint64)
         edge[first[odd]] = 2
+        # a piece is its bytes, with the blank or line break before it; those that share a hash count as one only if they are equal
         kind[edge[starts] == 2] = 3
-        up, down = _power(n + 1)
-        with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(0x51)) * up[:n], dtype=np.uint64)])
-            h = mix(mix((total[ends] - total[starts]) * down[starts]) + (ends - starts).astype(np.uint64) * np.uint64(256) + kind)
+        lead = starts - ((kind == 32) | (kind == 10))
+        h = range_hashes(buf, lead, ends) + kind
         u, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        keys = u.tolist()
+        other = np.flatnonzero(~(same_ranges(buf, lead, ends, at[inverse]) & (kind == kind[at[inverse]])))
+        if len(other):
+            inverse[other] = len(at) + np.arange(len(other))
+            at = np.append(at, other)
         if len(self.known) > CACHE:
             self.known.clear()
-        ids = [self.known.get(k) for k in keys]
         raw = buf.tobytes()
-        for i in [i for i, x in enumerate(ids) if x is None]:
-            j = at[i]
-            text, k = raw[starts[j] : ends[j]].decode(), int(kind[j])
+        keys = [raw[a:b] for a, b in zip(lead[at].tolist(), ends[at].tolist(), strict=True)]
+        ids = [self.known.get(k) for k in keys]
+        for i, j in enumerate(at.tolist()):
+            k = int(kind[j])
             if k == 3:
-                ids[i] = self._text(text)
-            else:
-                ids[i] = self.known[keys[i]] = self._piece(text, chr(k) if k else "")
+                ids[i] = self._text(raw[starts[j] : ends[j]].decode())
+            elif ids[i] is None:
+                ids[i] = self.known[keys[i]] = self._piece(raw[starts[j] : ends[j]].decode(), chr(k) if k else "")
         ids.append(self.end)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
         flat = np.frombuffer(b"".join(ids), self.kind)
@@ -270,11 +276,26 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+#: Spark's names of object stores, and those that the workers' file systems know.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "wasb": "abfs", "gs": "gs", "gcs": "gs"}
+
+
+def store(path: str):
+    """The workers' file system and the path in it, for a path as Spark names it."""
+    from pyarrow import fs
+
+    scheme, mark, rest = path.partition("://")
+    if not mark and path.startswith("file:"):
+        scheme, mark, rest = "file", "://", path[5:]
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}" if mark else path)
+
+
 def write_shards(docs: DataFrame, tokenizer: str, to: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes every text and writes the shards under ``to`` (default: the shared folder) in ascending ``doc_id`` order, nulls first.
 
     Returns the manifest, a row for each shard: ``shard, path, n_docs, n_ids, start`` (ids of all shards before it). Null text is empty; rows with
-    equal ids are told apart by a running number. A shard is a ``.bin`` file of raw ids and a ``.idx`` file; a task's files have
+    equal ids are told apart by a running number, and all of them are one task's, in text order. Long texts are encoded whole; other columns are ignored.
+    ``to`` may be any path that both Spark and the workers' file systems know (``store``). A shard is a ``.bin`` file of raw ids and a ``.idx`` file; a task's files have
     a name of their own and count only once the manifest names them, so a retried task leaves no trace.
     """
     spark = docs.sparkSession
@@ -283,10 +304,9 @@ def write_shards(docs: DataFrame, tokenizer: str, to: str | None = None, shard_i
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(max(parts, 1), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        part, where = TaskContext.get().partitionId(), fs.FileSystem.from_uri(to)
+        part, where = TaskContext.get().partitionId(), store(to)
         where[0].create_dir(where[1], recursive=True)
         enc = encoder(tokenizer)
         body, keys, nulls, lengths, repeats = [], [], [], [], []
@@ -331,11 +351,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     """Every document of the shards, looked up by its key: ``doc_id, start, n_tokens, ids_crc32, shard``."""
 
     def run(batches):
-        from pyarrow import fs
-
         for batch in batches:
             for row in batch.to_pylist():
-                where, path = fs.FileSystem.from_uri(row["path"])
+                where, path = store(row["path"])
                 data = []
                 for end in (".idx", ".bin"):
                     with where.open_input_stream(path + end) as f:

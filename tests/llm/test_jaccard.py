@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import jaccard
 
@@ -78,6 +79,68 @@ def test_threshold_is_inclusive(spark):
     assert ran(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_long_words_are_told_apart(spark):
+    t = [0]
+    for _ in range(12):
+        t += [1 - x for x in t]
+    rows = [(i, "".join("ab"[x] for x in y[:n])) for i, (n, y) in enumerate((n, y) for n in (1024, 2048, 4096) for y in (t, [1 - x for x in t]))]
+    assert ran(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_hashes_come_last(spark, data, monkeypatch, hot):
+    for name, n in (("SAMPLE", 1), ("HOT", hot), ("TILE", 4), ("WIDE_BLOCK", 3), ("BLOCK", 2)):
+        monkeypatch.setattr(jaccard, name, n)
+    common = " ".join(f"c{k}" for k in range(30))
+    rng = np.random.default_rng(2)
+    rows = [(i, common + " " + " ".join(f"v{k}" for k in rng.integers(0, 50, 12))) for i in range(40)]
+    rows += [(100 + i, " ".join(f"u{k}" for k in range(60 - i % 9))) for i in range(30)] + [(r["doc_id"] + 1000, r["text"]) for r in H.table(data, "documents")[:60]]
+    assert ran(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_half_digests_that_agree(spark, monkeypatch):
+    whole = jaccard._digest
+    monkeypatch.setattr(jaccard, "_digest", lambda s: (len(s) % 2, whole(s)[1]))
+    rows = [(i, " ".join(f"w{k}" for k in range(i % 11, 20 + i % 7))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    met = {}
+    for _, t in rows:
+        s = jaccard.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]
+        met.setdefault(whole(s), jaccard._digest(s))
+    shared = frozenset(d[0] for d in met.values())
+    assert shared == {0, 1} and len({jaccard._name(d, shared) for d in met.values()}) == len(met) and ran(df) == brute(rows)
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    from foliant.llm import common
+
+    monkeypatch.setattr(common, "HUB", 5)
+    rng = np.random.default_rng(6)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(40)] + [(int(a), int(b)) for a, b in rng.integers(200, 400, (150, 2))]
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    got = {r["node"]: r["label"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: root(n) for e in edges for n in e if e[0] != e[1]} | {n: root(n) for n in got}
+    with pytest.raises(RuntimeError):
+        common.components(spark.createDataFrame(edges, "a long, b long"), max_rounds=1)
+
+
+def test_keep_first_of_repeated_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(3, b + " end", 1), (5, a, 2), (5, b, 3), (3, b + " end", 4), (None, a, 5), (7, None, 6), (7, "", 7), (None, "one two", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, v int").withColumns({c: F.lit(1) for c in ("d", "_d", "m", "row", "k_id")})
+    got = jaccard.keep_first(docs)
+    assert got.columns == docs.columns and sorted((str(r["doc_id"]), str(r["text"])[:2]) for r in got.collect()) == [("3", "b0"), ("5", "a0"), ("7", ""), ("7", "No"), ("None", "on")]
+
+
 def test_bounds_never_rule_out_a_link():
     rng = np.random.default_rng(5)
     for _ in range(200):

@@ -298,11 +298,24 @@ def brute_substrings(docs, least=substrings.LEAST_WORDS):
     return out
 
 
-def test_substrings_table(spark, data):
-    docs = [(r["doc_id"], r["text"]) for r in H.table(data, "documents")]
-    want = {d: x for (d, _), x in brute_substrings(docs).items()}
+def test_substrings_hold_what_units_alone_find(spark, data):
+    docs = {r["doc_id"]: r["text"] for r in H.table(data, "documents")}
+    want = {d: x for (d, _), x in brute_substrings(list(docs.items())).items()}
     for r in rows(QUERIES["op2_substring_dedup"](spark, data)):
-        assert (r["n_units"], [(s["start"], s["end"]) for s in r["removed"]], r["text"]) == want[r["doc_id"]]
+        n, spans, _ = want[r["doc_id"]]
+        got = covered_words(r, docs[r["doc_id"]])
+        assert r["n_units"] == n
+        assert all(c for c, (_, a, b) in zip(got, plain_words(docs[r["doc_id"]] or "")) if any(s <= a and b <= e for s, e in spans))
+
+
+def test_units_of_long_runs_of_marks():
+    import time
+
+    began = time.perf_counter()
+    for t in ("." * 200_000 + "x", "a! " + "?!." * 70_000 + "\n", ("." * 50 + "x ") * 4000):
+        assert substrings.units(t) is not None and substrings.parts(t) is not None
+    assert time.perf_counter() - began < 2
+    assert [t[a:b] for t in ["One two.Three. Four!?\n\nfive...six... \u0085seven"] for a, b in substrings._pieces(t)] == ["One two.Three.", " Four!?", "five...six...", " \u0085seven"]
 
 
 def test_repeated_passage_goes_once(spark):
@@ -376,6 +389,34 @@ def test_substrings_are_whole(spark, data):
         assert r["text"] == left and r["n_removed"] == len(r["removed"]) and r["removed_chars"] == len(t) - len(left)
 
 
+def test_hot_digests_are_dealt(spark, monkeypatch):
+    for name, n in (("SAMPLE", 1), ("HOT", 3), ("SALTS", 4)):
+        monkeypatch.setattr(substrings, name, n)
+    rng = np.random.default_rng(8)
+    lines = [" ".join(f"w{k}" for k in rng.integers(0, 60, 14)) + "." for _ in range(6)]
+    docs = [(int(d), "\n".join([*(lines[k] for k in rng.integers(0, 6, 3)), f"own {d} text."])) for d in range(60)]
+    want = brute_cover(docs)
+    got = rows(substrings.dedup_substrings(spark.createDataFrame(docs * 2, "doc_id long, text string")))
+    assert len(got) == 120 and all(covered_words(r, dict(docs)[r["doc_id"]]) == want[r["doc_id"], dict(docs)[r["doc_id"]]] for r in got)
+
+
+def thue_morse(n):
+    t = [0]
+    while len(t) < n:
+        t += [1 - x for x in t]
+    return t
+
+
+def test_run_digests_tell_long_runs_apart():
+    from foliant.llm import hashing
+
+    for n in (1024, 4096):
+        t = np.array(thue_morse(n))
+        h = np.array([11, 29], np.uint64)[np.concatenate([t, 1 - t, t])]
+        d = list(zip(*hashing.run_digests(h, np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n])), strict=True))
+        assert d[0] == d[2] and d[0][0] != d[1][0] and d[0][1] != d[1][1]
+
+
 def test_passages_inside_units(spark):
     p = [f"w{k}" for k in range(40)]
     docs = [

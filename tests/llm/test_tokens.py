@@ -26,6 +26,38 @@ def test_encoder_equals_the_library():
     assert enc.encode([]) == []
 
 
+def test_long_words_are_told_apart():
+    tok, enc = Tokenizer.from_file(PATH), tokens.Encoder(PATH)
+    t = [0]
+    for _ in range(12):
+        t += [1 - x for x in t]
+    words = ["".join("ab"[x] for x in (y[:n])) for n in (1024, 2048, 4096) for y in (t, [1 - x for x in t])]
+    want = [np.array([*e.ids, 2], "<u2").tobytes() for e in tok.encode_batch([*words, " ".join(words)], add_special_tokens=False)]
+    assert len(set(want)) == 7 and enc.encode([*words, " ".join(words)]) == want
+
+
+def test_equal_hashes_do_not_merge(monkeypatch):
+    tok, enc = Tokenizer.from_file(PATH), tokens.Encoder(PATH)
+    monkeypatch.setattr(tokens, "range_hashes", lambda buf, a, b: np.zeros(len(a), np.uint64))
+    want = [np.array([*e.ids, 2], "<u2").tobytes() for e in tok.encode_batch(TEXTS, add_special_tokens=False)]
+    assert enc.encode(TEXTS) == want
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    assert not enc.cuts and tokens.Encoder(PATH).cuts
+    assert enc.encode(TEXTS) == [np.array([*e.ids, 2], enc.kind).tobytes() for e in tok.encode_batch(TEXTS, add_special_tokens=False)]
+
+
+def test_store_names(tmp_path):
+    from pyarrow import fs
+
+    for p in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}"):
+        where, at = tokens.store(p)
+        assert isinstance(where, fs.LocalFileSystem) and at == str(tmp_path)
+
+
 def test_encoder_with_a_full_cache(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 3)
     tok, enc = Tokenizer.from_file(PATH), tokens.Encoder(PATH)
