@@ -134,7 +134,7 @@ UNFOLD = 10_000
 
 def unfold(df: DataFrame, times: str, number: str) -> DataFrame:
     """Each row ``times`` times, numbered from 0 in ``number``; a row with very many copies is dealt over tasks in runs of ``UNFOLD``."""
-    few = df.where(F.col(times) <= UNFOLD).withColumn(number, F.explode(F.expr(f"sequence(0L, {times} - 1)")))
+    few = df.where(F.col(times).between(1, UNFOLD)).withColumn(number, F.explode(F.expr(f"sequence(0L, {times} - 1)")))
     many = df.where(F.col(times) > UNFOLD).withColumn("_run", F.explode(F.expr(f"sequence(0L, ({times} - 1) div {UNFOLD})"))).repartition(slots(df.sparkSession))
     return few.unionByName(many.withColumn(number, F.explode(F.expr(f"sequence(_run * {UNFOLD}, least({times}, (_run + 1) * {UNFOLD}) - 1)"))).drop("_run"))
 

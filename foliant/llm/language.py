@@ -14,8 +14,12 @@ from .batches import pieces
 BITS = 15
 #: Labelled rows of each language that the model is fitted on (expected number; a hash of doc_id picks them).
 ROWS_PER_LANGUAGE = 2000
-#: The log-probability matrix has a row for each language; it is broadcast, so their number is bounded.
-MOST_LANGUAGES = 512
+#: The log-probability matrix has a row for each language; it is broadcast, so their number is bounded. Of more labels the most frequent are learned.
+MOST_LANGUAGES = 128
+#: The n-grams of a text overlap and repeat each other's evidence: a text's log-probabilities count for no more than so many independent ones do.
+EVIDENCE = 24
+#: Texts whose language is told with a smaller probability go from the pipeline.
+LEAST = 0.5
 
 _letters: list[np.ndarray] = []
 
@@ -34,15 +38,15 @@ def letters() -> np.ndarray:
 def grams(texts: list[str | None]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """The number of letters of each text; and for each n-gram length the features of all texts, with each text's start in them."""
     coded = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
-    gap = np.zeros(2, np.uint32)
+    gap = np.zeros(1, np.uint32)  # before and after each text, so that no n-gram reaches into a neighbour
     ends = np.cumsum([len(c) + 2 for c in coded]) if coded else np.zeros(0, np.int64)
-    flat = np.concatenate([x for c in coded for x in (c, gap)]) if coded else gap[:0]
+    flat = np.concatenate([x for c in coded for x in (gap, c, gap)]) if coded else gap[:0]
     c = letters()[flat]
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if coded else ends
     known = c != 0
     n_letters = np.add.reduceat(known, starts) if coded else ends
-    a, b, d = c, np.append(c[1:], np.uint32(0)), np.append(c[2:], np.zeros(2, np.uint32))
-    before = np.concatenate([np.zeros(1, np.uint32), c[:-1]])
+    a, b = c, np.append(c[1:], np.uint32(0))[: len(c)]
+    before = np.concatenate([np.zeros(1, np.uint32), c[:-1]])[: len(c)]
     shift, out = np.uint32(32 - BITS), []
     mixed = a * np.uint32(0x9E3779B1)
     one = (mixed >> shift).astype(np.int32)
@@ -61,25 +65,26 @@ def _count(langs: list[str]):
         for batch in pieces(batches):
             _, features = grams(batch.column("text").to_pylist())
             lang = np.array([at[x] for x in batch.column("lang").to_pylist()])
-            total = np.zeros(len(langs) * (3 << BITS), np.int64)
-            for idx, starts in features:
-                sizes = np.diff(np.append(starts, len(idx)))
-                total += np.bincount(np.repeat(lang, sizes) * (3 << BITS) + idx, minlength=len(total))
-            (k,) = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
+            # language by language, so that memory doesn't follow their number
+            for j in np.unique(lang).tolist():
+                total = np.zeros(3 << BITS, np.int64)
+                for idx, starts in features:
+                    sizes = np.diff(np.append(starts, len(idx)))
+                    total += np.bincount(idx[np.repeat(lang == j, sizes)], minlength=len(total))
+                (k,) = np.nonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(k + j * (3 << BITS)), pa.array(total[k])], ["k", "n"])
 
     return run
 
 
-def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """The languages and their log-probability matrix, from the rows of ``docs(doc_id, text, lang)`` with a text and a label.
 
-    At most ``rows_per_language`` rows of each language (in expectation) are used; a hash of ``doc_id`` picks them.
+    At most ``rows_per_language`` rows of each language (in expectation) are used; a hash of ``doc_id`` picks them. Of more than ``most_languages``
+    labels the most frequent are learned, ties by name; a text in another language gets the nearest of these.
     """
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(n) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     langs = sorted(n)
     if not langs:
         return [], np.zeros((0, 3 << BITS), np.float32)
@@ -93,24 +98,29 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> tuple[
 
 
 def score(texts: list[str | None], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: whether it has a letter, the index of the likeliest language, its posterior probability (even priors)."""
+    """For each text: whether it has a letter, the index of the likeliest language, its posterior probability (even priors).
+
+    The probability is that of ``EVIDENCE`` n-grams like the text's; with all of a long text's n-grams taken for independent it would always be 1.
+    """
     n_letters, features = grams(texts)
-    total = np.zeros((len(texts), len(matrix)))
+    total, n = np.zeros((len(texts), len(matrix))), np.zeros(len(texts))
     for idx, starts in features:
-        full = np.diff(np.append(starts, len(idx))) > 0
+        sizes = np.diff(np.append(starts, len(idx)))
+        n += sizes
+        full = sizes > 0
         if full.any():
             for j, row in enumerate(matrix):
                 total[full, j] += np.add.reduceat(row[idx], starts[full], dtype=np.float64)
     best = total.argmax(axis=1)
-    odds = np.exp(total - total.max(axis=1, keepdims=True))
+    odds = np.exp((total - total.max(axis=1, keepdims=True)) * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None])
     return n_letters > 0, best, 1.0 / odds.sum(axis=1)
 
 
 def identify(docs: DataFrame, labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """``doc_id, text_hash, lang_pred, score``, a row for each row of ``docs``, from its text alone.
 
-    Null text, or one without a letter, is ``und`` with score 0, and so is everything if no row is labelled. Texts are read whole; the
-    other columns of ``docs`` are ignored.
+    Null text, or one without a letter, is ``und`` with score 0, and so is everything if no row is labelled. Equal rows fare alike; texts are read whole,
+    however long; an empty table gives no rows; the other columns of ``docs`` are ignored.
     """
     langs, matrix = train(labelled, rows_per_language)
     sent = docs.sparkSession.sparkContext.broadcast((langs, matrix))
@@ -134,18 +144,23 @@ def held_out(doc_id="doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def keep_identified(docs: DataFrame, least: float = 0.6) -> DataFrame:
-    """``docs`` without the rows whose language can't be told: no letter at all, or a posterior below ``least``."""
-    if not docs.columns:
-        return docs
+def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """``docs`` without the rows whose language can't be told: no letter at all (null, empty or blank text too), or a probability below ``least``.
+
+    The model learns from the labelled rows of ``docs`` that are not held out. Where none is labelled no language can be the less likely one, and only rows without
+    a letter go. Equal rows fare alike; long texts are read whole; an empty table stays empty; other columns, whatever their names, come along.
+    """
     langs, matrix = train(docs.where(~held_out()))
-    if not langs:
-        return docs.where(F.col("text").isNotNull())
     sent = docs.sparkSession.sparkContext.broadcast(matrix)
 
     def run(batches):
         for batch in pieces(batches, most=500_000):
-            known, _, p = score(batch.column("text").to_pylist(), sent.value)
-            yield batch.filter(pa.array(known & (p >= least)))
+            texts = batch.column("text").to_pylist()
+            if langs:
+                known, _, p = score(texts, sent.value)
+                yield batch.filter(pa.array(known & (p >= least)))
+            else:
+                yield batch.filter(pa.array(grams(texts)[0] > 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])  # names may hold dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -76,6 +76,21 @@ def rpn(expression: str) -> list[str] | None:
     return out + held[::-1]
 
 
+def identifiers(expression: str) -> set[str]:
+    """The identifiers of an expression that doesn't parse, up to where it stops being one."""
+    out: set[str] = set()
+    operand = False
+    for t in (x.lower() for x in _TOKEN.findall(expression)):
+        if t in _RANK:
+            operand = False
+        elif t not in "()":
+            if operand:
+                break
+            out.add(t)
+            operand = True
+    return out
+
+
 def evaluate(postfix: list[str], allowed=PERMISSIVE) -> tuple[set[str], bool]:
     """The labels in an expression, and whether it can be met with allowed licences alone (or: one side, and: both, with: the licence)."""
     stack: list[tuple[set[str], bool]] = []
@@ -101,8 +116,8 @@ def automaton():
     return a
 
 
-def scan_text(text: str | None, machine) -> tuple[int, list[tuple[str, int]], list[tuple[str, bool]]]:
-    """The number of words; the phrases with the word they start at; the labels of the tags' expressions, each with the expression's verdict."""
+def scan_text(text: str | None, machine) -> tuple[int, list[tuple[str, int]], list[tuple[str, bool | None]]]:
+    """The number of words; the phrases with the word they start at; the labels of the tags' expressions, each with the expression's verdict (None if it is malformed)."""
     text = text or ""
     w = text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
     flat = (b" " + b" ".join(w) + b" ").decode("latin-1")
@@ -115,16 +130,17 @@ def scan_text(text: str | None, machine) -> tuple[int, list[tuple[str, int]], li
     tagged = []
     if any(p == TAG for p, _ in hits):
         for m in _SEEN.finditer(text):
-            if post := rpn(m[1]):
-                labels, fine = evaluate(post)
-                tagged += [(x, fine) for x in sorted(labels)]
+            post = rpn(m[1])
+            labels, fine = evaluate(post) if post else (identifiers(m[1]), None)
+            tagged += [(x, fine) for x in sorted(labels)]
     return len(w), [(p, i) for p, i in hits if p != TAG], tagged
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs``: ``doc_id, n_words, hits (phrase, label, base, word), tags (label, permissive)``.
 
-    Null text is empty. Phrases match whole words wherever they stand, overlapping ones too. Other columns are ignored.
+    Null and empty texts have no words. Phrases match whole words wherever they stand, overlapping ones too; long texts are scanned whole, each once. A malformed
+    expression gives the identifiers that could be read, without a verdict (null). Equal rows get equal results; an empty table gives no rows; other columns are ignored.
     """
     kind = "doc_id {}, n_words long, hits array<struct<phrase string, label string, base boolean, word long>>, tags array<struct<label string, permissive boolean>>".format(docs.schema["doc_id"].dataType.simpleString())
 
@@ -146,7 +162,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def license_report(docs: DataFrame) -> DataFrame:
-    """``scan_licenses`` in the report's columns: base places, their first and last word, label lists, and a score that rises with the labels."""
+    """``scan_licenses`` in the report's columns: base places, their first and last word, label lists, a score that rises with the labels, and ``tags_permissive``:
+    whether all expressions can be met with permissive licences alone (null without a verdict on any, or without tags)."""
     s = scan_licenses(docs).withColumn("b", F.expr("filter(hits, h -> h.base)"))
     labels = F.array_sort(F.array_distinct(F.concat(F.expr("transform(hits, h -> h.label)"), F.expr("transform(tags, t -> t.label)"))))
     return s.select(

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, table, words
+from .common import SPACES, quoted, row_hash, table, unfold, words, wrapped
 
 #: Fan-in of the reduction tree: the expected number of items that one fold works through.
 FAN = 128
@@ -37,7 +37,8 @@ _U = "shiftrightunsigned(xxhash64({}), 11) / 9007199254740992D"
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
-    """``sizes(source, source_size)`` with each source's ``target``: one row a source.
+    """``sizes(source, source_size)`` with each source's ``target``: one row a source. The order of all sources and their sums are one task's, some 100 bytes a source
+    that sort on disk where they must; a million sources take seconds.
 
     Sources in code point order, null last, take ``weights`` in turn. The targets fill up together in proportion to the
     weights; one that reaches ``cap`` times its source's size stops there and the rest goes on, which is the fixed point of
@@ -147,26 +148,30 @@ def _settle(unit: DataFrame, most: int, salt: int) -> DataFrame:
 
 def measured(docs: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """Documents as ``mix`` wants them: the size is the number of words (null text: 0), the hash that of the text and the columns ``also``."""
-    return docs.select("doc_id", "source", F.size(words(F.col("text"), SPACES)).cast("bigint").alias("size"), F.xxhash64("text", *also).alias("text_hash"))
+    return docs.select("doc_id", "source", F.size(words(F.col("text"), SPACES)).cast("bigint").alias("size"), (row_hash(docs.select("text", *[quoted(c) for c in also])) if also else F.xxhash64("text")).alias("text_hash"))
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """``doc_id, size, source_size, target, taken``, a row for each row of ``docs``.
 
     Null or empty text has size 0 and is taken 0 times its words; a null source is a source; equal rows are dealt their copies
-    one by one; a source without words has target 0; an empty table gives no rows; other columns are ignored.
+    one by one; a source without words has target 0; long texts count whole; an empty table gives no rows; other columns are ignored.
     """
-    each = mix(measured(docs), **how).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("base") + F.when(F.col("_i") <= F.col("extra"), 1).otherwise(0))).alias("taken"))
+    each = unfold(mix(measured(docs), **how), "m", "_i")
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("base") + F.when(F.col("_i") < F.col("extra"), 1).otherwise(0))).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
+    """The mixed corpus: each row of ``docs`` as often as the mix takes it, with the columns of ``docs``.
+
+    Null and empty texts hold no words and are not taken; a null source is a source; of equal rows (in all columns) each gets its copies; long texts count whole;
+    an empty table stays empty; other columns, whatever their names or types, come along.
+    """
     also = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
-    plan = mix(measured(docs, also), **how).select(*[F.col(c).alias(f"_{c}") for c in ("source", "doc_id", "size", "text_hash")], "m", (F.col("base") * F.col("m") + F.col("extra")).alias("_copies"))
-    plan = table(plan, "mix-copies")
-    keyed = docs.withColumn("_th", F.xxhash64("text", *also))
-    same = F.expr("source <=> _source and doc_id <=> _doc_id and _th = _text_hash")
-    once = keyed.join(plan.where("m = 1 and _copies > 0"), same)
-    many = keyed.join(plan.where("m > 1 and _copies > 0"), same).dropDuplicates(["source", "doc_id", "_th"])
-    return once.union(many).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*docs.columns)
+    plan = mix(measured(docs, also), **how).select(*[F.col(c).alias(f"k_{c}") for c in ("source", "doc_id", "text_hash")], "m", (F.col("base") * F.col("m") + F.col("extra")).alias("copies"))
+    plan = table(plan.where("copies > 0"), "mix-copies")
+    got = wrapped(docs, source=F.col("source"), doc_id=F.col("doc_id"), text_hash=row_hash(docs.select("text", *[quoted(c) for c in also])) if also else F.xxhash64("text"))
+    same = F.expr("source <=> k_source and doc_id <=> k_doc_id and text_hash = k_text_hash")
+    once = got.join(plan.where("m = 1"), same)
+    many = got.join(plan.where("m > 1"), same).dropDuplicates(["source", "doc_id", "text_hash"])
+    return unfold(once.unionByName(many).select("row", "copies"), "copies", "i").select("row.*")

@@ -59,7 +59,7 @@ d as (select doc_id, {_words('text', _NON_WORD)} as w from documents),
 f as (select doc_id, p, label, base, len(string_split(p, ' ')) as n, w from d, phrases where contains(' ' || array_to_string(w, ' ') || ' ', ' ' || p || ' ')),
 hit as (select doc_id, label, base, unnest(list_filter(range(0, len(w)), lambda i_: array_to_string(w[i_ + 1:i_ + n], ' ') = p)) as word from f),
 g as (select doc_id, count(*) filter (base) as n_base, min(word) filter (base) as first_word, max(word) filter (base) as last_word, string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels, count(distinct label) as k from hit group by 1)
-select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, 1 - pow(0.5, coalesce(k, 0)) as score from d left join g using (doc_id)"""
+select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, 1 - pow(0.5, coalesce(k, 0)) as score, null::boolean as tags_permissive from d left join g using (doc_id)"""
 
 OP10 = """
 with v as (select vec_id, list_transform(embedding, lambda x_: floor(256 * x_::double)) as v from embeddings where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda y_: y_ is null or not isfinite(y_))) = 0),

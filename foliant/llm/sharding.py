@@ -8,8 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unfold
+
 #: Rows that one numbering group holds on average; groups, not shards, are the unit of work when slots are dealt.
 ROWS_PER_GROUP = 20_000
+#: Up to so many groups their sizes are broadcast; beyond that they are joined by a shuffle.
+MOST_GROUPS = 500_000
 
 
 def draw(key: Column, shard: Column) -> Column:
@@ -39,22 +43,25 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 def number(df: DataFrame, shard: str, order: Sequence[str], rows: int, n_shards: int, out: str = "slot") -> DataFrame:
     """Adds a gapless number from 0 within each shard.
 
-    Rows are numbered inside (shard, group) with groups of a bounded expected size, cut by a hash of the order columns; a small
-    table of group sizes, one row for each group, gives the offsets. Equal rows are salted so that copies of one row spread.
+    Equal rows are counted first and stand as one row with its count, so that however many copies of a row there are, they cost one row of work until
+    they are written out again (``unfold``). The distinct rows are numbered inside (shard, group) with groups of a bounded expected size, cut by a hash of
+    the order columns; a small table of group sizes, one row for each group, gives the offsets.
     """
     groups = max(1, math.ceil(rows / max(1, n_shards) / ROWS_PER_GROUP))
-    cut = df.withColumn("_g", F.pmod(F.xxhash64(*order), F.lit(groups)).cast("int"))
-    sizes = cut.groupBy(shard, "_g").agg(F.count("*").alias("_n"))
+    unit = df.groupBy(*df.columns).agg(F.count("*").alias("_m")).withColumn("_g", F.pmod(F.xxhash64(*order), F.lit(groups)).cast("int"))
+    sizes = df.withColumn("_g", F.pmod(F.xxhash64(*order), F.lit(groups)).cast("int")).groupBy(shard, "_g").agg(F.count("*").alias("_n"))
     ahead = sizes.select(F.col(shard).alias("_s"), F.col("_g").alias("_h"), F.expr(f"sum(_n) over (partition by {shard} order by _g) - _n").alias("_before"))
-    within = cut.withColumn("_r", F.expr(f"row_number() over (partition by {shard}, _g order by {', '.join(order)}) - 1"))
-    return within.join(ahead, (F.col(shard) == F.col("_s")) & (F.col("_g") == F.col("_h"))).withColumn(out, (F.col("_before") + F.col("_r")).cast("bigint")).drop("_g", "_s", "_h", "_before", "_r")
+    within = unit.withColumn("_r", F.expr(f"sum(_m) over (partition by {shard}, _g order by {', '.join(order)} rows between unbounded preceding and current row) - _m"))
+    placed = within.join(F.broadcast(ahead) if groups * n_shards <= MOST_GROUPS else ahead, (F.col(shard) == F.col("_s")) & (F.col("_g") == F.col("_h"))).withColumn("_at", F.col("_before") + F.col("_r")).drop("_g", "_s", "_h", "_before", "_r")
+    return unfold(placed, "_m", "_i").withColumn(out, (F.col("_at") + F.col("_i")).cast("bigint")).drop("_m", "_at", "_i")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, weights: Sequence[float] | None = None, added: float = 1.0) -> DataFrame:
     """Deals rows over ``n_shards`` by ``doc_id``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     ``grown_shard`` is the shard with one more, of weight ``added``. Null text counts 16 bytes and crc32 0; rows with equal or
-    null ``doc_id`` share a shard; an empty table gives no rows; other columns are ignored.
+    null ``doc_id`` share a shard, and rows equal in both id and text get slots one after the other; long texts count whole; an empty table gives no
+    rows; other columns, whatever their names, are ignored.
     """
     weights = list(weights or [1.0] * n_shards)
     if len(weights) != n_shards:

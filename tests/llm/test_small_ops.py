@@ -98,6 +98,30 @@ def test_weights_groups_and_odd_rows(spark, monkeypatch):
     assert sharding.shard_documents(H.empty(spark)).count() == 0
 
 
+def test_copies_of_one_row_are_counted_first(spark, monkeypatch):
+    from foliant.llm import common
+
+    monkeypatch.setattr(sharding, "ROWS_PER_GROUP", 50)
+    monkeypatch.setattr(common, "UNFOLD", 70)
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("x").alias("text"), F.lit(1).alias("_m"), F.lit(1).alias("slot"))
+    out = sharding.shard_documents(docs, 3)
+    per = defaultdict(list)
+    for r in rows(out):
+        per[r["shard"]].append(r["slot"])
+    assert sum(map(len, per.values())) == 3000 and all(sorted(v) == list(range(len(v))) for v in per.values())
+    sevens = sorted(r["slot"] for r in rows(out.where("doc_id = 7")))
+    assert sevens == list(range(sevens[0], sevens[0] + 1001))
+
+
+@pytest.mark.parametrize("n", [0, 1, 69, 70, 71, 141, 500])
+def test_unfold(spark, monkeypatch, n):
+    from foliant.llm import common
+
+    monkeypatch.setattr(common, "UNFOLD", 70)
+    got = common.unfold(spark.createDataFrame([("a", n), ("b", 2)], "k string, n long"), "n", "i")
+    assert sorted((r["k"], r["i"]) for r in rows(got)) == [("a", i) for i in range(n)] + [("b", 0), ("b", 1)]
+
+
 # --- language
 
 
@@ -118,15 +142,63 @@ def test_language_odd_rows(spark, data):
     assert sorted(und) == [(2, 0.0), (3, 0.0), (4, 0.0)] and len(got) == len(H.ODD)
     assert {r["lang_pred"] for r in rows(language.identify(odd, docs.limit(0)))} == {"und"}
     assert language.identify(H.empty(spark), docs).count() == 0
-    assert language.keep_identified(docs).count() == docs.count()
     assert language.keep_identified(H.empty(spark)).count() == 0
+    # without a label only letterless rows go
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(map(str, (r["doc_id"] for r in rows(language.keep_identified(bare))))) == ["1", "1", "5", "6", "7", "None"]
+
+
+def test_keep_identified_drops_what_no_language_fits(spark):
+    train = [(d, "aaa bbb " * 9 if d % 2 else "ccc ddd " * 9, "x" if d % 2 else "y") for d in range(40)]
+    docs = spark.createDataFrame([*train, (100, "aaa bbb ccc ddd", None), (101, "aaa", None), (102, "ddd ccc", None), (103, "12", "x"), (None, "bbb", None), (101, "aaa", None)], "doc_id long, text string, lang string").withColumn("a.b", F.lit(1))
+    _, matrix = language.train(docs.where(~language.held_out()))
+    _, _, p = language.score(["aaa bbb ccc ddd", "aaa", "ddd ccc", "bbb"], matrix)
+    assert p[0] < 0.95 < p[1:].min()
+    kept = language.keep_identified(docs, least=0.95)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in rows(kept) if r["doc_id"] is None or r["doc_id"] >= 40) == ["101", "101", "102", "None"]
+
+
+def plain_features(text):
+    """The three kinds of n-grams of a text, one by one."""
+    low = [0, *(ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 0 for c in text or ""), 0]
+    m, top = (1 << 32) - 1, 32 - language.BITS
+    out = ([], [], [])
+    for i, a in enumerate(low):
+        b, before = (low[i + 1] if i + 1 < len(low) else 0), (low[i - 1] if i else 0)
+        mixed = a * 0x9E3779B1 & m
+        if a:
+            out[0].append(mixed >> top)
+            out[2].append((((before * 0x27D4EB2F & m ^ mixed) * 0x165667B1 + b * 0xC2B2AE35) * 0x85EBCA6B & m) >> top)
+        if a or b:
+            out[1].append(((mixed ^ (b * 0x85EBCA77 + 0x7F4A7C15 & m)) * 0xC2B2AE3D & m) >> top)
+    return out
 
 
-def test_scores_match_a_plain_model():
-    texts = ["abc ab", "Ab!", "", "é", "12"]
-    n, features = language.grams(texts)
-    assert n.tolist() == [5, 2, 0, 1, 0]
-    assert [int(x) for x in np.diff(np.append(features[0][1], len(features[0][0])))] == [5, 2, 0, 1, 0]
+def test_scores_match_a_plain_model(spark):
+    train = [(0, "abc ab été", "x"), (2, "Zz top! zebra", "y"), (3, "abba cab", "x"), (4, "lazy zoo", "y"), (5, "quick", "z"), (6, None, "x"), (7, "no label", None)]
+    df = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    langs, matrix = language.train(df)
+    assert langs == ["x", "y", "z"]
+    size = 1 << language.BITS
+    counts = {g: ([0] * size, [0] * size, [0] * size) for g in langs}
+    for _, t, g in train:
+        for k, fs in enumerate(plain_features(t) if t and g else ()):
+            for f in fs:
+                counts[g][k][f] += 1
+    texts = ["abc", "zoo lazy", "quick été", "", None, "12", "a", "zebra cab " * 30]
+    known, best, p = language.score(texts, matrix)
+    for t, k, j, q in zip(texts, known, best, p, strict=True):
+        fs = plain_features(t)
+        n = sum(map(len, fs))
+        assert k == any(c.isalpha() for c in t or "")
+        if not k:
+            continue
+        logs = [sum(np.log((counts[g][i][f] + 0.5) / (sum(counts[g][i]) + 0.5 * size)) for i in range(3) for f in fs[i]) for g in langs]
+        assert j == int(np.argmax(logs))
+        odds = np.exp((np.array(logs) - max(logs)) * min(1.0, language.EVIDENCE / n))
+        assert q == pytest.approx(1 / odds.sum(), rel=1e-4)
+    # beyond the bound the most frequent labels are learned
+    assert language.train(df, most_languages=2)[0] == ["x", "y"]
 
 
 # --- decontamination
@@ -156,9 +228,10 @@ def test_decontamination(spark, data):
     assert got == brute_windows([(r["doc_id"], r["text"]) for r in H.table(data, "documents")], [(r["item_id"], r["text"]) for r in H.table(data, "benchmark")])
 
 
-@pytest.mark.parametrize("limit", [100_000, 3])
-def test_decontamination_odd(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+@pytest.mark.parametrize("limit, size, passes", [(100_000, 64_000_000, 8), (3, 64_000_000, 8), (100_000, 300, 100), (3, 64_000_000, 1)])
+def test_decontamination_odd(spark, monkeypatch, limit, size, passes):
+    for name, n in (("BROADCAST_WINDOWS", limit), ("BROADCAST_BYTES", size), ("MOST_PASSES", passes)):
+        monkeypatch.setattr(decontaminate, name, n)
     items = [(1, "quick brown"), (2, None), (3, ""), (None, "word"), (4, "four FIVE"), (5, "four five"), (6, " ".join(f"w{i}" for i in range(15)))]
     docs = [*((r[0], r[1]) for r in H.ODD), (8, " ".join(f"w{i}" for i in range(14))), (9, "four five four five, word")]
     b = spark.createDataFrame(items, "item_id long, text string")
@@ -171,6 +244,7 @@ def test_decontamination_odd(spark, monkeypatch, limit):
     bad = [r["doc_id"] for r in rows(decontaminate.decontamination_report(d, b)) if r["contaminated"]]
     kept = [r["doc_id"] for r in rows(decontaminate.remove_contaminated(d, b))]
     assert sorted(map(str, [*bad, *kept])) == sorted(str(x) for x, _ in docs)
+    assert decontaminate.remove_contaminated(H.empty(spark), b).count() == 0 and decontaminate.mask_spans(H.empty(spark), b).count() == 0
     masked = {r["doc_id"]: r["words"] for r in rows(decontaminate.mask_spans(d, b))}
     assert masked[9] == [] and masked[3] == []
 
@@ -191,6 +265,11 @@ def test_malformed_expressions(text):
     assert licenses.rpn(text) is None
 
 
+@pytest.mark.parametrize("text, want", [("MIT OR", {"mit"}), ("(MIT", {"mit"}), ("OR MIT", {"mit"}), ("MIT AND (GPL-2.0 OR", {"mit", "gpl-2.0"}), ("MIT license text", {"mit"}), ("", set()), ("()", set())])
+def test_identifiers_of_malformed_expressions(text, want):
+    assert licenses.identifiers(text) == want
+
+
 def brute_base(text):
     w = H.WORD.findall(H.lower(text or ""))
     places = [(k, label) for p, label in licenses.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
@@ -206,11 +285,12 @@ def test_license_query(spark, data):
 
 
 def test_license_odd(spark):
-    docs = [(1, None), (2, ""), (3, "CC BY cc-by cc by"), (4, "cc bye"), (5, "All rights\nreserved. SPDX-License-Identifier: (MIT OR GPL-2.0)\nx"), (None, "GNU General Public License"), (6, "CC BY-NC 4.0")]
+    docs = [(1, None), (2, ""), (3, "CC BY cc-by cc by"), (4, "cc bye"), (5, "All rights\nreserved. SPDX-License-Identifier: (MIT OR GPL-2.0)\nx"), (None, "GNU General Public License"), (6, "CC BY-NC 4.0"), (7, "SPDX-License-Identifier: MIT OR\nx"), (8, "word " * 60_000 + "all rights reserved"), (8, "word " * 60_000 + "all rights reserved")]
     got = {r["doc_id"]: r for r in rows(licenses.license_report(spark.createDataFrame(docs, "doc_id long, text string").withColumn("hits", F.lit(1))))}
     for d, t in docs:
         r = got[d]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_base(t)
+    assert (got[7]["labels"], got[7]["tags_permissive"]) == ("mit", None) and got[1]["tags_permissive"] is None
     assert got[5]["labels"] == "gpl-2.0,mit,reserved" and got[5]["tags_permissive"] and got[6]["labels"] == "cc-by,cc-by-nc"
     assert licenses.license_report(H.empty(spark)).count() == 0
 
@@ -253,6 +333,42 @@ def test_mix(spark, data):
     assert sorted(map(str, got)) == sorted(map(str, rows(QUERIES["op9_mix_sources"](spark, data))))
 
 
+def plain_fold(items):
+    """The pivotal method over items in order: which places win, and the one left with its probability."""
+    c, x, won = 0, items[0]["p"], set()
+    for i in range(1, len(items)):
+        y, r = items[i]["p"], items[i]["size"] / items[c]["size"]
+        up, down = min(1 - x, y * r), min(x, (1 - y) * r)  # what c can gain from i, and lose to it
+        if items[i]["u"] * (up + down) < down:  # c gains, the rarer the more it could lose
+            if 1 - x <= y * r:
+                won.add(c)
+                c, x = i, max(0.0, y - (1 - x) / r)
+            else:
+                x += y * r
+        elif x <= (1 - y) * r:
+            c, x = i, min(1.0, y + x / r)
+        else:
+            won.add(i)
+            x -= (1 - y) * r
+    return won, c, x
+
+
+def test_rounding_equals_a_plain_fold(spark):
+    rng = np.random.default_rng(12)
+    level = [(f"s{i % 3}", i % 2, int(rng.integers(1, 90)), int(rng.integers(-(1 << 62), 1 << 62)), i, i * 17, 1, float(rng.uniform(0.01, 0.99))) for i in range(300)]
+    df = spark.createDataFrame(level, "source string, k int, size long, h long, doc_id long, text_hash long, m long, p double")
+    out = rows(mixing._round(df, ["source", "k"], 3))
+    drawn = {r["doc_id"]: r["u"] for r in rows(df.selectExpr("doc_id", f"{mixing._U.format('h, doc_id, text_hash, 3')} as u"))}
+    assert len(out) == 6
+    for r in out:
+        own = sorted(({"size": x[2], "h": x[3], "doc_id": x[4], "p": x[7], "u": drawn[x[4]]} for x in level if (x[0], x[1]) == (r["source"], r["k"])), key=lambda z: (z["size"], z["h"], z["doc_id"]), reverse=True)
+        won, c, x = plain_fold(own)
+        assert {d["doc_id"] for d in r["done"] if d["win"]} == {own[i]["doc_id"] for i in won} and len(r["done"]) == len(own) - 1
+        assert r["rest"]["doc_id"] == own[c]["doc_id"] and r["rest"]["p"] == pytest.approx(x, abs=1e-9)
+        words = sum(own[i]["size"] for i in won) + x * own[c]["size"]
+        assert words == pytest.approx(sum(z["p"] * z["size"] for z in own))  # what is decided and what is left are the words asked for
+
+
 def test_mix_probabilities_hold(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.expr("repeat('x ', int(id % 40))")).alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").otherwise("c").alias("source"))
     got = mixing.mix_documents(docs).join(docs, "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("want"), F.avg(F.col("taken") / F.col("size")).alias("copies"), (F.first("target") / F.first("source_size")).alias("ratio"))
@@ -479,3 +595,36 @@ def test_pruning_skips_blocks():
     blocks = [(np.arange(8), near, near.max(0), near.min(0)), (np.arange(8, 16), far, far.max(0), far.min(0))]
     top, ids, scored = topk.search_block(np.full((1, 4), 10), np.array([99]), blocks, 5)
     assert scored == 1 and ids[0].tolist() == [0, 1, 2, 3, 4] and re.fullmatch(r"4000", str(top[0, 0]))
+    # a k-th score from elsewhere rules out blocks before any is scored
+    assert topk.search_block(np.full((1, 4), 10), np.array([99]), blocks, 5, np.array([4001]))[2] == 0
+    assert topk.search_block(np.full((1, 4), 10), np.array([99]), blocks, 5, np.array([4000]))[2] == 1
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(3)
+    q = rng.integers(-300, 300, (20, 16))
+    blocks = [(np.arange(9), b, b.max(0), b.min(0)) for b in (rng.integers(-300, 300, (9, 16)) * s for s in (1, 0, 5))]
+    for j, b in enumerate(blocks):
+        assert ((q @ b[1].T).max(axis=1) <= topk.bounds(q, blocks)[:, j]).all()
+
+
+def test_scores_carry_from_group_to_group(spark, monkeypatch):
+    for name, n in (("BLOCK", 8), ("BLOCKS", 2), ("QUERIES", 4), ("HOMES", 2)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(9)
+    # long vectors stand in few blocks, so that most blocks fall below the scores found there
+    vecs = [(i, (rng.normal(size=6) * (30 if i // 16 % 7 == 0 else 0.1)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, every=20).collect()) == brute_top(vecs, every=20)
+    share = topk.scored_share(df, every=20).first()
+    assert share["held"] >= 20 * 50 and share["scored"] < 0.5 * share["held"]
+
+
+def test_long_and_large_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "COMPONENTS", 64)
+    rng = np.random.default_rng(5)
+    vecs = [(i, rng.normal(size=40).tolist()) for i in range(60)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == brute_top(vecs)
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(df.union(spark.createDataFrame([(99, [1e9] * 40)], "vec_id long, embedding array<double>"))).collect()
