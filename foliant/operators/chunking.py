@@ -15,11 +15,11 @@ from ..functions import text as T
 from ..functions import tokens as K
 from ..functions.interfaces import PunctuationSplitter, SentenceSplitter, Tokenizer, WhitespaceTokenizer, attach, sums
 from ..functions.similarity import KERNEL, SMOOTH_OVER
-from .coherence import MOST_SEGMENTS, SEGMENTS_OVER
+from .coherence import MOST_SEGMENTS, SEGMENTS_OVER, SWITCH_OVER
 
-#: Sentences over which a chunk's coherence is measured with the centroid too; the weight of a late split; the shares of the overlap target
+#: The weight of a late split; the shares of the overlap target
 #: at which the walk back looks at coherence, stops, and may not pass.
-GLOBAL_SENTENCES, LATE, LOOK, ENOUGH, MOST = 5, 0.3, 0.75, 0.8, 1.5
+LATE, LOOK, ENOUGH, MOST = 0.3, 0.75, 0.8, 1.5
 
 
 def flat_windows(tok: Column, size: int, overlap: int = 0) -> Column:
@@ -173,10 +173,10 @@ def local_coherence(vectors: np.ndarray | None, n: int) -> dict[str, float]:
 
 
 def coherence_record(vectors: np.ndarray, n: int) -> dict[str, float | None]:
-    """A chunk's coherence: between neighbours, and over ``GLOBAL_SENTENCES`` with the centroid too, mixed 6 to 4 with that of neighbouring segments where there are over ``SEGMENTS_OVER``."""
+    """A chunk's coherence: between neighbours, and over ``SWITCH_OVER`` sentences with the centroid too, mixed 6 to 4 with that of neighbouring segments where there are over ``SEGMENTS_OVER``."""
     out: dict[str, float | None] = {**local_coherence(vectors, n), "hierarchical": None}
     out["global"] = out["local"]
-    if n > GLOBAL_SENTENCES:
+    if n > SWITCH_OVER:
         out["global"] = float(_cosines(vectors, vectors.mean(axis=0)).mean())
         if n > SEGMENTS_OVER:
             k = min(MOST_SEGMENTS, n // 3)

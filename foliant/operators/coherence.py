@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import cosine, dot, rescaled
 
-SEGMENTS_OVER, MOST_SEGMENTS, GLOBAL_OVER = 10, 5, 2
+SEGMENTS_OVER, MOST_SEGMENTS, GLOBAL_OVER, SWITCH_OVER = 10, 5, 2, 5
 
 
 def _keys(keys: list[str]) -> str:
@@ -64,6 +64,14 @@ def global_coherence(vectors: DataFrame, keys: list[str], dim: int = 64) -> Data
     return both.select(*keys, "n", F.when(F.col("hierarchical_coherence").isNull(), F.col("_w")).otherwise(0.6 * F.col("_w") + 0.4 * F.col("hierarchical_coherence")).alias("global_coherence"), "hierarchical_coherence")
 
 
+def chunk_coherence(vectors: DataFrame, keys: list[str], dim: int = 64) -> DataFrame:
+    """``keys, n, coherence``: the record of a chunk's coherence. Only chunks of more than ``SWITCH_OVER`` sentences are measured against a centroid; for the others the local one is the global one."""
+    far = global_coherence(vectors, keys, dim).where(F.col("n") > SWITCH_OVER).drop("n")
+    both = local_coherence(vectors, keys).join(far, keys, "left")
+    parts = {"local": F.col("local_coherence"), "global": F.coalesce("global_coherence", "local_coherence"), "variance": F.col("coherence_variance"), "min": F.col("min_coherence"), "max": F.col("max_coherence"), "hierarchical": F.col("hierarchical_coherence")}
+    return both.select(*keys, "n", F.struct(*[c.alias(k) for k, c in parts.items()]).alias("coherence"))
+
+
 def similarity_matrix(vectors: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """Rescaled cosine of each pair of a group, ``i < j``; the diagonal is 1 and the rest symmetric. Pairs stay within a chunk, whose size the budget bounds."""
     a = vectors.select(*keys, F.col(pos).alias("i"), F.col("vector").alias("va"))

@@ -9,21 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The seeded draws that must equal other tools' list all positions in the driver; for larger tables there is ``hash_sample``.
+MOST_POSITIONS = 5_000_000
+
+
+def _listed(n: int) -> int:
+    if n > MOST_POSITIONS:
+        raise ValueError(f"over {MOST_POSITIONS} positions: use hash_sample")
+    return n
+
+
 def shuffled_ids(n: int, k: int, seed: int = 42) -> list[int]:
     """The first ``k`` of a seeded shuffle of the positions, sorted."""
-    order = list(range(n))
+    order = list(range(_listed(n)))
     random.Random(seed).shuffle(order)
     return sorted(order[:k])
 
 
 def sampled_ids(n: int, k: int, seed: int = 42) -> list[int]:
     """A seeded sample of the positions in the order drawn."""
-    return random.Random(seed).sample(range(n), k)
+    return random.Random(seed).sample(range(_listed(n)), k)
 
 
 def chosen_ids(n: int, k: int, seed: int = 42) -> list[int]:
     """The same by numpy's legacy generator."""
-    return np.random.RandomState(seed).choice(n, k, replace=False).tolist()
+    return np.random.RandomState(seed).choice(_listed(n), k, replace=False).tolist()
 
 
 def ids_frame(spark: SparkSession, ids: list[int], key: str = "doc_id") -> DataFrame:

@@ -150,7 +150,7 @@ rouge as (select {keys}, coalesce(p, 0) as precision, coalesce(q, 0) as recall,
 SCORES = f"""{SYSTEMS}, {rouge(1, 'sys', 'model, doc_id')},
 scores as (select doc_id, model, 'precision' as metric, precision as value from rouge union all select doc_id, model, 'recall', recall from rouge union all select doc_id, model, 'f', f from rouge)"""
 STATS = """count(*) as num_chunks, sum(token_count) as total_tokens, sum(overlap_tokens) as overlap_total, sum(token_count) - sum(overlap_tokens) as net_tokens, avg(token_count) as mean_tokens, stddev_pop(token_count) as std_tokens,
-min(token_count) as min_tokens, max(token_count) as max_tokens, count(*) filter (overlap_tokens > 0) as overlapping, coalesce(avg(overlap_tokens) filter (overlap_tokens > 0), 0) as mean_overlap, avg(sentence_count) as mean_sentences,
+min(token_count) as min_tokens, max(token_count) as max_tokens, count(*) filter (overlap_tokens > 0) as overlapping, coalesce(avg(overlap_tokens) filter (overlap_tokens > 0), 0) as mean_overlap, avg(sentence_count) as mean_sentences, sum(sentence_count)::bigint as total_sentences, min(sentence_count) as min_sentences, max(sentence_count) as max_sentences,
 (sum(token_count) - sum(overlap_tokens)) * 100.0 / sum(token_count) as efficiency"""
 _R6 = lambda cols: ", ".join(f"round({c}, 6) as {c}" for c in cols.split())
 MAPPED = f"""{CLUSTERS}, {greedy('clusters')},
@@ -215,7 +215,7 @@ SQL: dict[str, str] = {
     "cluster_greedy_chunks": f"with {CLUSTERS}, {greedy('clusters')} select * exclude (ss) from chunk",
     "overlap_chunks": f"with recursive {CLUSTERS}, {overlapping('clusters', 32)} select * from ochunk",
     "no_overlap_chunks": f"with recursive {CLUSTERS}, {overlapping('clusters', 0)} select * from ochunk",
-    "chunk_stats": f"with recursive {overlapping('documents', 32)}, st as (select doc_id, {STATS} from ochunk group by 1) select doc_id, coalesce(num_chunks, 0) as num_chunks, total_tokens, overlap_total, net_tokens, min_tokens, max_tokens, overlapping, {_R6('mean_tokens std_tokens mean_overlap mean_sentences efficiency')} from documents left join st using (doc_id)",
+    "chunk_stats": f"with recursive {overlapping('documents', 32)}, st as (select doc_id, {STATS} from ochunk group by 1) select doc_id, coalesce(num_chunks, 0) as num_chunks, total_tokens, overlap_total, net_tokens, min_tokens, max_tokens, total_sentences, min_sentences, max_sentences, overlapping, {_R6('mean_tokens std_tokens mean_overlap mean_sentences efficiency')} from documents left join st using (doc_id)",
     "ablation_compare": _ABLATION,
     "validate_chunks": f"""with recursive {CLUSTERS}, {overlapping('clusters', 32)},
 v as (select *, lead(chunk_id) over w is null as is_last, lag(token_count) over w as prev from ochunk window w as (partition by doc_id order by chunk_id))
@@ -271,6 +271,37 @@ s as (select baseline, count(*) as n, sum(case when d > 0 then rk else 0 end) as
 select baseline, coalesce(n, 0) as n, coalesce(w_plus, 0)::double as w_plus, coalesce(w_minus, 0)::double as w_minus, round((least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48), 6) as z, round(mean_diff, 6) as mean_diff from m left join s using (baseline)""",
     "stream_source_tokens": f"select source, count(*) as n_docs, sum(len({words('text')})) as n_tokens from documents group by 1",
 }
+_X = "abs(z) / sqrt(2.0)"
+_T = f"(1 / (1 + 0.3275911 * {_X}))"
+_P = f"((((1.061405429 * {_T} - 1.453152027) * {_T} + 1.421413741) * {_T} - 0.284496736) * {_T} + 0.254829592) * {_T} * exp(-({_X}) * ({_X}))"
+SQL["wilcoxon"] = f"select *, round({_P}, 4) as p, coalesce({_P} < 0.05, false) as significant from ({SQL['wilcoxon']})"
+_QUALITY = f"""quality as (select g.doc_id, g.chunk_id, g.text, g.ss, g.token_count, g.sentence_count, l.local_coherence, case when g.sentence_count > 5 then coalesce(w.global_coherence, l.local_coherence) else l.local_coherence end as global_coherence,
+l.coherence_variance as variance_coherence, l.min_coherence, l.max_coherence, case when g.sentence_count > 5 then w.hierarchical_coherence end as hierarchical_coherence
+from (with {greedy('documents')} select * from chunk) g left join ({SQL['coherence_local']}) l using (doc_id, chunk_id) left join ({SQL['coherence_global']}) w using (doc_id, chunk_id))"""
+_GROUPS = ", ".join(f"round({f}({p}_coherence), 6) as {n}_{p}_coherence" for p in ("local", "global") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max")))
+SQL |= {
+    "chunk_coherence": f"with {_QUALITY} select doc_id, chunk_id, sentence_count, local_coherence, global_coherence, variance_coherence, min_coherence, max_coherence, hierarchical_coherence from quality",
+    "chunk_quality_stats": f"with {_QUALITY} select doc_id, count(*) as num_chunks, sum(sentence_count)::bigint as total_sentences, min(sentence_count) as min_sentences, max(sentence_count) as max_sentences, {_GROUPS}, round(avg(variance_coherence), 6) as mean_coherence_variance from quality group by 1",
+    "validate_quality": f"""with {_QUALITY}, v as (select *, lead(chunk_id) over (partition by doc_id order by chunk_id) is null as is_last from quality)
+select doc_id, chunk_id, token_count <= 256 as is_valid, coalesce(array_to_string(list_filter([case when token_count > 256 then 'over budget' end, case when token_count < 64 and not is_last then 'under minimum' end, case when abs(len({words('text')}) - token_count) > 5 then 'count mismatch' end,
+case when {strip("array_to_string(ss, ' ')")} <> {strip('text')} then 'not reconstructible' end, case when local_coherence < 0.6 then 'low coherence' end], lambda m: m is not null), '; '), '') as warnings from v""",
+    "overlap_runs": f"""with recursive {CLUSTERS}, {overlapping('clusters', 32)},
+pr as (select doc_id, chunk_id, overlap_tokens as reported, {words('text')} as t, lag({words('text')}) over (partition by doc_id order by chunk_id) as p from ochunk),
+wn as (select *, least(len(t), len(p)) as s, least(len(t), len(p), reported + 50) as w from pr where p is not null and reported > 0),
+ta as (select doc_id, chunk_id, unnest(p[len(p) - w + 1:len(p)]) as tok, unnest(range(w)) as i from wn), he as (select doc_id, chunk_id, unnest(t[1:w]) as tok, unnest(range(w)) as j from wn),
+eq as (select doc_id, chunk_id, i, i - j as diag from ta join he using (doc_id, chunk_id, tok) where i >= j),
+isl as (select doc_id, chunk_id, diag, i - row_number() over (partition by doc_id, chunk_id, diag order by i) as k from eq), runs as (select doc_id, chunk_id, count(*) as c from isl group by doc_id, chunk_id, diag, k), best as (select doc_id, chunk_id, max(c) as found from runs group by 1, 2)
+select doc_id, chunk_id, reported, coalesce(found, 0) as found, abs(coalesce(found, 0) - reported) <= greatest(20.0, 0.2 * reported) as matches, coalesce(found, 0) < 0.05 * s as too_small from wn left join best using (doc_id, chunk_id)""",
+    "match_first": f"with {SYSTEMS}, tree as (select doc_id, doc_id as ord, summary from sys where model = 'lead128' and doc_id < 500) select s.doc_id, s.summary as summary_left, t.summary as summary_right, t.ord as ord_right from sys s join tree t using (doc_id) where model = 'tail64'",
+    "scored_turns": f"""with t as (select conv_id, turn, role, text as r, lead(text) over w as c, lead(role) over w as who from conversations window w as (partition by conv_id order by turn)), p as (select *, coalesce(length({strip('c')}), 0) > 0 and coalesce(length({strip('r')}), 0) > 0 as full_ from t where role = 'user' and who = 'assistant')
+select conv_id, turn, case when not full_ or length(c) % 7 = 0 then -10.0 else length(c) - length(r) end::double as score, case when full_ and length(c) % 7 = 0 then 'seven' end as error from p""",
+    "metric_frames": f"""select model, rouge1, rouge2 from (with {SYSTEMS}, {rouge(1, 'sys', 'model, doc_id')} select model, round(avg(f), 6) as rouge1 from rouge where model <> 'tail64' group by 1) a
+full join (with {SYSTEMS}, {rouge(2, 'sys', 'model, doc_id')} select model, round(avg(f), 6) as rouge2 from rouge where model <> 'lead64' group by 1) b using (model)""",
+    "json_array_roundtrip": "select doc_id, quality, toxic, case when quality = 1 then 0 else 1 end as file_ord from labels where quality in (0, 1)",
+    "csv_roundtrip": "select doc_id, lang, length(text) as chars, md5(text) as digest from documents where length(text) > 0",
+    "checkpoint_resume": "select doc_id, n_chars, false as left_over from documents",
+    "indexed_report": "select coalesce(lang, 'none') as lang, count(*) as n, sum(n_chars)::bigint as chars from documents group by 1",
+}
 #: Sums of integers are wider in DuckDB than the queries' type.
 for _name, _cols in {"paragraph_boundaries": "boundary", "greedy_chunks": 'start "end"', "cluster_greedy_chunks": 'start "end"', "chunk_stats": "total_tokens overlap_total net_tokens", "split_candidates": "cum_at", "stream_source_tokens": "n_tokens"}.items():
     SQL[_name] = f"select * replace ({', '.join(f'{c}::bigint as {c}' for c in _cols.split())}) from ({SQL[_name]})"

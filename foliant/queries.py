@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import ChunkConfig, ReduceConfig
+from .functions import stemming
 from .functions import text as T
 from .functions import tokens as K
 from .functions.interfaces import HashedVectors
@@ -122,7 +123,38 @@ def chunk_stats(spark, d):
 def ablation_compare(spark, d):
     c = _clusters(spark, d)
     out = validate.compare_modes({m: chunking.overlap_chunks(c, cfg) for m, cfg in MODES.items()})
-    return _round(out, "mean_chunks", "mean_tokens", "mean_std", "mean_overlap_total", "mean_efficiency")
+    return _round(out, "mean_chunks", "mean_tokens", "mean_std", "mean_overlap_total", "mean_efficiency").drop("mean_coherence")
+
+
+def _quality(spark, d):
+    """Greedy chunks with their sentences and coherence records, rounded."""
+    docs, keys = _docs(spark, d), ["doc_id", "chunk_id"]
+    chunks = chunking.greedy_chunks(docs, GREEDY)
+    v = _encoder(spark, d).attach(chunks.select(*keys, F.posexplode("sentences").alias("pos", "sentence")), "sentence").where("vector is not null")
+    rec = coherence.chunk_coherence(v, keys)
+    parts = [f.name for f in rec.schema["coherence"].dataType.fields]
+    return chunks.join(rec.select(*keys, F.struct(*[F.round(F.col(f"coherence.{p}"), 6).alias(p) for p in parts]).alias("coherence")), keys, "left")
+
+
+def chunk_coherence(spark, d):
+    return _quality(spark, d).select("doc_id", "chunk_id", "sentence_count", *[F.col(f"coherence.{p}").alias(f"{p}_coherence") for p in ("local", "global", "variance", "min", "max", "hierarchical")])
+
+
+def chunk_quality_stats(spark, d):
+    s = validate.chunk_stats(_quality(spark, d))
+    return _round(s, *[c for c in s.columns if "coherence" in c]).select("doc_id", "num_chunks", "total_sentences", "min_sentences", "max_sentences", *[c for c in s.columns if "coherence" in c])
+
+
+def validate_quality(spark, d):
+    return validate.validate(_quality(spark, d), GREEDY)
+
+
+def compare_full(spark, d):
+    """The mode with a signal beside those without."""
+    c = _clusters(spark, d)
+    full = chunking.semantic_chunks(c, _encoder(spark, d), ChunkConfig(max_tokens=256, min_tokens=64, overlap_tokens=32))
+    out = validate.compare_modes({"full": full} | {m: chunking.overlap_chunks(c, MODES[m]).withColumn("coherence", F.lit(None).cast(full.schema["coherence"].dataType)) for m in ("fixed_overlap", "no_overlap")})
+    return _round(out, "mean_chunks", "mean_tokens", "mean_std", "mean_overlap_total", "mean_efficiency", "mean_coherence")
 
 
 def validate_chunks(spark, d):
@@ -240,6 +272,12 @@ def match_two(spark, d):
     return matching.match_two(s["tail64"].select("doc_id", "summary"), tree).select("doc_id", "summary_left", "summary_right", "ord_right")
 
 
+def match_first(spark, d):
+    s = X.systems(_docs(spark, d))
+    tree = s["lead128"].withColumn("ord", F.col("doc_id")).select("doc_id", "ord", "summary")
+    return matching.match_two(s["tail64"].select("doc_id", "summary"), tree, first=500).select("doc_id", "summary_left", "summary_right", "ord_right")
+
+
 def match_all(spark, d):
     return matching.match_all(X.systems(_docs(spark, d)))
 
@@ -267,12 +305,36 @@ def rouge2(spark, d):
     return _round(scoring.rouge_n(X.pairs(_docs(spark, d)), 2, ["model", "doc_id"]), "precision", "recall", "f")
 
 
-def rouge_turns(spark, d):
-    """A user turn against the assistant's answer."""
+def _turns(spark, d):
+    """Each user turn, whole, against the assistant's answer."""
     c = files.dataset(spark, d, "conversations")
     nxt = c.withColumn("reply", F.expr("lead(text) over (partition by conv_id order by turn)")).withColumn("who", F.expr("lead(role) over (partition by conv_id order by turn)"))
-    pairs = nxt.where("role = 'user' and who = 'assistant'").select("conv_id", "turn", F.col("reply").alias("candidate"), F.col("text").alias("reference"))
-    return _round(scoring.rouge_n(pairs, 1, ["conv_id", "turn"]), "precision", "recall", "f")
+    return nxt.where("role = 'user' and who = 'assistant'").select("conv_id", "turn", F.col("reply").alias("candidate"), F.col("text").alias("reference"))
+
+
+def rouge_turns(spark, d):
+    """A user turn against the assistant's answer."""
+    return _round(scoring.rouge_n(_turns(spark, d), 1, ["conv_id", "turn"]), "precision", "recall", "f")
+
+
+def rouge_l_turns(spark, d):
+    """Whole turns again, stemmed, by their longest common subsequence."""
+    return _round(scoring.rouge_l(_turns(spark, d), ["conv_id", "turn"], stem=stemming.stem), "precision", "recall", "f")
+
+
+def rouge_stemmed(spark, d):
+    return _round(scoring.rouge_n(_turns(spark, d), 1, ["conv_id", "turn"], stem=stemming.stem), "precision", "recall", "f")
+
+
+def scored_turns(spark, d):
+    """A scorer that fails on some pairs: each failure stays with its pair."""
+
+    def scorer(cs, rs):
+        if any(len(c) % 7 == 0 for c in cs):
+            raise RuntimeError("seven")
+        return [len(c) - len(r) for c, r in zip(cs, rs, strict=True)]
+
+    return scoring.scored_safely(_turns(spark, d), scorer, ["conv_id", "turn"], filler=-10.0)
 
 
 def rouge_corpus(spark, d):
@@ -329,7 +391,50 @@ def wilcoxon(spark, d):
     s = scoring.rouge_n(X.pairs(_docs(spark, d)), 1, ["model", "doc_id"])
     own = s.where("model = 'lead128'").select("doc_id", F.col("f").alias("a"))
     p = s.where("model <> 'lead128'").select(F.col("model").alias("baseline"), "doc_id", F.col("f").alias("b")).join(own, "doc_id")
-    return _round(summary.wilcoxon(p, ["baseline"]), "z", "mean_diff")
+    return _round(_round(summary.wilcoxon(p, ["baseline"]), "z", "mean_diff"), "p", to=4)
+
+
+def metric_frames(spark, d):
+    """Two reports side by side, each of other models."""
+    mean = lambda n, name: scoring.rouge_n(X.pairs(_docs(spark, d)), n, ["model", "doc_id"]).groupBy("model").agg(F.round(F.avg("f"), 6).alias(name))
+    return summary.concat_frames(mean(1, "rouge1").where("model <> 'tail64'"), mean(2, "rouge2").where("model <> 'lead64'"), "model")
+
+
+def _labels(spark, d):
+    return files.dataset(spark, d, "labels").select("doc_id", "quality", "toxic")
+
+
+def json_array_roundtrip(spark, d):
+    """Two result files as JSON arrays, read back as one table in their order."""
+    kind, at = "doc_id long, quality int, toxic int", [files.scratch(spark, "json") for _ in range(3)]
+    rows = _labels(spark, d)
+    files.write_json_array(rows.where("quality = 1"), at[0], "doc_id")
+    files.write_json_array(rows.where("quality = 0"), at[1], "doc_id")
+    return files.read_json_arrays(spark, at, kind, skip_missing=True)
+
+
+def csv_roundtrip(spark, d):
+    docs, at = _docs(spark, d).select("doc_id", "text", "lang"), files.scratch(spark, "csv")
+    files.write_csv(docs.where("length(text) > 0"), at)
+    back = files.read_csv(spark, at, "doc_id long, text string, lang string")
+    return back.select("doc_id", "lang", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+def checkpoint_resume(spark, d):
+    """Half of the work in one batch, what is left in another; the finished result."""
+    kind, todo, at = "doc_id long, n_chars long", _docs(spark, d).select("doc_id", "n_chars"), files.scratch(spark, "work")
+    c = files.Checkpoints(spark, at)
+    c.append(todo.where("n_chars < 1000"), 0)
+    c.append(matching.not_done(todo, c.done(kind)), 1)
+    c.finish(f"{at}-done", kind)
+    return spark.read.parquet(f"{at}-done").withColumn("left_over", F.lit(files.exists(spark, at)))
+
+
+def indexed_report(spark, d):
+    """A report by key in one JSON object, and its values read from it."""
+    rows = _docs(spark, d).groupBy(F.coalesce("lang", F.lit("none")).alias("lang")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    whole = rows.agg(files.indexed_json(rows, "lang").alias("j")).select(F.from_json("j", "map<string, struct<n: bigint, chars: bigint>>").alias("m"))
+    return whole.select(F.explode("m").alias("lang", "v")).select("lang", "v.n", "v.chars")
 
 
 def export_chunks(spark, d):
@@ -355,6 +460,7 @@ QUERIES = {
         clean_text, split_articles, split_paragraphs, split_sentences, paragraph_boundaries, token_counts, char_truncate, token_char_truncate, flat_chunks, flat_overlap_chunks, greedy_chunks,
         cluster_greedy_chunks, overlap_chunks, no_overlap_chunks, semantic_chunks, chunk_stats, ablation_compare, validate_chunks, overlap_runs, jaccard_adjacent, cosine_adjacent, hybrid_signal,
         smoothed_signal, split_candidates, alpha_sweep, similarity_matrix, coherence_local, coherence_global, sentence_embeddings, map_stage, bin_pack, tree_reduce, sample_shuffle, sample_random,
+        chunk_coherence, chunk_quality_stats, validate_quality, compare_full, match_first, rouge_stemmed, rouge_l_turns, scored_turns, metric_frames, json_array_roundtrip, csv_roundtrip, checkpoint_resume, indexed_report,
         sample_choice, sample_hash, shards, shard_check, match_two, match_all, match_report, anti_done, lookup_source, rouge1, rouge2, rouge_turns, rouge_corpus, rouge_l, rouge_lsum, greedy_match,
         score_summary, positive_summary, model_ranking, metric_diff, best_alpha, sweep_consistency, wilcoxon, export_chunks, stream_source_tokens,
     )

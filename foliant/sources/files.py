@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +48,16 @@ def present(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return [p for p in paths if exists(spark, p)]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; only a local master may leave ``spark.checkpoint.dir`` unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="foliant-")
+    return f"{at.rstrip('/')}/foliant-{name}-{uuid.uuid4().hex}"
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _path(spark, path)
     fs.delete(p, True)
@@ -67,6 +79,13 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_array(df: DataFrame, path: str, order: str) -> None:
+    """One array of all records in order, as other tools read it: for tables of report size, which one task writes."""
+    w = f"over (order by `{order}`)"
+    row = F.concat(F.when(F.expr(f"row_number() {w} = 1"), "[").otherwise(""), F.to_json(F.struct(*df.columns)), F.when(F.expr(f"lead(1) {w} is null"), "]").otherwise(","))
+    df.select(F.col(order).alias("_o"), row.alias("value")).coalesce(1).sortWithinPartitions("_o").select("value").write.mode("overwrite").text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

@@ -165,7 +165,7 @@ def test_validation(spark):
     c = spark.createDataFrame([(0, 0, "a b", 300, 0, ["a", "b"], 0.9), (0, 1, "a b", 2, 0, ["a", "c"], 0.1), (0, 2, "a b", 2, 2, ["a", "b"], 1.0)], "doc_id long, chunk_id int, text string, token_count int, overlap_tokens int, sentences array<string>, coherence double")
     got = {r["chunk_id"]: (r["is_valid"], r["warnings"]) for r in validate.validate(c, ChunkConfig(max_tokens=256, min_tokens=64, overlap_tokens=8)).collect()}
     assert got == {0: (False, "over budget; count mismatch"), 1: (True, "under minimum; not reconstructible; low coherence"), 2: (True, "excessive overlap")}
-    assert validate.longest_common_run(list("abcde"), list("xbcdy")) == 3
+    assert validate.longest_common_run(list("abcde"), list("xbcdy")) == 3 and validate.longest_common_run(list("bcdxx"), list("xxbcd")) == 2
 
 
 def test_stats_of_no_chunks(spark):

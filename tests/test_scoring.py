@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.functions import interfaces
+from foliant.functions import interfaces, stemming
 from foliant.functions.interfaces import HashedVectors
 from foliant.operators import coherence, matching, sampling, scoring, signal, summary
 
@@ -62,6 +63,27 @@ def test_unions_of_spread_tables_are_merged(spark, data):
     assert len(matching.last_of(twice).collect()) == len(d.collect())
 
 
+#: Words and their stems from the algorithm's description.
+STEMS = {
+    "caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall",
+    "hissing": "hiss", "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit", "hopefulness": "hope", "triplicate": "triplic", "goodness": "good", "revival": "reviv", "adoption": "adopt",
+    "effective": "effect", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "generalizations": "gener", "oscillators": "oscil", "sky": "sky", "as": "as",
+}
+
+
+def test_stems():
+    assert {w: stemming.stem(w) for w in STEMS} == STEMS
+
+
+def test_stemmed_scores(spark):
+    rows = [("police killed the gunman", "police kill the gunmen"), ("Motoring cats", "motors cat!"), ("", "x"), (None, None)]
+    plain = by(scoring.rouge_n(pairs(spark, *rows), 1, ["k"]))
+    got = by(scoring.rouge_n(pairs(spark, *rows), 1, ["k"], stem=stemming.stem))
+    assert (plain[0], got[0]) == (0.5, 0.75) and (plain[1], got[1]) == (0.0, 1.0) and got[2] == got[3] == 0.0
+    for summary_level in (False, True):
+        assert by(scoring.rouge_l(pairs(spark, *rows), ["k"], summary_level, stem=stemming.stem)) == got
+
+
 def test_corpus_mean(spark):
     p = pairs(spark, ("a", "a"), ("", "a"), ("b", "c")).selectExpr("'m' as model", "*")
     r = scoring.corpus_mean(scoring.rouge_n(p, 1, ["model", "k"]), p, ["model", "k"], ["model"]).first()
@@ -103,6 +125,8 @@ def test_matching(spark):
 def test_samples(spark):
     assert sampling.shuffled_ids(10, 4) == sorted(sampling.shuffled_ids(10, 4)) and len(set(sampling.sampled_ids(100, 30))) == 30
     assert sampling.chosen_ids(50, 5) == sampling.chosen_ids(50, 5)
+    with pytest.raises(ValueError):
+        sampling.chosen_ids(sampling.MOST_POSITIONS + 1, 3)
     ok = sampling.shard_report(sampling.shard(sampling.ids_frame(spark, list(range(10))), 4)).collect()
     assert [r["n"] for r in sorted(ok, key=lambda r: r["shard"])] == [4, 4, 2] and all(r["in_order"] and not r["overlap"] for r in ok)
     bad = sampling.shard_report(sampling.shard(sampling.ids_frame(spark, [5, 6, 1, 5]), 2)).orderBy("shard").collect()
@@ -128,6 +152,13 @@ def test_wilcoxon(spark):
     assert (r["n"], r["w_plus"], r["w_minus"]) == (5, 2 + 3.5 + 3.5, 1 + 5) and r["mean_diff"] == pytest.approx(np.mean(d))
     var = 5 * 6 * 11 / 24 - (2**3 - 2) / 48
     assert r["z"] == pytest.approx((6 - 7.5) / var**0.5)
+    assert r["p"] == pytest.approx(math.erfc(abs(r["z"]) / 2**0.5), abs=1e-6) and not r["significant"]
+    rng = random.Random(3)
+    d = [round(rng.gauss(0.01, 0.1) + (3 if rng.random() < 0.1 else 0), 2) for _ in range(500)]
+    r = summary.wilcoxon(spark.createDataFrame([("m", x, 0.0) for x in d], "g string, a double, b double"), ["g"]).first()
+    own = sorted(abs(x) for x in d if x)
+    rank = {x: (own.index(x) + 1 + len(own) - own[::-1].index(x)) / 2 for x in set(own)}
+    assert r["w_plus"] == sum(rank[abs(x)] for x in d if x > 0) and r["w_minus"] == sum(rank[abs(x)] for x in d if x < 0) and r["significant"]
 
 
 def test_signal_rows_match_the_machine(spark, data):
