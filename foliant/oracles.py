@@ -281,7 +281,7 @@ from (with {greedy('documents')} select * from chunk) g left join ({SQL['coheren
 _GROUPS = ", ".join(f"round({f}({p}_coherence), 6) as {n}_{p}_coherence" for p in ("local", "global") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max")))
 SQL |= {
     "chunk_coherence": f"with {_QUALITY} select doc_id, chunk_id, sentence_count, local_coherence, global_coherence, variance_coherence, min_coherence, max_coherence, hierarchical_coherence from quality",
-    "chunk_quality_stats": f"with {_QUALITY} select doc_id, count(*) as num_chunks, sum(sentence_count)::bigint as total_sentences, min(sentence_count) as min_sentences, max(sentence_count) as max_sentences, {_GROUPS}, round(avg(variance_coherence), 6) as mean_coherence_variance from quality group by 1",
+    "chunk_quality_stats": f"with {_QUALITY.replace(', 6) as', ', 12) as')} select doc_id, count(*) as num_chunks, sum(sentence_count)::bigint as total_sentences, min(sentence_count) as min_sentences, max(sentence_count) as max_sentences, {_GROUPS}, round(avg(variance_coherence), 6) as mean_coherence_variance from quality group by 1",
     "validate_quality": f"""with {_QUALITY}, v as (select *, lead(chunk_id) over (partition by doc_id order by chunk_id) is null as is_last from quality)
 select doc_id, chunk_id, token_count <= 256 as is_valid, coalesce(array_to_string(list_filter([case when token_count > 256 then 'over budget' end, case when token_count < 64 and not is_last then 'under minimum' end, case when abs(len({words('text')}) - token_count) > 5 then 'count mismatch' end,
 case when {strip("array_to_string(ss, ' ')")} <> {strip('text')} then 'not reconstructible' end, case when local_coherence < 0.6 then 'low coherence' end], lambda m: m is not null), '; '), '') as warnings from v""",

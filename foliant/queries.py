@@ -126,14 +126,14 @@ def ablation_compare(spark, d):
     return _round(out, "mean_chunks", "mean_tokens", "mean_std", "mean_overlap_total", "mean_efficiency").drop("mean_coherence")
 
 
-def _quality(spark, d):
+def _quality(spark, d, to=6):
     """Greedy chunks with their sentences and coherence records, rounded."""
     docs, keys = _docs(spark, d), ["doc_id", "chunk_id"]
     chunks = chunking.greedy_chunks(docs, GREEDY)
     v = _encoder(spark, d).attach(chunks.select(*keys, F.posexplode("sentences").alias("pos", "sentence")), "sentence").where("vector is not null")
     rec = coherence.chunk_coherence(v, keys)
     parts = [f.name for f in rec.schema["coherence"].dataType.fields]
-    return chunks.join(rec.select(*keys, F.struct(*[F.round(F.col(f"coherence.{p}"), 6).alias(p) for p in parts]).alias("coherence")), keys, "left")
+    return chunks.join(rec.select(*keys, F.struct(*[F.round(F.col(f"coherence.{p}"), to).alias(p) for p in parts]).alias("coherence")), keys, "left")
 
 
 def chunk_coherence(spark, d):
@@ -141,7 +141,7 @@ def chunk_coherence(spark, d):
 
 
 def chunk_quality_stats(spark, d):
-    s = validate.chunk_stats(_quality(spark, d))
+    s = validate.chunk_stats(_quality(spark, d, 12))
     return _round(s, *[c for c in s.columns if "coherence" in c]).select("doc_id", "num_chunks", "total_sentences", "min_sentences", "max_sentences", *[c for c in s.columns if "coherence" in c])
 
 
