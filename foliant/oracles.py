@@ -127,10 +127,10 @@ cand as (select {key}, coalesce(min(case when sc is not null then {{'a': sc, 'po
 _TOK = words("text")
 SYSTEMS = f"""base as (select doc_id, text, {_TOK} as t from documents),
 sys as (
-  select 'lead64' as model, doc_id, text as document, array_to_string(t[1:96], ' ') as reference, array_to_string(t[1:64], ' ') as summary from base
-  union all select 'lead128', doc_id, text, array_to_string(t[1:96], ' '), array_to_string(t[1:128], ' ') from base where doc_id % 7 <> 3
-  union all select 'tail64', doc_id, text, array_to_string(t[1:96], ' '), array_to_string(t[greatest(1, len(t) - 63):len(t)], ' ') from base where doc_id % 5 <> 2
-  union all select 'every2nd', doc_id, text, array_to_string(t[1:96], ' '), array_to_string(list_filter(t, lambda x, i: i % 2 = 1)[1:64], ' ') from base where doc_id % 11 <> 4)"""
+  select 'lead64' as model, doc_id, text as document, array_to_string(t, ' ') as reference, array_to_string(t[1:64], ' ') as summary from base
+  union all select 'lead128', doc_id, text, array_to_string(t, ' '), array_to_string(t[1:128], ' ') from base where len(t) > 64
+  union all select 'tail64', doc_id, text, array_to_string(t, ' '), array_to_string(t[greatest(1, len(t) - 63):len(t)], ' ') from base where right(t[len(t)], 1) in ('.', '!', '?')
+  union all select 'every2nd', doc_id, text, array_to_string(t, ' '), array_to_string(list_filter(t, lambda x, i: i % 2 = 1)[1:64], ' ') from base where len(t) >= 128)"""
 
 
 def score_words(t: str) -> str:

@@ -11,8 +11,6 @@ from ..config import ChunkConfig, ReduceConfig
 from ..functions import tokens as K
 from ..operators import chunking, reduce, scoring, signal
 
-#: Words of the stand-in reference.
-REFERENCE = 96
 ALPHAS = tuple(i / 10 for i in range(11))
 
 
@@ -26,15 +24,16 @@ def clusters(docs: DataFrame, size: int = 5, noisy: bool = True) -> DataFrame:
 
 
 def systems(docs: DataFrame) -> dict[str, DataFrame]:
-    """Stand-ins for summarizers: ``doc_id, document, reference, summary``; each leaves out documents of its own."""
+    """Stand-ins for summarizers: ``doc_id, document, reference, summary``. The reference is the whole text; a system skips documents it has nothing of its own to say about:
+    the longer lead those of up to 64 words, the tail those that don't end in an end mark, every second word those of under 128."""
     tok = K.tokens(F.col("text"))
     made = {
         "lead64": (K.decode(F.slice(tok, 1, 64)), F.lit(True)),
-        "lead128": (K.decode(F.slice(tok, 1, 128)), F.col("doc_id") % 7 != 3),
-        "tail64": (K.decode(F.slice(tok, F.greatest(F.lit(1), F.size(tok) - 63), F.lit(64))), F.col("doc_id") % 5 != 2),
-        "every2nd": (K.decode(F.slice(F.filter(tok, lambda t, i: i % 2 == 0), 1, 64)), F.col("doc_id") % 11 != 4),
+        "lead128": (K.decode(F.slice(tok, 1, 128)), F.size(tok) > 64),
+        "tail64": (K.decode(F.slice(tok, F.greatest(F.lit(1), F.size(tok) - 63), F.lit(64))), F.right(F.get(tok, F.size(tok) - 1), F.lit(1)).isin(".", "!", "?")),
+        "every2nd": (K.decode(F.slice(F.filter(tok, lambda t, i: i % 2 == 0), 1, 64)), F.size(tok) >= 128),
     }
-    return {name: docs.where(kept).select("doc_id", F.col("text").alias("document"), K.decode(F.slice(tok, 1, REFERENCE)).alias("reference"), s.alias("summary")) for name, (s, kept) in made.items()}
+    return {name: docs.where(kept).select("doc_id", F.col("text").alias("document"), K.decode(tok).alias("reference"), s.alias("summary")) for name, (s, kept) in made.items()}
 
 
 def pairs(docs: DataFrame) -> DataFrame:
