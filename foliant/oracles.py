@@ -215,6 +215,7 @@ SQL: dict[str, str] = {
     "cluster_greedy_chunks": f"with {CLUSTERS}, {greedy('clusters')} select * exclude (ss) from chunk",
     "overlap_chunks": f"with recursive {CLUSTERS}, {overlapping('clusters', 32)} select * from ochunk",
     "no_overlap_chunks": f"with recursive {CLUSTERS}, {overlapping('clusters', 0)} select * from ochunk",
+    "export_roundtrip": f"with {greedy('documents')} select * exclude (ss), count(*) over (partition by doc_id) as num_chunks, 256 as max_tokens from chunk",
     "chunk_stats": f"with recursive {overlapping('documents', 32)}, st as (select doc_id, {STATS} from ochunk group by 1) select doc_id, coalesce(num_chunks, 0) as num_chunks, total_tokens, overlap_total, net_tokens, min_tokens, max_tokens, total_sentences, min_sentences, max_sentences, overlapping, {_R6('mean_tokens std_tokens mean_overlap mean_sentences efficiency')} from documents left join st using (doc_id)",
     "ablation_compare": _ABLATION,
     "validate_chunks": f"""with recursive {CLUSTERS}, {overlapping('clusters', 32)},
@@ -303,5 +304,5 @@ full join (with {SYSTEMS}, {rouge(2, 'sys', 'model, doc_id')} select model, roun
     "indexed_report": "select coalesce(lang, 'none') as lang, count(*) as n, sum(n_chars)::bigint as chars from documents group by 1",
 }
 #: Sums of integers are wider in DuckDB than the queries' type.
-for _name, _cols in {"paragraph_boundaries": "boundary", "greedy_chunks": 'start "end"', "cluster_greedy_chunks": 'start "end"', "chunk_stats": "total_tokens overlap_total net_tokens", "split_candidates": "cum_at", "stream_source_tokens": "n_tokens"}.items():
+for _name, _cols in {"paragraph_boundaries": "boundary", "greedy_chunks": 'start "end"', "export_roundtrip": 'start "end"', "cluster_greedy_chunks": 'start "end"', "chunk_stats": "total_tokens overlap_total net_tokens", "split_candidates": "cum_at", "stream_source_tokens": "n_tokens"}.items():
     SQL[_name] = f"select * replace ({', '.join(f'{c}::bigint as {c}' for c in _cols.split())}) from ({SQL[_name]})"

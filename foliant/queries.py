@@ -442,6 +442,12 @@ def export_chunks(spark, d):
     return files.chunk_export(c, validate.chunk_stats(c), GREEDY.to_json())
 
 
+def export_roundtrip(spark, d):
+    """The exported JSON read back: every chunk with its document's count and the budget it was cut to."""
+    chunk = "chunk_id int, article int, text string, token_count int, sentence_count int, `start` bigint, `end` bigint"
+    return files.read_export(export_chunks(spark, d), chunk, "num_chunks bigint", "max_tokens int")
+
+
 def stream_source_tokens(spark, d):
     """The streaming aggregate run over the table as a stream, read from its last state."""
     from .streaming import incremental
@@ -462,6 +468,6 @@ QUERIES = {
         smoothed_signal, split_candidates, alpha_sweep, similarity_matrix, coherence_local, coherence_global, sentence_embeddings, map_stage, bin_pack, tree_reduce, sample_shuffle, sample_random,
         chunk_coherence, chunk_quality_stats, validate_quality, compare_full, match_first, rouge_stemmed, rouge_l_turns, scored_turns, metric_frames, json_array_roundtrip, csv_roundtrip, checkpoint_resume, indexed_report,
         sample_choice, sample_hash, shards, shard_check, match_two, match_all, match_report, anti_done, lookup_source, rouge1, rouge2, rouge_turns, rouge_corpus, rouge_l, rouge_lsum, greedy_match,
-        score_summary, positive_summary, model_ranking, metric_diff, best_alpha, sweep_consistency, wilcoxon, export_chunks, stream_source_tokens,
+        score_summary, positive_summary, model_ranking, metric_diff, best_alpha, sweep_consistency, wilcoxon, export_chunks, export_roundtrip, stream_source_tokens,
     )
 }

@@ -109,6 +109,13 @@ def chunk_export(chunks: DataFrame, stats: DataFrame, config_json: str) -> DataF
     return per.join(s, F.col("doc_id") == F.col("_d")).select("doc_id", F.concat(F.lit('{"config":'), F.lit(config_json), F.lit(","), F.substring(body, 2, 1 << 30)).alias("export"))
 
 
+def read_export(exports: DataFrame, chunk: str, statistics: str, config: str) -> DataFrame:
+    """The chunks of exported documents as rows again, with the fields asked for (DDL) of each chunk, the statistics and the settings."""
+    body = F.from_json("export", f"config struct<{config}>, statistics struct<{statistics}>, chunks array<struct<{chunk}>>")
+    each = exports.select("doc_id", body.alias("x")).select("doc_id", "x.config", "x.statistics", F.explode("x.chunks").alias("c"))
+    return each.select("doc_id", "c.*", "statistics.*", "config.*")
+
+
 def save_text(spark: SparkSession, path: str, lines: Sequence[str]) -> None:
     """A small report, as text."""
     spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
