@@ -224,7 +224,7 @@ select doc_id, chunk_id, token_count <= 256 as is_valid, coalesce(array_to_strin
 case when abs(len({words('text')}) - token_count) > 5 then 'count mismatch' end, case when overlap_tokens > 0.5 * least(prev, token_count) then 'excessive overlap' end], lambda m: m is not null), '; '), '') as warnings from v""",
     "jaccard_adjacent": f"with {DOC_SENTS}, {JACCARD} select doc_id, pos, round(jaccard, 6) as jaccard, round(jaccard_norm, 6) as jaccard_norm from jnorm",
     "cosine_adjacent": f"with {DOC_SENTS}, {vectors('ds', 'doc_id, pos, n')}, a as (select doc_id, pos, list_cosine_similarity(v, lead(v) over (partition by doc_id order by pos)) as cosine from vec) select doc_id, pos, round(cosine, 6) as cosine, round((cosine + 1) / 2, 6) as rescaled from a where cosine is not null",
-    "hybrid_signal": f"with {HYBRID} select doc_id, pos, round(hybrid, 6) as hybrid from hyb",
+    "hybrid_signal": f"with {HYBRID} select doc_id, pos, round(0.7 * c + (1 - 0.7) * jaccard_norm, 6) as hybrid from hyb",
     "smoothed_signal": f"with {HYBRID}, {smoothing('hybrid', 'doc_id', 'hyb', 'sm')} select doc_id, pos, round(smoothed, 6) as smoothed from sm",
     "split_candidates": f"with {HYBRID}, {smoothing('hybrid', 'doc_id', 'hyb', 'sm')}, sr as (select * replace (round(smoothed, 8) as smoothed) from sm), {candidates('doc_id', 'sr')} select doc_id, b.cum as cum_at, b.pos + 1 as split_after, round(b.a, 6) as score from cand",
     "alpha_sweep": f"with {HYBRID}, al as (select doc_id, pos, n, alpha, alpha * c + (1 - alpha) * jaccard_norm as mixed from hyb, (select unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]::double[]) as alpha)), {smoothing('mixed', 'alpha, doc_id', 'al', 'sm')}, {candidates('alpha, doc_id', 'sm')} select alpha, count(*) as n_docs, round(avg(b.pos + 1), 2) as mean_split from cand group by 1",

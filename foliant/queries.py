@@ -180,7 +180,7 @@ def _hybrid(spark, d):
 
 
 def hybrid_signal(spark, d):
-    return _round(_hybrid(spark, d).select("doc_id", "pos", "hybrid"), "hybrid")
+    return _round(signal.hybrid_rows(_vectors(spark, d, _sentences(spark, d))).select("doc_id", "pos", "hybrid"), "hybrid")
 
 
 def smoothed_signal(spark, d):
