@@ -7,7 +7,7 @@ stands inside other text; sentences of lines, whose runs go from ``least_words``
 2. ``_keys``: the 64-bit hashes of each text's sentences and lines, and of the least fragments of its other windows. Equal windows
    have equal least fragments, so a window whose fragment comes once can't repeat; this leaves out most windows and no repeated one.
 3. ``_candidates``: the 128-bit digests of the pieces whose hash comes twice. All but the earliest place of each are repeated (``_later``).
-4. ``cut``: the words that repeated pieces cover, in maximal runs, mapped back to offsets.
+4. ``_cut``: the words that repeated pieces cover, in maximal runs, mapped back to offsets.
 """
 
 from __future__ import annotations
@@ -99,16 +99,22 @@ def parts(text: str) -> list[tuple[int, int, int, int, int, bool]]:
     return out
 
 
-def _word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the normalised words of the texts in ``buf``, where each begins, and where each text's words begin among them."""
-    n, low = len(buf), _FOLDED[buf]
+def _words(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of folded texts start and end."""
+    n = len(low)
     solid = low != 32
     full = offsets[:-1] < offsets[1:]
     joined = np.zeros(n + 1, bool)  # whether a byte and the one before it are of one word
     joined[1:n] = solid[1:] & solid[:-1]
     joined[offsets[:-1][full]] = False
     starts = np.flatnonzero(solid & ~joined[:n])
-    ends = np.flatnonzero(solid & ~np.append(joined[1:n], np.zeros(min(n, 1), bool))) + 1
+    return starts, np.flatnonzero(solid & ~np.append(joined[1:n], np.zeros(min(n, 1), bool))) + 1
+
+
+def _word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the normalised words of the texts in ``buf``, where each begins, and where each text's words begin among them."""
+    low = _FOLDED[buf]
+    starts, ends = _words(low, offsets)
     return range_hashes(low, starts, ends), starts, np.searchsorted(starts, offsets)
 
 
@@ -119,18 +125,25 @@ def _spaced(buf: np.ndarray, i: np.ndarray) -> np.ndarray:
     return (x >= 9) & (x <= 13) | (x >= 28) & (x <= 32) | (x == 0xC2) & ((y == 0x85) | (y == 0xA0)) | wide
 
 
-def _ranges(buf: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``parts`` of all texts in ``buf``: kind, first word and end among the batch's words."""
+def _breaks(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes where pieces end, and those where lines do."""
     marks = np.flatnonzero((buf == 46) | (buf == 33) | (buf == 63)) + 1
     marks = marks[_spaced(buf, marks) | np.isin(marks, offsets)]
     lines = np.union1d(np.flatnonzero(buf == 10) + 1, offsets)
+    return np.union1d(marks, lines), lines
+
 
-    def runs(cuts):
-        at = np.searchsorted(cuts, starts, "right")
-        first = np.flatnonzero(np.append(np.ones(min(len(at), 1), bool), at[1:] != at[:-1]))
-        return first, np.append(first[1:], len(at))[: len(first)]
+def _runs(breaks: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end of what stands between breaks and has words."""
+    at = np.searchsorted(breaks, starts, "right")
+    first = np.flatnonzero(np.append(np.ones(min(len(at), 1), bool), at[1:] != at[:-1]))
+    return first, np.append(first[1:], len(at))[: len(first)]
 
-    (ua, ub), (la, lb) = runs(np.union1d(marks, lines)), runs(lines)
+
+def _ranges(buf: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``parts`` of all texts in ``buf``: kind, first word and end among the batch's words."""
+    breaks, lines = _breaks(buf, offsets)
+    (ua, ub), (la, lb) = _runs(breaks, starts), _runs(lines, starts)
     several = np.searchsorted(ua, lb) - np.searchsorted(ua, la) > 1
     return np.repeat([UNIT, LINE], [len(ua), several.sum()]), np.concatenate([ua, la[several]]), np.concatenate([ub, lb[several]])
 
@@ -234,7 +247,10 @@ def _candidates(width: int):
 
 
 def cut(text: str, repeated: set[int], least_words: int) -> tuple[int, list[tuple[int, int]], str]:
-    """The number of units, the spans that go, and what is left: maximal runs of the words that repeated pieces (by place) cover."""
+    """The number of units, the spans that go, and what is left: maximal runs of the words that repeated pieces (by place) cover.
+
+    This states the rule for one text; ``_cut`` does the same for a batch, and the tests compare them.
+    """
     if not repeated:
         return sum(1 for a, b in _pieces(text) if _WORD.search(text, a, b)), [], text
     all_ = parts(text)
@@ -278,6 +294,82 @@ def cut(text: str, repeated: set[int], least_words: int) -> tuple[int, list[tupl
     return len(own), spans, "".join([*left, text[at:]])
 
 
+def _covered(buf: np.ndarray, offsets: np.ndarray, row: np.ndarray, us: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The units of each text; the text of each run of covered words; in bytes, the run's start and end and the pieces that a repeated unit or line begins and ends with there, or -1."""
+    starts, ends = _words(_FOLDED[buf], offsets)
+    n, at = len(starts), np.searchsorted(starts, offsets)
+    breaks, lines = _breaks(buf, offsets)
+    (ua, ub), (la, lb) = _runs(breaks, starts), _runs(lines, starts)
+    kind = us & 3
+    first = at[row] + np.where(kind == CHUNKED, us >> 2 & PLACE, us >> 2)
+    stop = first + np.where(kind == CHUNKED, us >> 33, width)
+
+    def flags(*words):
+        out = np.zeros(n + 1, bool)
+        out[np.concatenate(words)] = True
+        return out
+
+    unit, line = flags(first[kind == UNIT]), flags(first[kind == LINE])
+    several = np.searchsorted(ua, lb) - np.searchsorted(ua, la) > 1
+    whole = np.where(several, line[la], unit[la]) & (lb - la >= LEAST_LINE)
+    text, rep = np.searchsorted(at, ua, "right") - 1, unit[ua]
+    new = np.ones(len(ua), bool)
+    new[1:] = (rep[1:] != rep[:-1]) | (text[1:] != text[:-1])
+    run = np.cumsum(new) - 1
+    long = rep & (np.bincount(run, ub - ua)[run] >= width) if len(ua) else rep
+    begin, end = flags(la[whole], ua[long]), flags(lb[whole], ub[long])
+    some = kind >= WINDOW
+    edges = np.bincount(np.concatenate([first[some], la[whole], ua[long]]), minlength=n + 1) - np.bincount(np.concatenate([stop[some], lb[whole], ub[long]]), minlength=n + 1)
+    covered, edge = np.cumsum(edges)[:n] > 0, flags(at)
+    a = np.flatnonzero(covered & (edge[:n] | ~np.append(False, covered)[:n]))
+    b = np.flatnonzero(covered & (edge[1:] | ~np.append(covered, False)[1:])) + 1
+    i, j = np.searchsorted(breaks, starts[a], "right"), np.searchsorted(breaks, ends[b - 1])
+    own = np.stack([starts[a], ends[b - 1], *(np.where(begin[a], breaks[x], -1) for x in (i - 1, i)), *(np.where(end[b], breaks[x], -1) for x in (j - 1, j))])
+    return np.bincount(text, minlength=len(offsets) - 1), np.searchsorted(at, a, "right") - 1, own
+
+
+def _span(text: str, s: int, e: int, p: int, q: int, u: int, v: int) -> tuple[int, int]:
+    """A run of words from ``s`` to ``e`` with the marks that go with it, and the rest of the pieces ``p`` to ``q`` and ``u`` to ``v``."""
+    k = s
+    while k and (c := text[k - 1]) < "\x80" and not c.isalnum() and not c.isspace():
+        k -= 1
+    if k == 0 or text[k - 1].isspace():  # marks after a word go with that word
+        s = k
+    e = _MARKS.match(text, e).end()
+    return min(s, q - len(text[p:q].lstrip())) if p >= 0 else s, max(e, u + len(text[u:v].rstrip())) if u >= 0 else e
+
+
+def _cut(width: int):
+    """``cut`` for all texts of a batch: words, pieces and what is covered in numpy, then a step a span."""
+    struct = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+
+    def run(batches):
+        for batch in pieces(batches):
+            buf, offsets = text_buffer(batch)
+            us = batch.column("us")
+            row = np.repeat(np.arange(batch.num_rows), us.fill_null([]).value_lengths().to_numpy())
+            n, at, own = _covered(buf, offsets, row, us.flatten().to_numpy(), width)
+            points = np.append(0, np.cumsum((buf & 0xC0) != 0x80, dtype=np.int64))
+            own = np.where(own >= 0, points[own] - points[offsets[at]], -1).T.tolist()
+            bounds = np.searchsorted(at, np.arange(batch.num_rows + 1))
+            left, spans, gone = batch.column("text").to_pylist(), [], np.zeros(batch.num_rows, np.int64)
+            for i in np.flatnonzero(np.diff(bounds)).tolist():
+                t, kept, k = left[i], [], 0
+                for x in own[bounds[i] : bounds[i + 1]]:
+                    a, b = _span(t, *x)
+                    kept.append(t[k:a])
+                    gone[i] += b - a
+                    spans.append((a, b))
+                    k = b
+                left[i] = "".join([*kept, t[k:]])
+            a, b = np.array(spans, np.int64).reshape(-1, 2).T
+            removed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], fields=list(struct)))
+            arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(gone), removed, pa.array(left, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_units", "n_removed", "removed_chars", "removed", "text"])
+
+    return run
+
+
 def _table(df: DataFrame, name: str) -> DataFrame:
     """``table``, whose shuffle files go as soon as it is written; Spark's cleaner may come to them a step later."""
     conf, flag = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -352,15 +444,4 @@ def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
     release(spark)
     gone = gone.unionByName(chunk).groupBy("_d", "_h").agg(F.flatten(F.collect_list("us")).alias("us"))
     held = base.join(gone, own, "left").select("doc_id", "text", "us")
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def run(batches):
-        for batch in pieces(batches):
-            out = []
-            for t, us in zip(batch.column("text").to_pylist(), batch.column("us").to_pylist(), strict=True):
-                n, spans, left = cut(t or "", set(us or ()), least_words)
-                out.append((n, len(spans), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], None if t is None else left))
-            c = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], span), pa.array(c[4], pa.string())], ["doc_id", "n_units", "n_removed", "removed_chars", "removed", "text"])
-
-    return held.mapInArrow(run, f"doc_id {kind}, n_units long, n_removed long, removed_chars long, removed array<struct<start long, end long>>, text string")
+    return held.mapInArrow(_cut(least_words), f"doc_id {kind}, n_units long, n_removed long, removed_chars long, removed array<struct<start long, end long>>, text string")
