@@ -6,7 +6,7 @@ stands inside other text; sentences of lines, whose runs go from ``least_words``
 1. ``_chunks``: chunks of words cut by their content. The windows of a chunk that stood earlier repeat, and the earliest chunk has them too.
 2. ``_keys``: the 64-bit hashes of each text's sentences and lines, and of the least fragments of its other windows. Equal windows
    have equal least fragments, so a window whose fragment comes once can't repeat; this leaves out most windows and no repeated one.
-3. ``_candidates``: the 128-bit digests of the pieces whose hash comes twice. All but the earliest place of each are repeated (``_later``).
+3. ``_candidates``: the 128-bit digests of the pieces whose hash comes twice, without the windows known to repeat. All but the earliest place of each are repeated (``_later``).
 4. ``_cut``: the words that repeated pieces cover, in maximal runs, mapped back to offsets.
 """
 
@@ -195,20 +195,21 @@ def _chunks(width: int):
     return run
 
 
+def _open(known: pa.ListArray, at: np.ndarray, p: np.ndarray, width: int) -> np.ndarray:
+    """Whether the windows at ``p`` lie outside the repeated chunks of their texts. Those inside are known to repeat; each stands, outside, in an earlier place."""
+    us = known.flatten().to_numpy()
+    a = at[np.repeat(np.arange(len(known)), known.fill_null([]).value_lengths().to_numpy())] + (us >> 2 & PLACE)
+    n = at[-1] + 1
+    return (np.cumsum(np.bincount(a, minlength=n) - np.bincount(a + (us >> 33) - width + 1, minlength=n)) == 0)[p]
+
+
 def _keys(width: int):
     def run(batches):
         for batch in pieces(batches):
             buf, offsets = text_buffer(batch)
             h, starts, at = _word_hashes(buf, offsets)
             row, p, least, each = _least(h, at, width)
-            # windows of chunks that repeat are known to repeat
-            known = batch.column("us")
-            us = known.flatten().to_numpy()
-            a = at[np.repeat(np.arange(batch.num_rows), known.fill_null([]).value_lengths().to_numpy())] + (us >> 2 & PLACE)
-            edges = np.zeros(len(h) + 1, np.int64)
-            np.add.at(edges, a, 1)
-            np.add.at(edges, a + (us >> 33) - width + 1, -1)
-            keep = np.cumsum(edges)[p] == 0
+            keep = _open(batch.column("us"), at, p, width)
             p, least = p[keep], least[keep]
             _, one = np.unique(_in_text(least, row[p]), return_index=True)
             every = np.sort(_in_text(each, row[: len(each)]))
@@ -231,7 +232,7 @@ def _candidates(width: int):
             row, p, least, _ = _least(h, at, width)
             keys = batch.column("keys")
             held = _in_text(keys.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(batch.num_rows), keys.value_lengths().to_numpy()))
-            p = p[np.isin(_in_text(least, row[p]), held)]
+            p = p[np.isin(_in_text(least, row[p]), held) & _open(batch.column("us"), at, p, width)]
             one, two = _rolled(h, width, _STEPS[0])[p], _rolled(mix(h ^ _LANE), width, _STEPS[1])[p]
             kind, a, b = _ranges(buf, offsets, starts)
             d1, d2 = run_digests(h, a, b)
@@ -431,11 +432,13 @@ def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
     hot = _hot(keys(few), "key")
     key = keys(some).join(F.broadcast(hot), F.col("key") == F.col("h0"), "left").withColumn("salt", _salt("h0"))
     shared = key.withColumn("c", F.count("*").over(Window.partitionBy("key", "salt"))).where("c > 1 or h0 is not null")
-    shared = _table(shared.groupBy(*names).agg(F.collect_set("key").alias("keys")), "shared")
+    known = chunk.select(F.col("_d").alias("_e"), F.col("_h").alias("_g"), "us")
+    shared = shared.groupBy(*names).agg(F.collect_set("key").alias("keys")).join(known, F.expr("_d <=> _e and _h = _g"), "left").drop("_e", "_g")
+    shared = _table(shared, "shared")
     release(spark)
 
     def found(rows):
-        return rows.join(shared, own).select("doc_id", "text_hash", "text", "keys").mapInArrow(_candidates(least_words), f"doc_id {kind}, text_hash long, at long, d1 long, d2 long")
+        return rows.join(shared, own).select("doc_id", "text_hash", "text", "keys", "us").mapInArrow(_candidates(least_words), f"doc_id {kind}, text_hash long, at long, d1 long, d2 long")
 
     gone = _later(found(some), _hot(found(few), "d1", "d2"), "found")
     gone = _table(gone.groupBy(*names).agg(F.collect_set("at").alias("us")), "gone")
