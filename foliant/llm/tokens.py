@@ -23,7 +23,7 @@ END_ID = 2
 #: A shard is closed after so many ids.
 SHARD_IDS = 16_000_000
 #: Encoded pieces that a worker keeps.
-CACHE = 400_000
+CACHE = 600_000
 #: Fixed values of the file format. Payload: the ids, little-endian, 2 bytes where the vocabulary allows, else 4. Index: header, then the arrays named below.
 MAGIC, VERSION, HEADER = b"FOLT", 1, "<4sHHQQQ"
 ARRAYS = (("displacements", "<i4"), ("fingerprints", "<u4"), ("starts", "<u8"), ("lengths", "<u8"), ("keys", "<i8"), ("repeats", "<u4"), ("nulls", "<u1"))
@@ -182,14 +182,25 @@ class Encoder:
         shown = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(self.byte_level)
         return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
+    def _marks(self, text: str) -> bytes:
+        """The marks after a word; short ones, of which there are few, are kept as the pieces that they are at a text's start."""
+        if len(text) > 2:
+            return self._word(text)
+        k = text.encode()
+        if k not in self.known:
+            self.known[k] = self._word(text)
+        return self.known[k]
+
     def _piece(self, text: str, gap: str) -> bytes:
         """A piece without white space, after a blank, a line break or nothing."""
         lead = " " if gap == " " else ""
         m = _MARKED.fullmatch(text)
         if not m:
             ids = self._one(lead + text)
+        elif m[1] and m[2]:
+            ids = (self.known.get((lead + m[1]).encode()) or self._word(lead + m[1])) + self._marks(m[2])
         elif m[1]:
-            ids = self._word(lead + m[1]) + self._word(m[2])
+            ids = self._word(lead + m[1])
         else:
             ids = self._word(lead + m[2])
         return self.line + ids if gap == "\n" else ids
@@ -240,12 +251,15 @@ class Encoder:
         raw = buf.tobytes()
         keys = [raw[a:b] for a, b in zip(lead[at].tolist(), ends[at].tolist(), strict=True)]
         ids = [self.known.get(k) for k in keys]
-        for i, j in enumerate(at.tolist()):
-            k = int(kind[j])
-            if k == 3:
-                ids[i] = self._text(raw[starts[j] : ends[j]].decode())
-            elif ids[i] is None:
-                ids[i] = self.known[keys[i]] = self._piece(raw[starts[j] : ends[j]].decode(), chr(k) if k else "")
+        of = kind[at].tolist()
+        for i in [i for i, k in enumerate(of) if k == 3 or ids[i] is None]:
+            text = keys[i].decode()
+            if of[i] == 3:
+                ids[i] = self._text(text)
+            elif of[i]:
+                ids[i] = self.known[keys[i]] = self._piece(text[1:], text[0])
+            else:
+                ids[i] = self.known[keys[i]] = self._piece(text, "")
         ids.append(self.end)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
         flat = np.frombuffer(b"".join(ids), self.kind)
