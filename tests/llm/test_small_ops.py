@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -443,6 +445,27 @@ def test_repeated_passage_goes_once(spark):
     assert docs[1][1][got[2]["removed"][0]["start"] : got[2]["removed"][0]["end"]] == passage
 
 
+def test_cut_by_batch_is_the_plain_cut():
+    rnd = random.Random(5)
+    signs = ["a", "B", "\u00e9", " ", "  ", "\n", ".", "!", "?", "*", "#", "\u00a0", "\u3000", "\u0085", "\x1c", "7", "\u65e5", "\U0001f600", "\t", "-"]
+    for _ in range(600):
+        width, texts, us = rnd.choice([1, 2, 3, 5]), [], []
+        for _ in range(rnd.randint(0, 6)):
+            t = None if rnd.random() < 0.1 else "".join(rnd.choice(signs) if rnd.random() < 0.6 else "w " for _ in range(rnd.randint(0, 60)))
+            n = len(plain_words(t or ""))
+            u = [x[1] * 4 + x[0] for x in substrings.parts(t or "") if rnd.random() < 0.4] + [k * 4 + substrings.WINDOW for k in range(n - width + 1) if rnd.random() < 0.1]
+            u += [((rnd.randint(width, n - k) << 31) + k) * 4 + substrings.CHUNKED for k in range(n - width + 1) if rnd.random() < 0.05]
+            texts.append(t)
+            us.append(u or None)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string()), pa.array(us, pa.list_(pa.int64()))], ["doc_id", "text", "us"])
+        got = [r for b in substrings._cut(width)([batch]) for r in b.to_pylist()]
+        assert len(got) == len(texts)
+        for t, u, r in zip(texts, us, got):
+            n, spans, left = substrings.cut(t or "", set(u or ()), width)
+            assert (r["n_units"], [(x["start"], x["end"]) for x in r["removed"]], r["text"]) == (n, spans, None if t is None else left)
+            assert (r["n_removed"], r["removed_chars"]) == (len(spans), sum(b - a for a, b in spans))
+
+
 def test_substrings_odd_rows(spark):
     got = rows(substrings.dedup_substrings(H.odd(spark), least_words=3))
     assert len(got) == len(H.ODD) and [r["text"] for r in got if r["doc_id"] == 2] == [None]
