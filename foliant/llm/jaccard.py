@@ -7,10 +7,11 @@ The join is exact. Its steps:
    prefix longer by ``l`` than what an overlap of ``t`` leaves out, so that linked sets share ``l`` prefix hashes at least) are its keys. Hashes
    that very many classes hold, such as those of a common passage, come last in that order, so only near copies of each other have them as keys.
 2. Live keys: prefix hashes that a second class holds. The texts are hashed again for them, which is cheaper than to keep
-   them. A class with too few of them can't link with anything and drops out.
-3. Candidate edges: classes with a common key, in tiles of bounded size, larger groups by bands of sizes. Within a tile only sets whose sizes are in band meet,
-   and the bits in which two bitmaps differ bound their overlap from above. What passes is kept as a spanning forest,
-   so that a tile gives fewer rows than it has members.
+   them. A key that few classes hold (``GROUP``) gives their pairs, a row of three numbers each; the other keys are crowded.
+3. Candidate edges: of the pairs, those met on as many keys as linked sets of their sizes share, less the crowded keys that both may share besides;
+   their bitmaps are compared too: the bits in which these differ bound the overlap from above. A pair that meets on crowded keys alone shares all it must there.
+   Only classes that hold enough of these are sent to tiles of bounded size, larger groups by bands of sizes. Within a tile only sets whose sizes are in band meet, by bitmaps.
+   What passes is kept as a spanning forest, so that a tile gives fewer rows than it has members.
 4. The components of these edges are the groups that can hold links. Those of more than a block are compared once more by
    bitmaps as wide as the sets, which parts long texts that narrow bitmaps can't tell apart.
    The sets of the groups left are gathered once, in blocks; each block pair counts its exact intersections and gives each
@@ -49,6 +50,12 @@ KEYS_PER_TASK = 1_500_000
 SAMPLE, HOT, MOST_HOT = 64, 64, 200_000
 #: Tasks among which a hot hash's classes are dealt.
 SALTS = 64
+#: Of a key that so many classes hold at most, each pair is a row; the others are crowded and go to tiles.
+GROUP = 8
+#: The step of the codes that tell about how large a set is; sizes of linked sets are ``CODES`` codes apart at most.
+STEP, CODES = 1.06, 6
+#: A posting's tag is its salt below this, and the size's code times this.
+TAG = 128
 #: Classes whose digests agree in the first half; about n * n / 2**65 of n classes do.
 MOST_TWINS = 10_000
 #: Sizes of linked sets differ by less than this factor, so that their bands are neighbours whatever the rounding.
@@ -131,6 +138,14 @@ def bitmap(s: np.ndarray, w: int) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def size_code(n: int) -> int:
+    return min(255, int(math.log(n) / math.log(STEP)))
+
+
+#: The least size that has a code, rounded down.
+_SIZES = np.array([int(STEP**k * (1 - 1e-9)) for k in range(256)], np.int64)
+
+
 def _digest(s: np.ndarray) -> tuple[int, int]:
     """128 bits for a set, as two numbers."""
     raw = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -185,47 +200,69 @@ def _sampled(batches):
 
 
 def _postings(digest, shared: frozenset[int], sent):
-    """The prefix hashes of each class that this task meets: ``d, key, salt``; a hot key's rows are dealt by the class."""
+    """The prefix hashes of each class that this task meets: ``d, key, tag``; a hot key's rows are dealt by the class."""
 
     def run(batches):
         hot = sent.value
         for _, sets, ds, new in _new_classes(batches, digest):
-            chosen = [(_name(d, shared), prefix(s, hot)) for s, d, x in zip(sets, ds, new, strict=True) if x]
+            chosen = [(_name(d, shared), size_code(len(s)), prefix(s, hot)) for s, d, x in zip(sets, ds, new, strict=True) if x]
             if chosen:
-                d = np.repeat(np.array([d for d, _ in chosen], np.int64), [len(k) for _, k in chosen])
-                key = np.concatenate([k for _, k in chosen])
-                salt = np.zeros(len(key), np.int16)
+                times = [len(k) for _, _, k in chosen]
+                d = np.repeat(np.array([d for d, _, _ in chosen], np.int64), times)
+                key = np.concatenate([k for _, _, k in chosen])
+                tag = np.repeat(np.array([c * TAG for _, c, _ in chosen], np.int16), times)
                 if len(hot):
                     held = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
-                    salt[held] = (d[held] & (SALTS - 1)) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(key.view(np.int64)), pa.array(salt)], ["d", "key", "salt"])
+                    tag[held] += ((d[held] & (SALTS - 1)) + 1).astype(np.int16)
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(key.view(np.int64)), pa.array(tag)], ["d", "key", "tag"])
 
     return run
 
 
-def _live(batches):
-    """Keys that two classes hold, of one task's share of the keys: ``d, key, times``. Hot keys are known to be held often; their ``times`` is null."""
-    ks, ds, ss = [], [], []
-    for b in batches:
-        ks.append(b.column("key").to_numpy())
-        ds.append(b.column("d").to_numpy())
-        ss.append(b.column("salt").to_numpy())
-    if not ks:
-        return
-    k, d, s = np.concatenate(ks), np.concatenate(ds), np.concatenate(ss)
-    del ks, ds, ss
-    o = np.lexsort((d, k))
-    k, d, s = k[o], d[o], s[o]
-    same = np.zeros(len(k), bool)
-    same[1:] = (k[1:] == k[:-1]) & (d[1:] == d[:-1])
-    k, d, s = k[~same], d[~same], s[~same]
-    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    times = np.repeat(np.diff(np.append(start, len(k))), np.diff(np.append(start, len(k))))
-    keep = (times > 1) | (s > 0)
-    k, d, s, times = k[keep], d[keep], s[keep], times[keep]
-    for i in range(0, len(k), 100_000):
-        part = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(d[part]), pa.array(k[part]), pa.array(times[part].astype(np.int32), mask=s[part] > 0)], ["d", "key", "times"])
+def _live(group: int):
+    """Keys that two classes hold, of one task's share of the keys. Up to ``group`` classes are paired: ``a, b, need``, the number of keys that they share
+    at least if they link. Of crowded keys each class is a row, ``a, key, times``; hot keys are known to be held often, their ``times`` is null."""
+
+    def run(batches):
+        ks, ds, ts = [], [], []
+        for b in batches:
+            ks.append(b.column("key").to_numpy())
+            ds.append(b.column("d").to_numpy())
+            ts.append(b.column("tag").to_numpy())
+        if not ks:
+            return
+        k, d, t = np.concatenate(ks), np.concatenate(ds), np.concatenate(ts)
+        del ks, ds, ts
+        o = np.lexsort((d, k))
+        k, d, t = k[o], d[o], t[o]
+        same = np.zeros(len(k), bool)
+        same[1:] = (k[1:] == k[:-1]) & (d[1:] == d[:-1])
+        k, d, t = k[~same], d[~same], t[~same]
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.append(start, len(k)))
+        hot = (t[start] & (TAG - 1)) > 0
+        code = (t // TAG).astype(np.int64)
+        for m in range(2, group + 1):
+            at = start[(size == m) & ~hot]
+            for low in range(0, len(at), 20_000):
+                x = at[low : low + 20_000]
+                for i in range(m):
+                    for j in range(i + 1, m):
+                        near = np.abs(code[x + i] - code[x + j]) <= CODES
+                        p, q = x[near] + i, x[near] + j
+                        need = (1 + spare(_SIZES[np.minimum(code[p], code[q])])).astype(np.int32)
+                        none = pa.nulls(len(p), pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array(d[p]), pa.array(d[q]), pa.array(need), none, pa.nulls(len(p), pa.int32())], ["a", "b", "need", "key", "times"])
+        keep = np.repeat(hot | (size > group), size)
+        keep &= np.repeat(hot | (size > 1), size)
+        times, held = np.repeat(size, size)[keep].astype(np.int32), np.repeat(hot, size)[keep]
+        k, d = k[keep], d[keep]
+        for i in range(0, len(k), 100_000):
+            part = slice(i, i + 100_000)
+            n = len(k[part])
+            yield pa.RecordBatch.from_arrays([pa.array(d[part]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(k[part]), pa.array(times[part], mask=held[part])], ["a", "b", "need", "key", "times"])
+
+    return run
 
 
 def _runs(batches, key: str):
@@ -266,6 +303,21 @@ def may_link(n_a, n_b, differ) -> np.ndarray:
     return (100 + NEAR) * (n_a + n_b - differ) >= 2 * NEAR * (n_a + n_b)
 
 
+def _pair_edges(batches):
+    """The pairs ``a, b`` whose sizes and bitmaps (``na, nb, ma, mb``) let them link."""
+    for batch in batches:
+        na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+        ma, mb = batch.column("ma").to_pylist(), batch.column("mb").to_pylist()
+        width = np.array([min(len(x), len(y)) * 8 for x, y in zip(ma, mb, strict=True)], np.int64)
+        ok = (NEAR * np.maximum(na, nb) <= 100 * np.minimum(na, nb)) if len(na) else np.zeros(0, bool)
+        for w in np.unique(width).tolist():
+            (at,) = np.nonzero(ok & (width == w))
+            differ = np.bitwise_count(_fold([ma[i] for i in at], w) ^ _fold([mb[i] for i in at], w)).sum(axis=1).astype(np.int64)
+            ok[at] = may_link(na[at], nb[at], differ)
+        keep = pa.array(np.flatnonzero(ok))
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
+
+
 class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -495,12 +547,27 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     first = made.where("map is not null")
     total = first.agg(F.sum(F.expr(f"n - ({NEAR} * n + 99) div 100 + 1 + n div 20"))).first()[0] or 0
     tasks = max(slots(spark), math.ceil(total / KEYS_PER_TASK))
-    live = base.mapInArrow(_postings(_digest, shared, sent), "d long, key long, salt short").repartition(tasks, "key", "salt").mapInArrow(_live, "d long, key long, times int")
-    mine = live.groupBy("d").agg(F.collect_list(F.struct("key", "times")).alias("live"))
+    parts = base.mapInArrow(_postings(_digest, shared, sent), "d long, key long, tag short").repartition(tasks, "key", F.expr(f"tag % {TAG}"))
+    met = table(parts.mapInArrow(_live(GROUP), "a long, b long, need int, key long, times int"), "met")
+    crowded, pairs = met.where("key is not null").select(F.col("a").alias("d"), "key", "times"), met.where("key is null").select("a", "b", "need")
+    del parts
+    release(spark)
     maps = first.groupBy("d").agg(F.first("n").alias("n"), F.first("map").alias("map"))
+    mine = crowded.groupBy(F.col("d").alias("_d")).agg(F.collect_list(F.struct("key", "times")).alias("live"))
     least = F.expr(f"1 + (({NEAR} * n + 99) div 100) div 20")
-    left = table(maps.join(mine.select(F.col("d").alias("_d"), "live"), F.expr("d = _d")).where(F.size("live") >= least).select("d", "n", "map", "live"), "left")
-    del live, mine, maps
+    left = table(maps.join(mine, F.expr("d = _d")).where(F.size("live") >= least).select("d", "n", "map", "live"), "left")
+
+    # pairs met often enough; each side may have met the other on its crowded keys too
+    often = crowded.groupBy(F.col("d").alias("_d")).agg(F.count("*").alias("_q"))
+    near = pairs.repartition("a").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need"))
+    for side in ("a", "b"):
+        near = near.join(often, F.col(side) == F.col("_d"), "left").where(F.col("c") + F.coalesce("_q", F.lit(0)) >= F.col("need")).drop("_d", "_q")
+    near = table(near.select("a", "b"), "near")
+    of = lambda x: maps.select(F.col("d").alias(f"_{x}"), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}"))
+    near_maps = near.join(of("a"), F.expr("a = _a")).join(of("b"), F.expr("b = _b")).select("a", "b", "na", "nb", "ma", "mb")
+    paired = table(near_maps.mapInArrow(_pair_edges, "a long, b long"), "paired")
+    del crowded, pairs, mine, often, near_maps, maps
+    drop(met), drop(near)
     release(spark)
 
     # tiles of keys
@@ -509,9 +576,9 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         often = F.broadcast(posted.where("members is null").groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("_c")))  # MOST_HOT rows at most
         posted = posted.join(often, F.col("key") == F.col("_k"), "left").withColumn("members", F.coalesce("members", "_c")).drop("_k", "_c")
     edges = _tiles(posted, "key", TILE).select("tile", "side", "d", "n", "map").repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(_tile_edges, "a long, b long")
-    rough = table(components(edges), "clusters")
+    rough = table(components(edges.unionByName(paired)), "clusters")
     del edges, posted
-    drop(left)
+    drop(left), drop(paired)
     release(spark)
 
     # groups of more than a block once more, by the full bitmaps

@@ -162,3 +162,27 @@ def test_keep_first(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     comp = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
     assert {r["doc_id"] for r in jaccard.keep_first(docs).collect()} == set(comp.values())
+
+
+def test_long_texts_that_share_passages_form_no_group(spark, monkeypatch):
+    """Texts too long for the tiles' bitmaps, every passage of which stands in a few others: each pair shares some keys, none enough of them."""
+    rng, met = np.random.default_rng(5), []
+    pool = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 100)) for _ in range(1000)]
+    rows = [(i, " ".join(pool[j] for j in rng.choice(len(pool), 45, replace=False))) for i in range(60)]
+    rows += [(100, rows[7][1] + " and more"), (101, rows[8][1][2:])]
+    large = jaccard._large
+    monkeypatch.setattr(jaccard, "_large", lambda c: met.append(max(r["count"] for r in c.groupBy("label").count().collect())) or large(c))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert max(met) == 2
+    assert [r["component_id"] for r in got] == [*range(60), 7, 8] and [r["n_links"] for r in got] == [int(i in (7, 8)) for i in range(60)] + [1, 1]
+
+
+@pytest.mark.parametrize("group", [1, 2, 3])
+def test_crowded_keys_and_pairs_find_the_same(spark, data, monkeypatch, group):
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    rng = np.random.default_rng(group)
+    words = [f"v{x}" for x in rng.integers(0, 10**6, 400)]
+    rows = [(i, " ".join(words[: 60 + 17 * (i % 9)] + [f"x{i}{j}" for j in range(int(rng.integers(0, 25)))])) for i in range(80)]
+    rows += [(r["doc_id"] + 1000, r["text"]) for r in H.table(data, "documents")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got), key=str) == brute(rows)
