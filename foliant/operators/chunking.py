@@ -7,16 +7,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ChunkConfig
 from ..functions import text as T
 from ..functions import tokens as K
-from ..functions.interfaces import PunctuationSplitter, SentenceSplitter, Tokenizer, WhitespaceTokenizer, attach, sums
+from ..functions.interfaces import PunctuationSplitter, SentenceSplitter, Tokenizer, WhitespaceTokenizer, attach
 from ..functions.similarity import KERNEL, SMOOTH_OVER
 from .coherence import MOST_SEGMENTS, SEGMENTS_OVER, SWITCH_OVER
 
+#: Sentences of a run of documents that are encoded at once.
+RUN = 20_000
 #: The weight of a late split; the shares of the overlap target
 #: at which the walk back looks at coherence, stops, and may not pass.
 LATE, LOOK, ENOUGH, MOST = 0.3, 0.75, 0.8, 1.5
@@ -281,11 +284,16 @@ def semantic_chunks(docs: DataFrame, encoder, cfg: ChunkConfig | None = None, te
     @F.arrow_udf(_CHUNK)
     def cut(ss: pa.Array) -> pa.Array:
         out = []
+        sizes, met = pc.list_value_length(ss).to_numpy(zero_copy_only=False), (0, 0, None)
         for i in range(len(ss)):  # one document at a time, so that memory follows the longest one
             one = ss[i : i + 1].flatten()
             cols = {c: one.field(c).to_pylist() for c in ("article", "s", "n", "p")}
             if here:
-                vec, known = sums(one.field("k"), *sent.value)
+                if i >= met[1]:  # the vectors of a run of documents at once
+                    end = max(i + 1, i + int(np.searchsorted(np.cumsum(sizes[i:]), RUN, side="right")))
+                    met = (i, end, sent.sums(ss[i:end].flatten().field("k"))[0])
+                low = int(sizes[met[0] : i].sum())
+                vec = met[2][low : low + len(one)]
             arts: list[list[dict]] = []
             for j, at in enumerate(cols["article"]):
                 while len(arts) <= at:

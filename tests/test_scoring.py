@@ -185,3 +185,22 @@ def test_coherence(spark):
     assert {(r["i"], r["j"]): round(r["similarity"], 6) for r in coherence.similarity_matrix(df, ["g"]).collect()} == {(0, 1): 0.5, (0, 2): 1.0, (1, 2): 0.5}
     long = spark.createDataFrame([(0, i, [1.0, float(i)]) for i in range(12)], "g long, pos int, vector array<double>")
     assert coherence.global_coherence(long, ["g"], 2).first()["hierarchical_coherence"] > 0.5
+
+
+def test_vectors_in_blocks(spark, data, monkeypatch):
+    """A table of more rows than a block is sent in blocks, one held at a time, and gives the vectors that one block does."""
+    from foliant.functions.interfaces import Matrix
+
+    table = spark.read.parquet(f"{data}/embeddings.parquet")
+    rows = spark.createDataFrame([("a b c",), ("d e",), (" ",)], "s string")
+    want = [r["vector"] for r in HashedVectors(table).attach(rows, "s").collect()]
+    score = lambda: [(round(r["precision"], 9), round(r["recall"], 9)) for r in scoring.greedy_match(pairs(spark, ("a b c", "a b d"), ("", "x"), ("a b", "a")), HashedVectors(table), ["k"]).orderBy("k").collect()]
+    whole = score()
+    monkeypatch.setattr(interfaces, "MATRIX_ROWS", 25)
+    monkeypatch.setattr(interfaces, "HELD", 1)
+    enc = HashedVectors(table)
+    assert enc.small and isinstance(enc.sent(), Matrix) and len(enc.sent().blocks) == -(-table.count() // 25) > 1
+    got = enc.attach(rows, "s")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    got = [r["vector"] for r in got.collect()]
+    assert got[2] is None and want[2] is None and all(np.allclose(x, y) for x, y in zip(got[:2], want[:2], strict=True)) and score() == whole
