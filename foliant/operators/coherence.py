@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tokens as K
+from ..functions.interfaces import attach, groups
 from ..functions.similarity import cosine, dot, rescaled
 
 SEGMENTS_OVER, MOST_SEGMENTS, GLOBAL_OVER, SWITCH_OVER = 10, 5, 2, 5
@@ -72,6 +76,99 @@ def chunk_coherence(vectors: DataFrame, keys: list[str], dim: int = 64) -> DataF
     return both.select(*keys, "n", F.struct(*[c.alias(k) for k, c in parts.items()]).alias("coherence"))
 
 
+# --- the same from groups that hold their sentences as an array: encoded where they stand, so that no vector is shuffled or leaves the worker
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cosine row by row, 0 where a vector has no length, and whether both have one."""
+    both = np.linalg.norm(a, axis=-1) * np.linalg.norm(b, axis=-1)
+    return np.divide((a * b).sum(axis=-1), both, out=np.zeros(both.shape), where=both > 0), both > 0
+
+
+def _keys_of(encoder, sentences: Column) -> Column:
+    return F.transform(sentences, lambda s: encoder.keys(K.tokens(s)))
+
+
+def neighbours(encoder, sentences: Column) -> Column:
+    """For each sentence of an array ``known`` (it has a vector), ``next`` (so has a later one) and its ``cosine`` with the next that has. Only for a small encoder."""
+    sent = encoder.sent()
+
+    @F.arrow_udf("array<struct<known: boolean, next: boolean, cosine: double>>")
+    def run(keys: pa.Array) -> pa.Array:
+        known_, next_, cos, ok, ends = [], [], [], [], [0]
+        for vec, known in groups(keys, sent):
+            at = np.flatnonzero(known)
+            c, o, n = np.zeros(len(known)), np.zeros(len(known), bool), np.zeros(len(known), bool)
+            if len(at) > 1:
+                c[at[:-1]], o[at[:-1]] = _cosines(vec[at[:-1]], vec[at[1:]])
+                n[at[:-1]] = True
+            known_.append(known), next_.append(n), cos.append(c), ok.append(o), ends.append(ends[-1] + len(known))
+        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        rows = pa.StructArray.from_arrays([pa.array(join(known_, bool)), pa.array(join(next_, bool)), pa.array(join(cos, float), mask=~join(ok, bool))], ["known", "next", "cosine"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+    return run.asNondeterministic()(_keys_of(encoder, sentences))
+
+
+def _record(v: np.ndarray) -> dict:
+    n = len(v)
+    if not n:
+        return {"n": 0}
+    s = (_cosines(v[:-1], v[1:])[0] + 1) / 2
+    out = {"n": n, "local": float(s.mean()) if n > 1 else 1.0, "variance": float(s.var()) if n > 1 else 0.0, "min": float(s.min()) if n > 1 else 1.0, "max": float(s.max()) if n > 1 else 1.0}
+    if n > GLOBAL_OVER:
+        out["whole"] = float((_cosines(v, v.mean(axis=0))[0] + 1).mean() / 2)
+        if n > SEGMENTS_OVER:
+            k = min(MOST_SEGMENTS, n // 3)
+            mids = np.array([v[i * (n // k) : (i + 1) * (n // k) if i < k - 1 else n].mean(axis=0) for i in range(k)])
+            out["hierarchical"] = float((_cosines(mids[:-1], mids[1:])[0] + 1).mean() / 2)
+            out["whole"] = 0.6 * out["whole"] + 0.4 * out["hierarchical"]
+    return out
+
+
+_RECORD = ("local", "variance", "min", "max", "whole", "hierarchical")
+
+
+def recorded(rows: DataFrame, encoder, keys: list[str], sentences: str = "sentences") -> DataFrame:
+    """``rows`` with ``record``: ``n`` (sentences that have a vector), what ``local_coherence`` tells (``local, variance, min, max``) and what ``global_coherence`` does
+    (``whole, hierarchical``, null for small groups). A row is a group, ``keys`` its own; null where no sentence has a vector."""
+    if not encoder.small:
+        v = attach(encoder, rows.select(*keys, F.posexplode(sentences).alias("pos", "_s")), "_s").where("vector is not null")
+        both = local_coherence(v, keys).join(global_coherence(v, keys, encoder.dim).drop("n"), keys, "left")
+        names = ("local_coherence", "coherence_variance", "min_coherence", "max_coherence", "global_coherence", "hierarchical_coherence")
+        return rows.join(both.select(*keys, F.struct("n", *[F.col(a).alias(b) for a, b in zip(names, _RECORD, strict=True)]).alias("record")), keys, "left")
+    sent = encoder.sent()
+
+    @F.arrow_udf("struct<n: bigint, " + ", ".join(f"{x}: double" for x in _RECORD) + ">")
+    def run(k: pa.Array) -> pa.Array:
+        kind = pa.struct([("n", pa.int64()), *[(x, pa.float64()) for x in _RECORD]])
+        return pa.array([_record(vec[known]) for vec, known in groups(k, sent)], kind)
+
+    own = rows.withColumn("_r", run.asNondeterministic()(_keys_of(encoder, F.col(sentences))))
+    return own.withColumn("record", F.when(F.col("_r.n") > 0, F.col("_r"))).drop("_r")
+
+
+def similarities(rows: DataFrame, encoder, keys: list[str], sentences: str = "sentences") -> DataFrame:
+    """``similarity_matrix`` of groups that are a row each."""
+    if not encoder.small:
+        return similarity_matrix(attach(encoder, rows.select(*keys, F.posexplode(sentences).alias("pos", "_s")), "_s").where("vector is not null"), keys)
+    sent = encoder.sent()
+
+    @F.arrow_udf("array<struct<i: int, j: int, similarity: double>>")
+    def run(k: pa.Array) -> pa.Array:
+        i_, j_, sim, ends = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0)], [0]
+        for vec, known in groups(k, sent):
+            at = np.flatnonzero(known).astype(np.int32)
+            for x in range(len(at) - 1):
+                i_.append(np.full(len(at) - x - 1, at[x])), j_.append(at[x + 1 :])
+                sim.append((_cosines(vec[at[x]], vec[at[x + 1 :]])[0] + 1) / 2)
+            ends.append(ends[-1] + len(at) * (len(at) - 1) // 2)
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (i_, j_, sim)], ["i", "j", "similarity"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+    return rows.select(*keys, F.explode(run(_keys_of(encoder, F.col(sentences)))).alias("_p")).select(*keys, "_p.*")
+
+
 def similarity_matrix(vectors: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """Rescaled cosine of each pair of a group, ``i < j``; the diagonal is 1 and the rest symmetric. Pairs stay within a chunk, whose size the budget bounds."""
     a = vectors.select(*keys, F.col(pos).alias("i"), F.col("vector").alias("va"))

@@ -204,3 +204,18 @@ def test_vectors_in_blocks(spark, data, monkeypatch):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     got = [r["vector"] for r in got.collect()]
     assert got[2] is None and want[2] is None and all(np.allclose(x, y) for x, y in zip(got[:2], want[:2], strict=True)) and score() == whole
+
+
+@pytest.mark.parametrize("name", ["cosine_adjacent", "hybrid_signal", "coherence_local", "coherence_global", "chunk_coherence", "similarity_matrix"])
+def test_no_vector_is_shuffled(spark, data, monkeypatch, name):
+    """Sentences are encoded where they stand, and give what the joined and windowed vectors give."""
+    from foliant import queries
+
+    shown = lambda df: sorted((tuple(f"{x:.5f}" if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
+    df = queries.QUERIES[name](spark, data)
+    assert "vector" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = shown(df)
+    monkeypatch.setattr(interfaces, "MATRIX_ROWS", 0)
+    want = shown(queries.QUERIES[name](spark, data))
+    near = lambda r, s: all(x == y or (abs(float(x) - float(y)) < 2e-5 if isinstance(x, str) else False) for x, y in zip(r, s, strict=True))
+    assert len(got) == len(want) > 0 and all(map(near, got, want))
