@@ -184,8 +184,8 @@ class Matrix:
         return out, known
 
 
-def sums(keys: pa.Array, ids: np.ndarray, vectors: np.ndarray, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """For each list of keys the sum of their vectors, and whether a key is known; ``most`` token vectors are held at once."""
+def sums(keys: pa.Array, ids: np.ndarray, vectors: np.ndarray, most: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
+    """For each list of keys the sum of their vectors, and whether a key is known; ``most`` token vectors are held at once, few enough for the processor's cache."""
     sizes = pc.fill_null(pc.list_value_length(keys), 0).to_numpy(zero_copy_only=False)
     flat = pc.list_flatten(keys).to_numpy(zero_copy_only=False).astype(np.int64)
     at = np.minimum(np.searchsorted(ids, flat), max(len(ids) - 1, 0))

@@ -89,8 +89,8 @@ def _keys_of(encoder, sentences: Column) -> Column:
     return F.transform(sentences, lambda s: encoder.keys(K.tokens(s)))
 
 
-def neighbours(encoder, sentences: Column) -> Column:
-    """For each sentence of an array ``known`` (it has a vector), ``next`` (so has a later one) and its ``cosine`` with the next that has. Only for a small encoder."""
+def neighbours(encoder, tokens: Column) -> Column:
+    """For each sentence (its tokens) of an array ``known`` (it has a vector), ``next`` (so has a later one) and its ``cosine`` with the next that has. Only for a small encoder."""
     sent = encoder.sent()
 
     @F.arrow_udf("array<struct<known: boolean, next: boolean, cosine: double>>")
@@ -107,7 +107,7 @@ def neighbours(encoder, sentences: Column) -> Column:
         rows = pa.StructArray.from_arrays([pa.array(join(known_, bool)), pa.array(join(next_, bool)), pa.array(join(cos, float), mask=~join(ok, bool))], ["known", "next", "cosine"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
-    return run.asNondeterministic()(_keys_of(encoder, sentences))
+    return run.asNondeterministic()(F.transform(tokens, encoder.keys))
 
 
 def _record(v: np.ndarray) -> dict:

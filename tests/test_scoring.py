@@ -219,3 +219,39 @@ def test_no_vector_is_shuffled(spark, data, monkeypatch, name):
     want = shown(queries.QUERIES[name](spark, data))
     near = lambda r, s: all(x == y or (abs(float(x) - float(y)) < 2e-5 if isinstance(x, str) else False) for x, y in zip(r, s, strict=True))
     assert len(got) == len(want) > 0 and all(map(near, got, want))
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["split_candidates"])
+def test_no_sentence_is_shuffled(spark, data, monkeypatch, name):
+    """The places to split after are found in the document's row, at all weights, and are those of the windows over sentences."""
+    from foliant import queries
+    from foliant.plans import experiments
+
+    df = queries.QUERIES[name](spark, data)
+    assert "Window" not in plan(df) and "Join" not in plan(df) and plan(df).count("Aggregate") == (name == "alpha_sweep")
+    rows = signal.hybrid_rows(queries._neighbours(spark, data))
+    if name == "split_candidates":
+        smooth = signal.smoothed_rows(rows.withColumn("hybrid", F.round("hybrid", 9))).withColumn("smoothed", F.round("smoothed", 8))
+        want = signal.split_candidates(smooth).select("doc_id", "cum_at", "split_after", F.round("score", 6).alias("score"))
+    else:
+        wide = rows.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in experiments.ALPHAS]))).withColumn("hybrid", F.expr("alpha * cosine + (1 - alpha) * jaccard_norm"))
+        cut = signal.split_candidates(signal.smoothed_rows(wide, key="doc_id, alpha"), key="doc_id, alpha")
+        want = cut.groupBy("alpha").agg(F.count("*").alias("n_docs"), F.round(F.avg("split_after"), 2).alias("mean_split"))
+    got, want = sorted(map(tuple, df.collect())), sorted(map(tuple, want.collect()))
+    assert got == want and len(got) > 0
+    monkeypatch.setattr(interfaces, "MATRIX_ROWS", 0)  # a large encoder's signals come as rows
+    assert len(queries.QUERIES[name](spark, data).collect()) == len(got)
+
+
+def test_split_places_odd_groups():
+    """Short groups, values that are not numbers, and equal values: the first of the lowest."""
+    one = np.array([1.0])
+    places = lambda n, c, least=1: signal.split_places(np.array(n), np.array(c, float), np.zeros(len(n)), one, least, (None, None))
+    assert places([3, 3], [0.5, 0.1], 7) is None
+    at, cum, score = places([3, 3, 3], [0.5, 0.5, 0.5], 4)
+    assert (at[0], cum[0], score[0]) == (1, 6, 0.5)
+    assert places([3, 3, 3], [float("nan"), 0.5, 0.2])[0][0] == 2 and places([3] * 4, [0.1, 0.5, 0.2, 0.4])[0][0] == 2
