@@ -71,18 +71,20 @@ def greedy_chunks(docs: DataFrame, cfg: ChunkConfig | None = None, text: str = "
     """Sentences packed in order up to the budget: ``doc_id, chunk_id, article, text, sentences, token_count, sentence_count, start, end``.
 
     On overflow the chunk closes if it holds ``min_tokens`` or is the article's first; else it grows past the budget. A sentence over
-    the budget is never cut. ``start`` and ``end`` are token offsets in the document.
+    the budget is never cut. ``start`` and ``end`` are token offsets in the document. Each row is a document, also where rows share an id.
     """
     cfg = cfg or ChunkConfig(mode="greedy_sentence")
     rows = sentence_rows(docs, cfg, text=text, **how)
-    cut = rows.select("doc_id", F.posexplode("arts").alias("article", "a")).where(F.size("a") > 0)
-    cut = cut.withColumn("at", F.expr(_GREEDY.format(a="a", max=cfg.max_tokens, min=cfg.min_tokens)))
-    parts = cut.select("doc_id", "article", F.posexplode(F.expr("transform(at, (s, k) -> slice(a, s + 1, coalesce(get(at, k + 1), size(a)) - s))")).alias("k", "ss"))
-    out = parts.select("doc_id", "article", "k", F.expr("transform(ss, x -> x.s)").alias("sentences"), F.expr("aggregate(ss, 0, (z, x) -> z + x.n)").alias("token_count"))
-    order = "partition by doc_id order by article, k"
+    article = F.expr(f"""
+      flatten(transform(filter(transform(arts, (a, i) -> named_struct('i', i, 'a', a)), y -> size(y.a) > 0), y -> transform(array({_GREEDY.format(a="y.a", max=cfg.max_tokens, min=cfg.min_tokens)}),
+        at -> transform(at, (s, k) -> named_struct('article', y.i, 'ss', slice(y.a, s + 1, coalesce(get(at, k + 1), size(y.a)) - s))))[0]))""")
+    cut = rows.select("doc_id", F.transform(article, lambda c: F.struct(c["article"].alias("article"), F.transform(c["ss"], lambda x: x["s"]).alias("sentences"), F.aggregate(c["ss"], F.lit(0), lambda z, x: z + x["n"]).alias("n"))).alias("cs"))
+    # the chunks are numbered and their offsets added up in the document's row
+    cut = cut.withColumn("ends", F.expr("aggregate(cs, array(0L), (z, c) -> concat(z, array(element_at(z, -1) + c.n)))"))
+    out = cut.select("doc_id", F.posexplode(F.transform("cs", lambda c, i: F.struct(c.alias("c"), F.get("ends", i).alias("start"), F.get("ends", i + 1).alias("end")))).alias("chunk_id", "x"))
     return out.select(
-        "doc_id", F.expr(f"row_number() over ({order}) - 1").alias("chunk_id"), "article", F.array_join("sentences", " ").alias("text"), "sentences", "token_count", F.size("sentences").alias("sentence_count"),
-        F.expr(f"sum(token_count) over ({order}) - token_count").alias("start"), F.expr(f"sum(token_count) over ({order})").alias("end"),
+        "doc_id", "chunk_id", F.col("x.c.article").alias("article"), F.array_join("x.c.sentences", " ").alias("text"), F.col("x.c.sentences").alias("sentences"), F.col("x.c.n").alias("token_count"),
+        F.size("x.c.sentences").alias("sentence_count"), F.col("x.start").alias("start"), F.col("x.end").alias("end"),
     )
 
 

@@ -255,3 +255,20 @@ def test_split_places_odd_groups():
     at, cum, score = places([3, 3, 3], [0.5, 0.5, 0.5], 4)
     assert (at[0], cum[0], score[0]) == (1, 6, 0.5)
     assert places([3, 3, 3], [float("nan"), 0.5, 0.2])[0][0] == 2 and places([3] * 4, [0.1, 0.5, 0.2, 0.4])[0][0] == 2
+
+
+@pytest.mark.parametrize("name", ["chunk_coherence"])
+def test_chunks_are_not_shuffled(spark, data, name):
+    """Chunks are numbered and measured in the document's row: neither their text nor their sentences are sorted or exchanged."""
+    from foliant import queries
+
+    assert "Window" not in plan(queries.QUERIES[name](spark, data)) and "Join" not in plan(queries.QUERIES[name](spark, data))
+
+
+def test_rows_that_share_an_id_are_documents(spark):
+    from foliant.config import ChunkConfig
+    from foliant.operators import chunking
+
+    docs = spark.createDataFrame([(1, "A b c d. E f g h."), (1, "I j k."), (None, "L m n o. P q r s."), (2, "")], "doc_id long, text string")
+    got = chunking.greedy_chunks(docs, ChunkConfig(max_tokens=5, min_tokens=2, overlap_tokens=1, mode="greedy_sentence"))
+    assert sorted((str(r["doc_id"]), r["chunk_id"], r["text"], r["start"], r["end"]) for r in got.collect()) == [("1", 0, "A b c d.", 0, 4), ("1", 0, "I j k.", 0, 3), ("1", 1, "E f g h.", 4, 8), ("None", 0, "L m n o.", 0, 4), ("None", 1, "P q r s.", 4, 8)]
