@@ -257,7 +257,7 @@ def test_split_places_odd_groups():
     assert places([3, 3, 3], [float("nan"), 0.5, 0.2])[0][0] == 2 and places([3] * 4, [0.1, 0.5, 0.2, 0.4])[0][0] == 2
 
 
-@pytest.mark.parametrize("name", ["chunk_coherence", "chunk_quality_stats", "coherence_global"])
+@pytest.mark.parametrize("name", ["chunk_coherence", "chunk_quality_stats", "coherence_global", "similarity_matrix"])
 def test_chunks_are_not_shuffled(spark, data, name):
     """Chunks are numbered and measured in the document's row: neither their text nor their sentences are sorted or exchanged."""
     from foliant import queries
