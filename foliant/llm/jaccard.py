@@ -645,6 +645,15 @@ def keep_first(docs: DataFrame) -> DataFrame:
     kept = table(first.select("f.doc_id", "f.text_hash", "f.m").unionByName(blank).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "m"), "kept")
     got = wrapped(docs, id=F.col("doc_id"), hash=F.xxhash64("text"))
     same = F.expr("id <=> k_id and hash = k_hash")
-    once = got.join(kept.where("m <= 1"), same, "left_semi")
-    many = got.join(kept.where("m > 1"), same, "left_semi").dropDuplicates(["id", "hash"])
+    # the rows that go, or stand more than once, are few: broadcast, the texts stay where they are read
+    repeated = kept.where("m > 1")
+    least = kept.select(F.col("k_id").alias("_i"), F.col("k_hash").alias("_h"))
+    away = rows.where("n > 0").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct().join(least, F.expr("k_id <=> _i and k_hash = _h"), "left_anti")
+    away = table(away.unionByName(repeated.select("k_id", "k_hash")), "away")
+    if away.count() <= BROADCAST_CLASSES:
+        once = got.join(F.broadcast(away), same, "left_anti")
+        repeated = F.broadcast(repeated)  # among those of ``away``
+    else:
+        once = got.join(kept.where("m <= 1"), same, "left_semi")
+    many = got.join(repeated, same, "left_semi").dropDuplicates(["id", "hash"])
     return once.unionByName(many).select("row.*")

@@ -186,3 +186,19 @@ def test_crowded_keys_and_pairs_find_the_same(spark, data, monkeypatch, group):
     rows += [(r["doc_id"] + 1000, r["text"]) for r in H.table(data, "documents")]
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got), key=str) == brute(rows)
+
+
+def test_keep_first_leaves_texts_where_they_are(spark, monkeypatch):
+    """The rows that go are broadcast, whatever the texts' size; too many of them are joined, with the same result. Nulls, blanks and equal rows too."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "g h i"), (3, "g h i"), (None, "k l"), (None, None), (4, None), (4, ""), (5, "g h i"), (6, "x y z"), (None, None)], "doc_id long, text string")
+    want = sorted([(1, "a b c d e f"), (3, "g h i"), (None, "k l"), (None, None), (None, None), (4, None), (4, ""), (6, "x y z")], key=str)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = jaccard.keep_first(docs)
+        first = df._jdf.queryExecution().optimizedPlan().toString()
+        assert first.count("strategy=broadcast") == 2
+        assert sorted(map(tuple, df.collect()), key=str) == want
+        monkeypatch.setattr(jaccard, "BROADCAST_CLASSES", 0)
+        assert sorted(map(tuple, jaccard.keep_first(docs).collect()), key=str) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
