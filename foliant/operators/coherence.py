@@ -154,19 +154,47 @@ def similarities(rows: DataFrame, encoder, keys: list[str], sentences: str = "se
         return similarity_matrix(attach(encoder, rows.select(*keys, F.posexplode(sentences).alias("pos", "_s")), "_s").where("vector is not null"), keys)
     sent = encoder.sent()
 
-    @F.arrow_udf("array<struct<i: int, j: int, similarity: double>>")
-    def run(k: pa.Array) -> pa.Array:
-        i_, j_, sim, ends = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0)], [0]
-        for vec, known in groups(k, sent):
-            at = np.flatnonzero(known).astype(np.int32)
-            for x in range(len(at) - 1):
-                i_.append(np.full(len(at) - x - 1, at[x])), j_.append(at[x + 1 :])
-                sim.append((_cosines(vec[at[x]], vec[at[x + 1 :]])[0] + 1) / 2)
-            ends.append(ends[-1] + len(at) * (len(at) - 1) // 2)
-        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (i_, j_, sim)], ["i", "j", "similarity"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-
-    return rows.select(*keys, F.explode(run(_keys_of(encoder, F.col(sentences)))).alias("_p")).select(*keys, "_p.*")
+    run = pair_batches(keys, sent)
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.select(*keys, _keys_of(encoder, F.col(sentences)).alias("_k")).mapInArrow(run, f"{kinds}, i int, j int, similarity double")
+
+
+#: Pairs of a batch on its way out of a worker, and the vectors whose products are taken at once.
+MOST_PAIRS, STRIP = 500_000, 512
+
+
+def pair_batches(keys: list[str], sent):
+    """For ``mapInArrow``: ``keys, i, j, similarity`` of the pairs of each group ``keys, _k``, in batches of about ``MOST_PAIRS`` rows however many pairs the groups have."""
+
+    def made(held):
+        own, i, j, sim = zip(*held, strict=True)
+        take = [pa.chunked_array([x[k] for x in own]).combine_chunks() for k in range(len(keys))]
+        return pa.RecordBatch.from_arrays([*take, *[pa.array(np.concatenate(x)) for x in (i, j, sim)]], [*keys, "i", "j", "similarity"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            names = [batch.column(k) for k in keys]
+            for g, (vec, known) in enumerate(groups(batch.column("_k"), sent)):
+                at = np.flatnonzero(known).astype(np.int32)
+                v = vec[at]
+                long = np.linalg.norm(v, axis=1)[:, None]
+                unit = np.divide(v, long, out=np.zeros(v.shape), where=long > 0)
+                for low in range(0, len(at) - 1, STRIP):
+                    cos = unit[low : low + STRIP] @ unit[low:].T
+                    x, y = np.triu_indices(len(cos), 1, cos.shape[1])
+                    for part in range(0, len(x), MOST_PAIRS):
+                        p, q = x[part : part + MOST_PAIRS], y[part : part + MOST_PAIRS]
+                        row = np.full(len(p), g)
+                        held.append(([c.take(pa.array(row)) for c in names], at[p + low], at[q + low], (cos[p, q] + 1) / 2))
+                        n += len(p)
+                        if n >= MOST_PAIRS:
+                            yield made(held)
+                            held, n = [], 0
+        if held:
+            yield made(held)
+
+    return run
 
 
 def similarity_matrix(vectors: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:

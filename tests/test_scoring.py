@@ -272,3 +272,33 @@ def test_rows_that_share_an_id_are_documents(spark):
     docs = spark.createDataFrame([(1, "A b c d. E f g h."), (1, "I j k."), (None, "L m n o. P q r s."), (2, "")], "doc_id long, text string")
     got = chunking.greedy_chunks(docs, ChunkConfig(max_tokens=5, min_tokens=2, overlap_tokens=1, mode="greedy_sentence"))
     assert sorted((str(r["doc_id"]), r["chunk_id"], r["text"], r["start"], r["end"]) for r in got.collect()) == [("1", 0, "A b c d.", 0, 4), ("1", 0, "I j k.", 0, 3), ("1", 1, "E f g h.", 4, 8), ("None", 0, "L m n o.", 0, 4), ("None", 1, "P q r s.", 4, 8)]
+
+
+def test_pairs_leave_the_worker_in_batches(monkeypatch):
+    """However many pairs the groups of a batch have, about ``MOST_PAIRS`` are held; they are all pairs, a long group's too, and vectors without length have cosine 0."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(50, 8))
+    vectors[7] = 0
+    sizes = [40, 0, 1, 2, 90, 3]
+    ks = [[[int(x)] for x in rng.integers(0, 60, n)] for n in sizes]
+
+    class Sent:
+        def sums(self, keys):
+            return interfaces.sums(keys, np.arange(50), vectors)
+
+    monkeypatch.setattr(coherence, "MOST_PAIRS", 300)
+    monkeypatch.setattr(coherence, "STRIP", 16)
+    batch = pa.RecordBatch.from_arrays([pa.array([4, None, 6, 7, 8, None], pa.int64()), pa.array(ks, pa.list_(pa.list_(pa.int64())))], ["g", "_k"])
+    out = list(coherence.pair_batches(["g"], Sent())([batch]))
+    assert len(out) > 5 and max(b.num_rows for b in out) < 600
+    want = []
+    for g, group in zip([4, None, 6, 7, 8, None], ks, strict=True):
+        met = [(i, vectors[k[0]]) for i, k in enumerate(group) if k[0] < 50]
+        for x, (i, a) in enumerate(met):
+            for j, b in met[x + 1 :]:
+                both = np.linalg.norm(a) * np.linalg.norm(b)
+                want.append((str(g), i, j, round(float((a @ b / both if both else 0.0) + 1) / 2, 9)))
+    got = [(str(r["g"]), r["i"], r["j"], round(r["similarity"], 9)) for b in out for r in b.to_pylist()]
+    assert sorted(x[:3] for x in got) == sorted(x[:3] for x in want) and all(abs(x[3] - y[3]) < 1e-8 for x, y in zip(sorted(got), sorted(want), strict=True))
