@@ -7,6 +7,8 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,6 +130,33 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError(f"the components have not settled in {max_rounds} rounds")
 
 
+#: So many edges are settled by one task in memory (16 bytes each); each round of more takes some ten jobs, whose plans and threads the driver holds.
+FEW_EDGES = 200_000
+
+
+def settled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of these edges, sorted, and the smallest node that each reaches. Roots hang from smaller ones until no edge joins two."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, to = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (to[i] != to[j]).any():
+        np.minimum.at(to, np.maximum(to[i], to[j]), np.minimum(to[i], to[j]))
+        while (to[to] != to).any():
+            to = to[to]
+    return nodes, nodes[to]
+
+
+def _settled(batches):
+    rows = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in settled(*map(np.concatenate, zip(*rows, strict=True)))], ["node", "label"])
+
+
+def joined(edges: DataFrame) -> DataFrame:
+    """``components`` of ``edges(a: bigint, b: bigint)``; no more than ``FEW_EDGES`` of them are settled by one task, without rounds."""
+    e = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    return e.repartition(1).mapInArrow(_settled, "node long, label long") if e.count() <= FEW_EDGES else components(e)
+
+
 #: Copies of one row that one task writes.
 UNFOLD = 10_000
 

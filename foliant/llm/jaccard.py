@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import pieces, text_buffer
-from .common import components, drop, release, slots, table, wrapped
+from .common import drop, joined, release, slots, table, wrapped
 from .hashing import mix, range_hashes
 
 #: Words of a shingle; two sets link when 100 * intersection >= NEAR * union.
@@ -576,7 +576,7 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         often = F.broadcast(posted.where("members is null").groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("_c")))  # MOST_HOT rows at most
         posted = posted.join(often, F.col("key") == F.col("_k"), "left").withColumn("members", F.coalesce("members", "_c")).drop("_k", "_c")
     edges = _tiles(posted, "key", TILE).select("tile", "side", "d", "n", "map").repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(_tile_edges, "a long, b long")
-    rough = table(components(edges.unionByName(paired)), "clusters")
+    rough = table(joined(edges.unionByName(paired)), "clusters")
     del edges, posted
     drop(left), drop(paired)
     release(spark)
@@ -588,7 +588,7 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         big = rough.join(over, F.col("label") == F.col("_l")).join(full, F.col("node") == F.col("_d")).select(F.col("node").alias("d"), "label", "members", "n", "map")
         again = _tiles(big, "label", WIDE_BLOCK).select("tile", "side", "d", "n", "map").repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(_tile_edges, "a long, b long")
         small = rough.join(over.select("_l"), F.col("label") == F.col("_l"), "left_anti")
-        cluster = table(small.select("node", "label").unionByName(components(again)), "clusters")
+        cluster = table(small.select("node", "label").unionByName(joined(again)), "clusters")
 
     # sets of the clusters' classes, gathered in blocks
     over = _large(cluster)
@@ -622,7 +622,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     (null where no row of theirs has an id); rows that share a ``doc_id`` are documents of their own. Other columns are ignored.
     """
     rows, classes, found = _linked(docs)
-    comp = components(found.select(F.col("d").alias("a"), F.col("to").alias("b")))
+    comp = joined(found.select(F.col("d").alias("a"), F.col("to").alias("b")))
     named = classes.join(comp, F.col("d") == F.col("node"), "left").select("d", "rep", "copies", F.coalesce("label", "d").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id")).select(F.col("label").alias("_l"), "component_id")
     count = found.groupBy("d").agg(F.sum("links").alias("links")).select(F.col("d").alias("_k"), "links")
@@ -638,7 +638,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     an empty table stays empty; other columns, whatever their names, come along.
     """
     rows, classes, found = _linked(docs)
-    comp = components(found.select(F.col("d").alias("a"), F.col("to").alias("b")))
+    comp = joined(found.select(F.col("d").alias("a"), F.col("to").alias("b")))
     each = rows.where("n > 0").groupBy("d", "doc_id", "text_hash").agg(F.count("*").alias("m")).join(comp, F.col("d") == F.col("node"), "left")
     first = each.groupBy(F.coalesce("label", "d").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("i"), "doc_id", "text_hash", "m")).alias("f"))
     blank = rows.where("n = 0").select("doc_id", "text_hash", F.lit(0).cast("long").alias("m")).distinct()

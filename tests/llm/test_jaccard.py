@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import jaccard
+from foliant.llm import common, jaccard
 
 from . import helpers as H
 
@@ -133,6 +133,23 @@ def test_components_with_a_hub(spark, monkeypatch):
         common.components(spark.createDataFrame(edges, "a long, b long"), max_rounds=1)
 
 
+def test_few_edges_are_settled_without_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    edges = [(0, -i) for i in range(60)] + [(100 + i, 101 + i) for i in rng.permutation(300).tolist()] + [(int(a), int(b)) for a, b in rng.integers(500, 900, (300, 2))] + [(2**62, -(2**62))]
+    made, write = [], common.table
+    monkeypatch.setattr(common, "table", lambda df, name: made.append(name) or write(df, name))
+    of = lambda e: sorted(map(tuple, common.joined(spark.createDataFrame(e, "a long, b long")).collect()))
+    few = of(edges)
+    assert made == ["edges"] and of([]) == of([(3, 3)]) == []
+    monkeypatch.setattr(common, "FEW_EDGES", len(edges) // 2)
+    assert of(edges) == few and "small" in made
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 3}x{k}" for k in range(40)) + " end" * (i % 3)) for i in range(30)], "doc_id long, text string")
+    monkeypatch.setattr(common, "FEW_EDGES", 200_000)
+    made.clear()
+    kept = sorted(r["doc_id"] for r in jaccard.keep_first(docs).collect())
+    assert kept == list(range(0, 30, 3)) and "small" not in made
+
+
 def test_keep_first_of_repeated_ids(spark):
     a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
     rows = [(3, b + " end", 1), (5, a, 2), (5, b, 3), (3, b + " end", 4), (None, a, 5), (7, None, 6), (7, "", 7), (None, "one two", 8)]
